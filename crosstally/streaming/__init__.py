@@ -1,0 +1,5 @@
+"""Empty on purpose: every computation in scope is a batch job.
+
+There is no watermark, window, state or late data anywhere in the workload; the rolling month
+window in ``operators.scope`` is a plain batch predicate.
+"""
