@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
+    DecimalType,
     DoubleType,
     FloatType,
     IntegralType,
@@ -42,7 +43,8 @@ def int_column(df: DataFrame, name: str, to: str = "int") -> Column:
 
 
 def measure_column(df: DataFrame, name: str, to: str = MEASURE_TYPE) -> Column:
-    if df.schema[name].dataType.simpleString() == to:
+    """An exact measure: decimals as they are, anything else as ``to``."""
+    if isinstance(df.schema[name].dataType, DecimalType):
         return F.col(name)
     return F.col(name).try_cast(to)
 

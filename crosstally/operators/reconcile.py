@@ -25,6 +25,7 @@ from ..contract import (
 )
 from ..functions import money
 from ..functions.casts import int_column, measure_column
+from ..functions.sums import exact_sum
 from .enrich import with_week
 
 KEYS = ("weekEnding", "fleetAccountNumber", "storeNumber")
@@ -72,9 +73,9 @@ def booked_week(core: DataFrame, sides: Sides = SIDES) -> DataFrame:
         F.max("fleetName").alias("fleetName"),
         F.max("siteName").alias("siteName"),
         F.count_distinct("invoiceID").alias(sides.invoice_count),
-        F.sum("invoiceTotalAmount").alias(sides.total_invoice),
-        F.sum(sides.net_balance).alias(sides.balance),
-        F.sum("invoiceTotalDiscounts").alias(sides.discount),
+        exact_sum(core, "invoiceTotalAmount").alias(sides.total_invoice),
+        exact_sum(core, sides.net_balance).alias(sides.balance),
+        exact_sum(core, "invoiceTotalDiscounts").alias(sides.discount),
     )
 
 
@@ -96,8 +97,8 @@ def reported_week(rows: DataFrame, sides: Sides = SIDES) -> DataFrame:
     """Reported side at week x fleet x store."""
     return rows.groupBy(*KEYS).agg(
         F.max("fleetAccountName").alias("fleetAccountName"),
-        F.sum("grossSales").alias(sides.gross),
-        F.sum("discountsDollars").alias(sides.reported_discounts),
+        exact_sum(rows, "grossSales").alias(sides.gross),
+        exact_sum(rows, "discountsDollars").alias(sides.reported_discounts),
         F.sum("carsPerDay").alias(sides.cars_per_day),
         F.sum("oilChanges").alias(sides.oil_changes),
     )

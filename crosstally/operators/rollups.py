@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..contract import SERVICE_DEFAULT, SERVICE_RULES, SIDES, Sides
 from ..functions.dates import month_start
 from ..functions.labels import Rules, service_type
+from ..functions.sums import exact_sum
 from .enrich import with_fleet, with_site
 
 _MONTH_KEYS = ("period", "fleetCode", "fleetName", "storeNumber", "siteName")
@@ -25,13 +26,13 @@ def fleet_store_month(enriched: DataFrame, sides: Sides = SIDES) -> DataFrame:
     """Fleet x store x month; voided invoices are part of it."""
     return enriched.groupBy(*_MONTH_KEYS).agg(
         F.count_distinct("invoiceID").alias("invoiceCount"),
-        F.sum("invoiceTotalAmount").alias("totalInvoice"),
-        F.sum(sides.net_balance).alias(sides.balance),
-        F.sum("invoiceTaxTotalAmount").alias("totalTax"),
-        F.sum("invoiceTotalDiscounts").alias("totalDiscount"),
-        F.sum("invoiceCCFees").alias("totalCcFee"),
-        F.sum(sides.fee).alias(sides.fee),
-        F.sum("totalAiFee").alias("totalAiFee"),
+        exact_sum(enriched, "invoiceTotalAmount").alias("totalInvoice"),
+        exact_sum(enriched, sides.net_balance).alias(sides.balance),
+        exact_sum(enriched, "invoiceTaxTotalAmount").alias("totalTax"),
+        exact_sum(enriched, "invoiceTotalDiscounts").alias("totalDiscount"),
+        exact_sum(enriched, "invoiceCCFees").alias("totalCcFee"),
+        exact_sum(enriched, sides.fee).alias(sides.fee),
+        exact_sum(enriched, "totalAiFee").alias("totalAiFee"),
         F.min("invoiceDate").alias("firstInvoiceDate"),
         F.max("invoiceDate").alias("lastInvoiceDate"),
     )
@@ -49,29 +50,25 @@ def product_totals(lines: DataFrame, invoices: DataFrame) -> DataFrame:
 
     Fleet and store do not appear in the result, so their joins are left out.
     """
-    return (
-        lines.select(
-            "invoiceID", "serviceCatgCode", "itemDescription",
-            "serviceActualQuantity", "serviceActualAmount",
-        )
-        .join(invoices.select("invoiceID"), "invoiceID")
-        .groupBy("serviceCatgCode", "itemDescription")
-        .agg(
-            F.count(F.lit(1)).alias("lineCount"),
-            F.sum("serviceActualQuantity").alias("totalQuantity"),
-            F.sum("serviceActualAmount").alias("totalRevenue"),
-        )
+    billed = lines.select(
+        "invoiceID", "serviceCatgCode", "itemDescription",
+        "serviceActualQuantity", "serviceActualAmount",
+    ).join(invoices.select("invoiceID"), "invoiceID")
+    return billed.groupBy("serviceCatgCode", "itemDescription").agg(
+        F.count(F.lit(1)).alias("lineCount"),
+        exact_sum(billed, "serviceActualQuantity").alias("totalQuantity"),
+        exact_sum(billed, "serviceActualAmount").alias("totalRevenue"),
     )
 
 
 def _revenue_and_lines(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(
-        F.sum("serviceActualAmount").alias("revenue"), F.count(F.lit(1)).alias("lines")
+        exact_sum(df, "serviceActualAmount").alias("revenue"), F.count(F.lit(1)).alias("lines")
     )
 
 
 def _combine(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum("revenue").alias("revenue"), F.sum("lines").alias("lines"))
+    return df.groupBy(*keys).agg(exact_sum(df, "revenue").alias("revenue"), F.sum("lines").alias("lines"))
 
 
 def store_product_mix(

@@ -1,0 +1,32 @@
+"""Broadcast only what was measured to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+MAX_ROWS = 200_000
+MAX_BYTES = 32 * 1024 * 1024
+
+
+def is_small(dim: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+    """Whether rows and bytes of ``dim`` stay within both bounds; one pass, two numbers."""
+    widths = [
+        f"coalesce(octet_length(`{f.name}`), 0)" if isinstance(f.dataType, StringType) else "8"
+        for f in dim.schema
+    ]
+    rows, size = dim.selectExpr(
+        "count(*)", f"coalesce(sum(CAST({' + '.join(widths)} AS BIGINT)), 0)"
+    ).first()
+    return rows <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(dim: DataFrame) -> DataFrame:
+    """``dim`` with a broadcast hint when it was measured to be small, else unchanged.
+
+    For dimensions derived by joins, whose size the planner overestimates (a join counts as the
+    product of its inputs) and would therefore shuffle the fact for.  Beyond the bounds Spark
+    keeps its sort-merge join.
+    """
+    return F.broadcast(dim) if is_small(dim) else dim

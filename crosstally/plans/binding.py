@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..contract import KPI_HEADERS, SERIAL_EPOCH
 from ..functions.dates import week_ending
+from ..operators.sizes import is_small
 from ..schemas import schema
 
 AS_OF = date(2001, 8, 1)  # last order date of the test tables
@@ -31,13 +34,14 @@ PART_RULES = (
 )
 TIERS = (("XL", 4_000_000), ("Large", 2_500_000), ("Medium", 1_000_000), ("Small", 0))
 
+#: All three states of the flag: set, clear, unknown.
+_VOIDED = "CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 0 END AS voided"
+_SCHEMAS: dict[str, StructType] = {}
+_SMALL: dict[tuple[str, str], bool] = {}
 
-def _money(c: Column) -> Column:
-    return c.cast("decimal(18,2)")
 
-
-def _rate(c: Column) -> Column:
-    return c.cast("decimal(4,2)")
+def _money(sql: str) -> str:
+    return f"CAST({sql} AS DECIMAL(18,2))"
 
 
 class Star:
@@ -46,278 +50,249 @@ class Star:
         self.directory = directory
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        """The whole table; its footer is asked for the schema once per process."""
+        path = f"{self.directory}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+    def _joined(self, left: DataFrame, right: str, left_key: str, right_key: str) -> DataFrame:
+        return left.join(self.table(right), F.col(left_key) == F.col(right_key))
+
+    def _dimension(self, name: str, df: DataFrame) -> DataFrame:
+        """A joined dimension, broadcast if it measures small; measured once per process."""
+        key = (self.directory, name)
+        if key not in _SMALL:
+            _SMALL[key] = is_small(df)
+        return F.broadcast(df) if _SMALL[key] else df
 
     # -- reconciliation ------------------------------------------------------------------------
 
     def _facts(self) -> DataFrame:
-        return self.table("lineitem").join(
-            self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")
+        """Line items with their order; amounts become money once, before anything uses them."""
+        priced = self.table("lineitem").selectExpr("*", f"{_money('l_extendedprice')} AS total")
+        money = priced.selectExpr(
+            "*",
+            f"{_money('total * CAST(l_discount AS DECIMAL(4,2))')} AS discount",
+            f"{_money('total * CAST(l_tax AS DECIMAL(4,2))')} AS tax",
         )
-
-    def _voided(self) -> Column:
-        """All three states of the flag: set, clear, unknown."""
-        status = F.col("o_orderstatus")
-        return F.when(status == "P", 1).when(status == "O", 0)
+        return self._joined(money, "orders", "l_orderkey", "o_orderkey")
 
     def invoices(self) -> DataFrame:
         """Invoice fact at line grain, several rows per invoice id."""
-        total = _money(F.col("l_extendedprice"))
-        discount = _money(total * _rate(F.col("l_discount")))
-        tax = _money(total * _rate(F.col("l_tax")))
-        flag = F.col("l_returnflag")
-        return self._facts().select(
-            F.col("l_orderkey").alias("invoiceID"),
-            F.concat(F.lit("INV-"), F.col("l_orderkey")).alias("invoiceNumber"),
-            (F.col("l_suppkey") % PROVIDERS).alias("customerID"),
-            F.col("o_custkey").alias("fleetID"),
-            F.col("l_suppkey").alias("siteID"),
-            F.col("o_orderdate").alias("invoiceDate"),
-            total.alias("invoiceTotalAmount"),
-            tax.alias("invoiceTaxTotalAmount"),
-            F.when(flag == "R", discount).alias("prepaidTotalAmount"),
-            discount.alias("invoiceTotalDiscounts"),
-            F.when(flag == "A", tax).alias("invoiceCCFees"),
-            F.when(flag != "N", _money(F.col("l_linenumber"))).alias("invoiceInvoiceFee"),
-            F.when(flag == "N", F.col("l_shipdate")).alias("invoiceBilledOutOnAutoIntegrate"),
-            F.when(flag == "R", discount).alias("invoiceBillingFeesAutoIntegrate"),
-            self._voided().alias("voided"),
+        return self._facts().selectExpr(
+            "l_orderkey AS invoiceID",
+            "concat('INV-', l_orderkey) AS invoiceNumber",
+            f"l_suppkey % {PROVIDERS} AS customerID",
+            "o_custkey AS fleetID",
+            "l_suppkey AS siteID",
+            "o_orderdate AS invoiceDate",
+            "total AS invoiceTotalAmount",
+            "tax AS invoiceTaxTotalAmount",
+            "CASE WHEN l_returnflag = 'R' THEN discount END AS prepaidTotalAmount",
+            "discount AS invoiceTotalDiscounts",
+            "CASE WHEN l_returnflag = 'A' THEN tax END AS invoiceCCFees",
+            f"CASE WHEN l_returnflag <> 'N' THEN {_money('l_linenumber')} END AS invoiceInvoiceFee",
+            "CASE WHEN l_returnflag = 'N' THEN l_shipdate END AS invoiceBilledOutOnAutoIntegrate",
+            "CASE WHEN l_returnflag = 'R' THEN discount END AS invoiceBillingFeesAutoIntegrate",
+            _VOIDED,
         )
 
     def order_invoices(self) -> DataFrame:
         """Invoice headers, one row per order: the parent of the line items."""
-        total = _money(F.col("o_totalprice"))
-        return self.table("orders").select(
-            F.col("o_orderkey").alias("invoiceID"),
-            F.concat(F.lit("INV-"), F.col("o_orderkey")).alias("invoiceNumber"),
-            (F.col("o_orderkey") % PROVIDERS).alias("customerID"),
-            F.col("o_custkey").alias("fleetID"),
-            (F.col("o_orderkey") % SITES_OF_ORDERS).alias("siteID"),
-            F.col("o_orderdate").alias("invoiceDate"),
-            total.alias("invoiceTotalAmount"),
-            F.lit(None).cast("decimal(18,2)").alias("prepaidTotalAmount"),
-            F.lit(None).cast("decimal(18,2)").alias("invoiceInvoiceFee"),
-            self._voided().alias("voided"),
+        return self.table("orders").selectExpr(
+            "o_orderkey AS invoiceID",
+            "concat('INV-', o_orderkey) AS invoiceNumber",
+            f"o_orderkey % {PROVIDERS} AS customerID",
+            "o_custkey AS fleetID",
+            f"o_orderkey % {SITES_OF_ORDERS} AS siteID",
+            "o_orderdate AS invoiceDate",
+            f"{_money('o_totalprice')} AS invoiceTotalAmount",
+            f"{_money('NULL')} AS prepaidTotalAmount",
+            f"{_money('NULL')} AS invoiceInvoiceFee",
+            _VOIDED,
         )
 
     def fleets(self) -> DataFrame:
         """Accounts in good standing only, so that the left join has misses."""
-        return self.table("customer").filter(F.col("c_acctbal") >= 0).select(
-            F.col("c_custkey").alias("fleetID"),
-            F.concat(F.lit("MBL-"), F.col("c_custkey")).alias("fleetCode"),
-            F.col("c_custkey").alias("fleetAccountNumber"),
-            F.col("c_name").alias("fleetAccountName"),
+        return self.table("customer").filter("c_acctbal >= 0").selectExpr(
+            "c_custkey AS fleetID",
+            "concat('MBL-', c_custkey) AS fleetCode",
+            "c_custkey AS fleetAccountNumber",
+            "c_name AS fleetAccountName",
         )
 
     def sites(self) -> DataFrame:
         """Store codes with a brand prefix by region and, for some, the suffix."""
-        brand = (
-            F.when(F.col("r_name").isin("AFRICA", "AMERICA"), "T5C")
-            .when(F.col("r_name") == "ASIA", "MBL")
-            .otherwise("AIN")
+        located = self._joined(
+            self._joined(self.table("supplier"), "nation", "s_nationkey", "n_nationkey"),
+            "region", "n_regionkey", "r_regionkey",
         )
-        suffix = F.when(F.col("s_suppkey") % 4 == 0, "828").otherwise("")
-        return (
-            self.table("supplier")
-            .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                F.col("s_suppkey").alias("siteID"),
-                F.concat(brand, F.col("s_suppkey"), suffix).alias("storeNumber"),
-                F.col("s_name").alias("siteName"),
-                F.col("r_name").alias("region"),
-                F.col("n_name").alias("district"),
-                F.concat(F.lit("Division "), F.col("n_regionkey")).alias("division"),
-            )
+        return self._dimension(
+            "sites",
+            located.selectExpr(
+                "s_suppkey AS siteID",
+                """concat(CASE WHEN r_name IN ('AFRICA', 'AMERICA') THEN 'T5C'
+                               WHEN r_name = 'ASIA' THEN 'MBL' ELSE 'AIN' END,
+                          s_suppkey,
+                          CASE WHEN s_suppkey % 4 = 0 THEN '828' ELSE '' END) AS storeNumber""",
+                "s_name AS siteName",
+                "r_name AS region",
+                "n_name AS district",
+                "concat('Division ', n_regionkey) AS division",
+            ),
         )
 
     def second_brand_sites(self) -> DataFrame:
         """Sites of another brand whose padded numbers repeat those of the suppliers."""
-        return self.table("nation").select(
-            (-F.col("n_nationkey").cast("bigint") - 1).alias("siteID"),
-            F.concat(F.lit("MBL00"), F.col("n_nationkey")).alias("storeNumber"),
+        return self.table("nation").selectExpr(
+            "-CAST(n_nationkey AS BIGINT) - 1 AS siteID",
+            "concat('MBL00', n_nationkey) AS storeNumber",
         )
 
     def customers(self) -> DataFrame:
-        key = F.col("n_nationkey")
-        return (
-            self.table("nation")
-            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                key.cast("bigint").alias("customerID"),
-                F.col("n_name").alias("customerCompanyName"),
-                F.col("r_name").alias("corpType"),
-                F.when(key % 2 == 0, F.lit("1.50").cast("decimal(18,2)")).alias("aiInvoiceFlatFee"),
-                F.when(key % 3 == 0, F.lit("0.01").cast("decimal(9,6)")).alias("aiInvoicePctFee"),
-            )
+        located = self._joined(self.table("nation"), "region", "n_regionkey", "r_regionkey")
+        return self._dimension(
+            "customers",
+            located.selectExpr(
+                "CAST(n_nationkey AS BIGINT) AS customerID",
+                "n_name AS customerCompanyName",
+                "r_name AS corpType",
+                f"CASE WHEN n_nationkey % 2 = 0 THEN {_money('1.50')} END AS aiInvoiceFlatFee",
+                """CASE WHEN n_nationkey % 3 = 0 THEN CAST(0.01 AS DECIMAL(9,6)) END
+                   AS aiInvoicePctFee""",
+            ),
         )
 
     def corporation_types(self) -> DataFrame:
-        return self.table("region").select(
-            F.col("r_name").alias("corporationType"),
-            F.when(F.col("r_name") != "ASIA", F.lit("0.02").cast("decimal(9,6)")).alias("aiFeePct"),
+        return self.table("region").selectExpr(
+            "r_name AS corporationType",
+            "CASE WHEN r_name <> 'ASIA' THEN CAST(0.02 AS DECIMAL(9,6)) END AS aiFeePct",
         )
 
     def partner_kpi(self) -> DataFrame:
         """The other party's rows: voided ones included, urgent orders not reported, one line off."""
-        total = _money(F.col("l_extendedprice"))
-        discount = _money(total * _rate(F.col("l_discount")))
-        prepaid = F.when(F.col("l_returnflag") == "R", discount).otherwise(0)
-        extra = F.when(F.col("l_linenumber") == 3, 25).otherwise(0)
-        return self._facts().filter(F.col("o_orderpriority") != "1-URGENT").select(
+        gross = """total - CASE WHEN l_returnflag = 'R' THEN discount ELSE 0 END
+                         + CASE WHEN l_linenumber = 3 THEN 25 ELSE 0 END"""
+        return self._facts().filter("o_orderpriority <> '1-URGENT'").select(
             week_ending(F.col("o_orderdate")).alias("weekEnding"),
-            F.concat(F.lit("Account "), F.col("o_custkey")).alias("fleetAccountName"),
-            F.col("o_custkey").alias("fleetAccountNumber"),
-            F.col("l_suppkey").alias("storeNumber"),
-            F.lit(1).alias("carsPerDay"),
-            F.when(F.col("l_linenumber") == 1, 1).otherwise(0).alias("oilChanges"),
-            discount.cast("decimal(24,6)").alias("discountsDollars"),
-            (total - prepaid + extra).cast("decimal(24,6)").alias("grossSales"),
+            F.expr("concat('Account ', o_custkey) AS fleetAccountName"),
+            F.expr("o_custkey AS fleetAccountNumber"),
+            F.expr("l_suppkey AS storeNumber"),
+            F.expr("1 AS carsPerDay"),
+            F.expr("CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS oilChanges"),
+            F.expr("discount AS discountsDollars"),
+            F.expr(f"{_money(gross)} AS grossSales"),
         )
 
     def kpi_sheet(self) -> DataFrame:
         """A raw partner sheet per store and week: text cells, serial and ISO dates, blank rows."""
-        week = week_ending(F.col("o_orderdate"))
         weekly = (
             self._facts()
-            .groupBy(F.col("l_suppkey").alias("store"), week.alias("week"))
-            .agg(
-                F.sum(_money(F.col("l_extendedprice"))).alias("gross"),
-                F.count(F.lit(1)).alias("cars"),
-            )
-        )
-        serial = F.concat(
-            F.date_diff(F.col("week"), F.lit("1899-12-30").cast("date")).cast("string"),
-            F.when(F.col("cars") > 2, ".75").otherwise(""),
+            .groupBy(F.col("l_suppkey").alias("store"), week_ending(F.col("o_orderdate")).alias("week"))
+            .agg(F.sum("total").alias("gross"), F.count(F.lit(1)).alias("cars"))
         )
-        iso = F.col("week").cast("string")
         cells = {
-            "Year/Month": F.date_format("week", "yyyy/MM"),
-            " Date ": F.concat(iso, F.lit(" 00:00:00")),
-            "Store #": F.concat(F.lit(" "), F.col("store")),
-            "Week Ending": F.when(F.col("store") % 2 == 0, serial).otherwise(iso),
-            "Cars Per Day - CY": F.concat(F.col("cars"), F.lit(".5")),
-            "Gross Sales - CY": F.col("gross").cast("string"),
+            "Year/Month": "date_format(week, 'yyyy/MM')",
+            "Date": "concat(week, ' 00:00:00')",
+            "Store #": "concat(' ', store)",
+            "Week Ending": f"""CASE WHEN store % 2 = 1 THEN CAST(week AS STRING)
+                ELSE concat(datediff(week, DATE '{SERIAL_EPOCH}'),
+                            CASE WHEN cars > 2 THEN '.75' ELSE '' END) END""",
+            "Cars Per Day - CY": "concat(cars, '.5')",
+            "Gross Sales - CY": "CAST(gross AS STRING)",
         }
-        nothing = F.lit(None).cast("string")
-        headers = (
-            "Year/Month", " Date ", "Fleet Account Name", "Fleet Account #", "Region", "Store #",
-            "Week Ending", "COSC/FZ", "Air Filters - CY", "Cabin Filters - CY",
-            "Cars Per Day - CY", "Coolant - CY", "Discounts $ - CY", "Gross Sales - CY",
-            "Oil Changes - CY", "Wipers - CY", "Differential Fluid % - CY",
-        )
-        filled = weekly.select(*[cells.get(h, nothing).alias(h) for h in headers])
-        blank = self.table("region").select(*[nothing.alias(h) for h in headers])
+        nothing = "CAST(NULL AS STRING)"
+        titles = {h: f" {h} " if h == "Date" else h for h in KPI_HEADERS}  # one has blanks around
+        filled = weekly.selectExpr(*[f"{cells.get(h, nothing)} AS `{t}`" for h, t in titles.items()])
+        blank = self.table("region").selectExpr(*[f"{nothing} AS `{t}`" for t in titles.values()])
         return filled.unionByName(blank)
 
     def lines(self) -> DataFrame:
-        amount = _money(F.col("l_extendedprice"))
-        return (
-            self.table("lineitem")
-            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .select(
-                (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("invoiceItemBridgeID"),
-                F.col("l_orderkey").alias("invoiceID"),
-                F.col("p_type").alias("serviceCatgCode"),
-                F.col("p_name").alias("itemDescription"),
-                F.col("l_quantity").cast("decimal(18,4)").alias("serviceActualQuantity"),
-                amount.alias("serviceAmount"),
-                (amount - _money(amount * _rate(F.col("l_discount")))).alias("serviceActualAmount"),
-            )
+        priced = self.table("lineitem").selectExpr("*", f"{_money('l_extendedprice')} AS amount")
+        return self._joined(priced, "part", "l_partkey", "p_partkey").selectExpr(
+            "l_orderkey * 10 + l_linenumber AS invoiceItemBridgeID",
+            "l_orderkey AS invoiceID",
+            "p_type AS serviceCatgCode",
+            "p_name AS itemDescription",
+            "CAST(l_quantity AS DECIMAL(18,4)) AS serviceActualQuantity",
+            "amount AS serviceAmount",
+            f"""{_money(f"amount - {_money('amount * CAST(l_discount AS DECIMAL(4,2))')}")}
+                AS serviceActualAmount""",
         )
 
     # -- sales ---------------------------------------------------------------------------------
 
     def header(self) -> DataFrame:
         """Headers whose arithmetic holds except for open orders with a discount."""
-        total = _money(F.col("o_totalprice"))
-        tax = _money(total * F.lit("0.08").cast("decimal(4,2)"))
-        urgent = F.col("o_orderpriority") == "1-URGENT"
-        discount = F.when(urgent, _money(total * F.lit("0.02").cast("decimal(4,2)"))).otherwise(
-            F.lit(0).cast("decimal(18,2)")
+        priced = self.table("orders").selectExpr("*", f"{_money('o_totalprice')} AS total")
+        parts = priced.selectExpr(
+            "*",
+            f"{_money('total * CAST(0.08 AS DECIMAL(4,2))')} AS tax",
+            f"""CASE WHEN o_orderpriority = '1-URGENT'
+                     THEN {_money('total * CAST(0.02 AS DECIMAL(4,2))')}
+                     ELSE {_money('0')} END AS discount""",
         )
-        whole = total - tax
-        subtotal = F.when(F.col("o_orderstatus") == "P", whole).otherwise(whole + discount)
-        return self.table("orders").select(
-            F.col("o_orderkey").alias("invoice_id"),
-            F.col("o_custkey").alias("account_id"),
-            F.col("o_orderdate").alias("invoice_date"),
-            _money(subtotal).alias("subtotal"),
-            discount.alias("discount_amount"),
-            tax.alias("tax_amount"),
-            total.alias("total_amount"),
+        return parts.selectExpr(
+            "o_orderkey AS invoice_id",
+            "o_custkey AS account_id",
+            "o_orderdate AS invoice_date",
+            _money("total - tax + CASE WHEN o_orderstatus = 'P' THEN 0 ELSE discount END")
+            + " AS subtotal",
+            "discount AS discount_amount",
+            "tax AS tax_amount",
+            "total AS total_amount",
         )
 
     def detail(self) -> DataFrame:
-        return (
-            self.table("lineitem")
-            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .select(
-                F.col("l_orderkey").alias("invoice_id"),
-                F.col("l_linenumber").alias("line_id"),
-                F.col("p_name").alias("description"),
-                F.when(F.col("p_size") > 25, F.col("p_type")).alias("category"),
-                F.col("l_quantity").cast("decimal(18,4)").alias("quantity"),
-                _money(F.col("p_retailprice")).alias("unit_price"),
-                _money(F.col("l_extendedprice")).alias("line_amount"),
-            )
+        return self._joined(self.table("lineitem"), "part", "l_partkey", "p_partkey").selectExpr(
+            "l_orderkey AS invoice_id",
+            "l_linenumber AS line_id",
+            "p_name AS description",
+            "CASE WHEN p_size > 25 THEN p_type END AS category",
+            "CAST(l_quantity AS DECIMAL(18,4)) AS quantity",
+            f"{_money('p_retailprice')} AS unit_price",
+            f"{_money('l_extendedprice')} AS line_amount",
         )
 
     def accounts(self) -> DataFrame:
         """Every third account has a parent, every tenth is cancelled."""
-        key = F.col("c_custkey")
-        gone = key % 10 == 0
-        day = F.date_sub(F.lit(AS_OF), (key % 24 * 30).cast("int"))
-        reasons = F.array(*[F.lit(r) for r in ("price", "closed", "service", "merged")])
-        reason = F.get(reasons, (F.floor(key / 10) % 4).cast("int"))
-        return (
-            self.table("customer")
-            .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(
-                key.alias("account_id"),
-                F.col("c_name").alias("account_name"),
-                F.when(key % 3 == 0, F.col("n_name")).alias("parent_account_name"),
-                F.col("c_mktsegment").alias("segment"),
-                F.when(gone, "Cancelled").otherwise("Active").alias("status"),
-                F.when(gone, day).alias("cancelled_date"),
-                F.when(gone, reason).alias("cancellation_reason"),
-            )
+        return self._joined(
+            self.table("customer"), "nation", "c_nationkey", "n_nationkey"
+        ).selectExpr(
+            "c_custkey AS account_id",
+            "c_name AS account_name",
+            "CASE WHEN c_custkey % 3 = 0 THEN n_name END AS parent_account_name",
+            "c_mktsegment AS segment",
+            "CASE WHEN c_custkey % 10 = 0 THEN 'Cancelled' ELSE 'Active' END AS status",
+            f"""CASE WHEN c_custkey % 10 = 0
+                     THEN date_sub(DATE '{AS_OF}', CAST(c_custkey % 24 * 30 AS INT)) END
+                AS cancelled_date""",
+            """CASE WHEN c_custkey % 10 = 0
+                    THEN elt(CAST(c_custkey div 10 % 4 AS INT) + 1,
+                             'price', 'closed', 'service', 'merged') END AS cancellation_reason""",
         )
 
     # -- documents -----------------------------------------------------------------------------
 
     def metadata_files(self) -> DataFrame:
         """Documents as metadata files; those in one language are plain text and do not parse."""
-        toxic = F.col("toxic") == 1
-        meta = F.struct(
-            F.when(F.col("n_chars") > 2000, "CollectionType").otherwise("DocumentType").alias("type"),
-            F.col("text").alias("visibleName"),
-            F.when(toxic, "trash")
-            .when(F.col("lang") == "fr", "")
-            .otherwise(F.concat("source", F.lit("-shelf-"), "lang"))
-            .alias("parent"),
-            toxic.alias("deleted"),
-        )
-        plain = F.col("lang") == "es"
-        return (
-            self.table("documents")
-            .join(self.table("labels").select("doc_id", "toxic"), "doc_id", "left")
-            .select(
-                F.concat(F.col("doc_id"), F.lit(".metadata")).alias("file_name"),
-                F.when(plain, F.col("text")).otherwise(F.to_json(meta)).alias("text"),
-            )
+        labels = self.table("labels").select("doc_id", "toxic")
+        return self.table("documents").join(labels, "doc_id", "left").selectExpr(
+            "concat(doc_id, '.metadata') AS file_name",
+            """CASE WHEN lang = 'es' THEN text ELSE to_json(struct(
+                 CASE WHEN n_chars > 2000 THEN 'CollectionType' ELSE 'DocumentType' END AS type,
+                 text AS visibleName,
+                 CASE WHEN toxic = 1 THEN 'trash' WHEN lang = 'fr' THEN ''
+                      ELSE concat(source, '-shelf-', lang) END AS parent,
+                 toxic = 1 AS deleted)) END AS text""",
         )
 
     def document_files(self) -> DataFrame:
         """File names only, with one extension per language."""
-        ext = (
-            F.when(F.col("lang") == "en", ".metadata")
-            .when(F.col("lang") == "fr", ".content")
-            .when(F.col("lang") == "de", ".pagedata")
-            .otherwise(".pdf")
-        )
-        return self.table("documents").select(
-            F.concat(F.col("doc_id"), ext).alias("file_name")
+        return self.table("documents").selectExpr(
+            """concat(doc_id, CASE lang WHEN 'en' THEN '.metadata' WHEN 'fr' THEN '.content'
+                                        WHEN 'de' THEN '.pagedata' ELSE '.pdf' END) AS file_name"""
         )
 
     def empty_kpi(self) -> DataFrame:

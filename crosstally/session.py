@@ -1,11 +1,13 @@
-"""Session settings the jobs rely on; all are runtime settings of an existing session."""
+"""Session settings the jobs rely on."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Runtime settings, applied to whatever session the caller has.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",  # an overflowing sum is an error, never a wrong number
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -14,6 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+#: For whoever builds the session.  Capturing the Python call site of every column expression
+#: costs more than planning does.
+LAUNCH_SETTINGS = SETTINGS | {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
