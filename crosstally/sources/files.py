@@ -58,7 +58,7 @@ def read_documents(
     spark: SparkSession, directory: str, pattern: str = f"*{DOCUMENT_EXTENSIONS[0]}"
 ) -> DataFrame:
     """(file_name, text): one row per file, the whole text in one value."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(directory)
+    files = spark.read.option("pathGlobFilter", pattern).text(directory, wholetext=True)
     return files.select(
         F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")
     )
