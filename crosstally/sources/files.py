@@ -15,7 +15,10 @@ def base_name(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """(path, file_name) of the matching files; contents are not read."""
+    """(path, file_name) of the matching files; contents are not read.
+
+    Spark's file sources pass over files of zero bytes, here and in ``read_documents``.
+    """
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)

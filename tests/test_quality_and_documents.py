@@ -85,4 +85,5 @@ def test_catalogue_of_files(spark, tmp_path):
     assert doccatalog.name_search(found_files, "%").count() == 0
     listed = files.list_files(spark, str(tmp_path))
     counts = {r.extension: r.files for r in doccatalog.extension_counts(listed).collect()}
-    assert counts == {".metadata": 7, ".content": 1, ".pagedata": 0, "total": 8}
+    # Spark's file sources skip the file without a byte (g).
+    assert counts == {".metadata": 6, ".content": 1, ".pagedata": 0, "total": 7}
