@@ -16,20 +16,23 @@ _BAD = "_bad_record"
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
-    """Parses (file_name, text) rows; ``parsed`` tells whether the text was a JSON object."""
+    """Parses (file_name, text) rows; ``parsed`` tells whether the text was a JSON object.
+
+    The fields are generated by ``inline``: a filter on one of them cannot be merged into the scan
+    side, which would parse every text again for each condition.
+    """
     fields = schema("document_metadata").add(_BAD, StringType())
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    meta = F.from_json("text", fields, options)
-    return (
-        files.select("file_name", meta.alias("meta"))
-        .withColumn("parsed", F.col("meta").isNotNull() & F.col(f"meta.{_BAD}").isNull())
-        .select(
-            "file_name", "parsed", "meta.visibleName", "meta.type", "meta.parent",
-            F.coalesce(F.col("meta.deleted"), F.lit(False)).alias("deleted"),
-            F.timestamp_millis(F.col("meta.createdTime").try_cast("bigint")).alias("created_at"),
-            F.timestamp_millis(F.col("meta.lastModified").try_cast("bigint")).alias("modified_at"),
-            F.timestamp_millis(F.col("meta.lastOpened").try_cast("bigint")).alias("opened_at"),
-        )
+    present = F.col("text").isNotNull() & (F.trim("text") != "")
+    meta = F.array(F.from_json("text", fields, options))
+    return files.select("file_name", present.alias("_present"), F.inline(meta)).select(
+        "file_name",
+        (F.col("_present") & F.col(_BAD).isNull()).alias("parsed"),
+        "visibleName", "type", "parent",
+        F.coalesce("deleted", F.lit(False)).alias("deleted"),
+        F.timestamp_millis(F.col("createdTime").try_cast("bigint")).alias("created_at"),
+        F.timestamp_millis(F.col("lastModified").try_cast("bigint")).alias("modified_at"),
+        F.timestamp_millis(F.col("lastOpened").try_cast("bigint")).alias("opened_at"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields, replace
 from datetime import date
 from decimal import Decimal
@@ -10,11 +10,11 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contract import BRAND_CODES, PREVIEW_ROWS, SIDES, TOLERANCE, Sides
+from ..contract import BRAND_CODES, PREVIEW_ROWS, SIDES, SOURCE_TABLES, TOLERANCE, Sides
 from ..operators import enrich, reconcile, rollups, scope
 from ..operators.filters import FilterBar
 from ..schemas import RECONCILIATION_TABLES
-from ..sources import sinks, tables
+from ..sources import files, sheets, sinks, tables
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,30 @@ def load_csv(spark: SparkSession, directory: str) -> Tables:
     return Tables(**frames, partner_kpi=kpi)
 
 
+def load_kpi_sheet(spark: SparkSession, directory: str, path: str | None = None) -> DataFrame:
+    """The partner's sheet (saved as CSV), typed: the given file, or the latest one by name."""
+    sheet = tables.read_text_csv(spark, path or files.latest_file(spark, directory))
+    return sheets.typed_kpi(sheet)
+
+
+def read_database(
+    spark: SparkSession,
+    url: str,
+    properties: Mapping[str, str],
+    splits: Mapping[str, tuple[str, tuple, int]] | None = None,
+) -> Tables:
+    """The six source tables, lazily; ``scoped`` then pushes brand and date filters into them.
+
+    ``splits`` gives, per table, the column, its bounds and the number of parallel reads.
+    """
+    frames = {}
+    for name in SOURCE_TABLES:
+        column, bounds, parts = (splits or {}).get(name, (None, None, 1))
+        options = tables.jdbc_options(url, name, column, bounds, parts, properties)
+        frames[name] = tables.read_jdbc(spark, options, name)
+    return Tables(**frames, partner_kpi=tables.stub(spark, "partner_kpi"))
+
+
 def load_parquet(spark: SparkSession, directory: str) -> Tables:
     return Tables(**{n: spark.read.parquet(f"{directory}/{n}") for n in RECONCILIATION_TABLES})
 
@@ -142,7 +166,11 @@ def month_preview(t: Tables, rows: int = PREVIEW_ROWS, sides: Sides = SIDES) ->
 
 def register(t: Tables, weekly: DataFrame | None = None, sides: Sides = SIDES) -> list[str]:
     """Makes tables and views available to ``spark.sql``; returns the names."""
-    frames = {**t.as_dict(), **views(t, weekly, sides)}
+    return register_frames({**t.as_dict(), **views(t, weekly, sides)})
+
+
+def register_frames(frames: Mapping[str, DataFrame]) -> list[str]:
+    """Temporary views for ad-hoc SQL, replacing those of the same name."""
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
     return list(frames)

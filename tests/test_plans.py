@@ -1,5 +1,8 @@
 """Physical plans: what must and must not appear, and results under a hot key."""
 
+import io
+from contextlib import redirect_stdout
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +18,10 @@ BOUNDED_WINDOWS = {"q3_yoy_growth", "q3_seasonality"}
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
 
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
@@ -55,6 +61,11 @@ def test_service_mix_scans_the_details_once(spark):
     assert "ReusedExchange" in plan(df)
 
 
+def test_names_are_searched_in_texts_parsed_once(spark):
+    text = plan(contract.queries()["doc_name_search"](spark, SF))
+    assert text.count("from_json") == 1
+
+
 def test_broadcast_needs_a_measured_size(spark):
     dim = spark.range(100).selectExpr("id", "repeat('x', 10) AS name")
     assert sizes.is_small(dim)

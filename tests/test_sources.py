@@ -1,5 +1,7 @@
 """Readers and writers on temporary folders."""
 
+import io
+from contextlib import redirect_stdout
 from datetime import date
 from decimal import Decimal
 
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosstally.contract import KPI_HEADERS, SOURCE_COLUMNS
+from crosstally.plans.pipeline import load_kpi_sheet, register_frames
 from crosstally.schemas import RECONCILIATION_TABLES, schema
 from crosstally.sources import files, sheets, sinks, tables
 
@@ -70,7 +73,10 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
     try:
         joined = b.join(a, "invoiceID")
         assert joined.count() == 300
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        out = io.StringIO()
+        with redirect_stdout(out):
+            joined.explain()
+        plan = out.getvalue()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "SortMergeJoin" in plan and "Exchange" not in plan
@@ -115,6 +121,17 @@ def test_kpi_sheet(spark):
     assert rows[0].grossSales == Decimal("100.125")
 
 
+def test_latest_kpi_sheet_is_loaded(spark, tmp_path):
+    titles = ",".join(KPI_HEADERS)
+    for name, store in (("kpi_a.csv", 1), ("kpi_b.csv", 2)):
+        cells = ",".join({"storeNumber": str(store), "weekEnding": "46025"}.get(c, "") for c in KPI_HEADERS.values())
+        (tmp_path / name).write_text(f"{titles}\n{cells}\n{',' * (len(KPI_HEADERS) - 1)}\n")
+    newest = load_kpi_sheet(spark, str(tmp_path)).collect()
+    assert [(r.storeNumber, r.weekEnding) for r in newest] == [(2, date(2026, 1, 3))]
+    given = load_kpi_sheet(spark, str(tmp_path), str(tmp_path / "kpi_a.csv")).collect()
+    assert [r.storeNumber for r in given] == [1]
+
+
 def test_unknown_header_fails_the_load(frame):
     with pytest.raises(ValueError, match="Surprise"):
         sheets.rename_headers(frame([(1, 2)], "Region STRING, Surprise STRING"))
@@ -136,6 +153,8 @@ def test_drop_folder_is_routed_by_name(spark, tmp_path):
     (tmp_path / "notes.csv").write_text("x\n1\n")
     routed = files.read_routed(spark, str(tmp_path))
     assert set(routed) == {"accounts"}
+    assert register_frames(routed) == ["accounts"]
+    assert spark.sql("SELECT count(*) FROM accounts WHERE parent_account_name IS NULL").first()[0] == 1
     assert {r.account_id: r.signup_date for r in routed["accounts"].collect()} == {
         "1": date(2020, 1, 1), "2": None,
     }
