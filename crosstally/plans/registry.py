@@ -190,7 +190,8 @@ def invoice_enriched(s: Star) -> DataFrame:
 
 @query
 def fleet_store_month(s: Star) -> DataFrame:
-    return rollups.fleet_store_month(_enriched(s)).orderBy(*rollups.month_order())
+    """Unsorted: a total order over the whole rollup costs more than the rollup itself."""
+    return rollups.fleet_store_month(_enriched(s))
 
 
 @query
@@ -222,11 +223,6 @@ def store_product_mix(s: Star) -> DataFrame:
 def service_type_rollup(s: Star) -> DataFrame:
     return rollups.service_type_rollup(
         s.lines(), s.order_invoices(), s.fleets(), s.sites(), PART_RULES, key_type=KEY_TYPE
-    ).orderBy(
-        F.col("period").desc_nulls_last(),
-        F.col("fleetCode").asc_nulls_last(),
-        F.col("storeNumber").asc_nulls_last(),
-        F.col("revenue").desc_nulls_last(),
     )
 
 
