@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosstally.llm import mixing, quality
+from crosstally.llm import bytebpe, mixing, quality
 from crosstally.llm.common import stored, table
 
 
@@ -18,9 +19,16 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def byte_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and hashes of ids and decoded bytes, one row per document of the mix."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bytebpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("source_mix", source_mix),
+    ("byte_tokens", byte_tokens),
 ]
 
 #: Signatures and token ids are outside of SQL; the tests hold the stages against brute force.

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, quality
+from . import bytebpe, licences, mixing, packing, quality, tokencounts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +62,34 @@ def op4_licence_scan(spark: SparkSession, directory: str) -> DataFrame:
     return licences.licences(table(spark, directory, "documents"))
 
 
+@query
+def op7_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    counts = tokencounts.token_counts(
+        table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
+#: The id after the last of the vocabulary fills packed rows.
+PAD = 50256
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    return bytebpe.round_trip(
+        table(spark, directory, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
+    )
+
+
+@query
+def op10_packed_ids(spark: SparkSession, directory: str) -> DataFrame:
+    tokens = bytebpe.encoded(
+        table(spark, directory, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
+    )
+    return packing.packed(tokens, PAD)
+
+
 @query
 def op9_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return quality.verdicts(table(spark, directory, "documents")).select(
