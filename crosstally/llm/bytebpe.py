@@ -148,7 +148,10 @@ class Encoder:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-encoder = lru_cache(2)(Encoder)
+@lru_cache(2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder a process and vocabulary."""
+    return Encoder(path, pattern)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
