@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Encodings of pre-tokens and verdicts on pairs that a process keeps; beyond that it starts anew.
 MEMO = 2**19
 
@@ -166,6 +168,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text:
                 ["doc_id", "n_tokens", "ids"],
             )
 
+    ship(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary")
@@ -173,6 +176,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text:
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """The rows of ``encoded`` with ``decoded``, the bytes that the ids stand for."""
+    ship(tokens.sparkSession)
     shape = f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

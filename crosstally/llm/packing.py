@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 LENGTH = 2048
 SHARD_TOKENS = 2**22
 #: Pieces a shard may hold besides; short documents count as 16 tokens.
@@ -143,5 +145,6 @@ def packed(tokens: DataFrame, pad: int, length: int = LENGTH, shard_tokens: int
                         pieces, cost, runs = [], 0, runs + 1
         yield from flush()
 
+    ship(tokens.sparkSession)
     rows = tokens.select(F.spark_partition_id().cast("bigint").alias("shard"), F.col("doc_id").cast("bigint"), "ids")
     return rows.filter(F.octet_length("ids") > 0).mapInArrow(run, ROW)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, licences, mixing, packing, quality, tokencounts
+from . import bytebpe, licences, mixing, packing, quality, tokencounts, topk, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,46 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_bit_sliced_topk(spark: SparkSession, directory: str) -> DataFrame:
+    return topk.top_k(table(spark, directory, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+ORACLES["op1_bit_sliced_topk"] = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query
+def op3_warc_boundaries(spark: SparkSession, directory: str) -> DataFrame:
+    return warc.archive(table(spark, directory, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLES["op3_warc_boundaries"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, h,
+        max(page_id) OVER (PARTITION BY payload) AS response FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+         CAST(((CAST(concat('0x', substr(h, 1 + 5 * (i // 4), 5)) AS BIGINT)) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM response THEN NULL ELSE response END AS refers_to
+FROM d
+"""
+
+
 @query
 def op2_pareto_mix(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.mix(table(spark, directory, "documents")).select(

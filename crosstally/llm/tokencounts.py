@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole, words
+from .common import ship, stored, whole, words
 
 #: Bounds of the broadcast table: its rows and the bytes of a pre-token.
 FREQUENT, SHORT = 2**19, 64
@@ -55,6 +55,7 @@ def counted(frequencies: DataFrame, path: str) -> DataFrame:
                 ["word", "occurrences", "pieces"],
             )
 
+    ship(frequencies.sparkSession)
     return frequencies.mapInArrow(run, "word string, occurrences bigint, pieces int")
 
 
