@@ -232,7 +232,9 @@ def reached(candidates: DataFrame) -> DataFrame:
 
 def _put_together(spark: SparkSession, path: str, parts: DataFrame, bases: DataFrame) -> DataFrame:
     """Records whose payload holds magic lines, from all the cuts they span."""
-    span = F.sequence(F.floor(F.col("at") / BIN), F.floor((F.col("end") - 1) / BIN))
+    # A magic line may begin inside the payload's last bytes and end behind them.
+    behind = F.col("end") + len(MAGIC)
+    span = F.sequence(F.floor(F.col("at") / BIN), F.floor(behind / BIN))
     wanted = parts.withColumn("bin", F.explode(span)).alias("w")
     raw = cuts(spark, path).join(parts.select("file").distinct(), "file", "left_semi")
     raw = placed(raw.withColumn("size", F.octet_length("value").cast("bigint")), bases)
@@ -240,7 +242,7 @@ def _put_together(spark: SparkSession, path: str, parts: DataFrame, bases: DataF
     inside = (
         (F.col("r.file") == F.col("w.file"))
         & (F.col("r.bin") == F.col("w.bin"))
-        & F.col("r.at").between(F.col("w.at"), F.col("w.end") - 1)
+        & F.col("r.at").between(F.col("w.at"), F.col("w.end") + len(MAGIC))
     )
     pieces = F.array_sort(F.collect_list(F.struct("r.at", "r.value")))
     whole_value = F.array_join(F.transform(pieces, lambda x: x["value"]), MAGIC)
