@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, licences, mixing, packing, quality, tokencounts, topk, warc
+from . import bytebpe, licences, mixing, neardup, packing, quality, substrings, tokencounts, topk, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,17 @@ def op4_licence_scan(spark: SparkSession, directory: str) -> DataFrame:
     return licences.licences(table(spark, directory, "documents"))
 
 
+@query
+def op5_bbit_minhash(spark: SparkSession, directory: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, directory, "documents"), size=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op6_compact_windows(spark: SparkSession, directory: str) -> DataFrame:
+    return substrings.repeated(table(spark, directory, "documents"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     counts = tokencounts.token_counts(
