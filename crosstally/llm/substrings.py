@@ -18,6 +18,7 @@ result; columns that are not named are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from .common import fresh, ship, stored, whole, words
 SIZE, WORDS, PERCENT = 5, 50, 80
 #: Hash functions, and how many must agree: at 0.8 a pair is missed with probability 0.002.
 HASHES, ENOUGH = 6, 2
-#: Shingles without a counterpart that a passage may hold in a row; tried from the widest.
-GAPS = (10, 5, 1)
+#: Shingles without a counterpart that a passage may hold in a row.
+GAP = 20
 #: Words whose hashes a process keeps.
 MEMO = 2**18
 #: Texts whose key table is broadcast; more are joined by shuffle.
@@ -172,7 +173,7 @@ def regions(collisions: list[dict]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _stretches(there: list[int], gap: int) -> Iterator[tuple[int, int]]:
+def _stretches(there: list[int], gap: int = GAP) -> Iterator[tuple[int, int]]:
     """First and last of the groups of sorted places with at most ``gap`` others between."""
     begin = before = None
     for i in there:
@@ -186,40 +187,77 @@ def _stretches(there: list[int], gap: int) -> Iterator[tuple[int, int]]:
         yield begin, before
 
 
-def passages(a: list[bytes], b: list[bytes], region: tuple[int, int, int, int], gaps: tuple[int, ...] = GAPS):
+def _similarity(x: list, y: list) -> float:
+    s, t = set(x), set(y)
+    both = len(s & t)
+    return both / (len(s) + len(t) - both) if 100 * both >= PERCENT * (len(s) + len(t) - both) else 0.0
+
+
+def _parts(sa: list, sb: list, least: int) -> Iterator[tuple[int, int, int, int, float]]:
+    """The longest parts of two stretches, from the left, that are alike enough.
+
+    The common runs are lined up; sums of their lengths say which spans of runs may do, and these
+    are confirmed on their sets.  Yields first and last shingle in a and in b, and the similarity.
+    """
+    where: dict = {}
+    for i, x in enumerate(sa):
+        where.setdefault(x, []).append(i)
+    runs: list[list[int]] = []  # first in a, first in b, length
+    for j, x in enumerate(sb):
+        if x not in where:
+            continue
+        if runs and runs[-1][1] + runs[-1][2] == j and runs[-1][0] + runs[-1][2] < len(sa) and sa[runs[-1][0] + runs[-1][2]] == x:
+            runs[-1][2] += 1
+        else:
+            after = runs[-1][0] + runs[-1][2] if runs else 0
+            k = bisect_left(where[x], after)
+            runs.append([where[x][k] if k < len(where[x]) else where[x][0], j, 1])
+    upto = [0]
+    for r in runs:
+        upto.append(upto[-1] + r[2])
+    first = 0
+    while first < len(runs):
+        a0, b0, _ = runs[first]
+        step = 1
+        for last in range(len(runs) - 1, first - 1, -1):
+            a1, b1 = (runs[last][k] + runs[last][2] - 1 for k in (0, 1))
+            if b1 - b0 + 1 < least:
+                break
+            both = upto[last + 1] - upto[first]
+            if a1 - a0 + 1 < least or 100 * both < PERCENT * (a1 - a0 + b1 - b0 + 2 - both):
+                continue
+            if alike := _similarity(sa[a0 : a1 + 1], sb[b0 : b1 + 1]):
+                yield a0, a1, b0, b1, alike
+                step = last - first + 1
+                break
+        first += step
+
+
+def passages(a: list[bytes], b: list[bytes], region: tuple[int, int, int, int]):
     """(a_start, a_end, b_start, b_end, similarity) of near-duplicate passages in a region.
 
-    Places are words, ends exclusive.  Shared shingles that lie close together make a stretch of b;
-    they make one of a; if their sets are not alike enough, narrower gaps are tried.
+    Places are words, ends exclusive.  Shared shingles that lie close together make a stretch of b
+    and one of a; if these are not alike enough as a whole, their longest parts that are.
     """
     al, ar, bl, br = region
-    made = lambda w, i, j: [tuple(w[k : k + SIZE]) for k in range(i, j + 1)]
-    sa, sb = made(a, al, ar), made(b, bl, br)
     least = WORDS - SIZE + 1
-
-    def within(b0: int, b1: int, a0: int, a1: int, rest: tuple[int, ...]):
-        known = set(sa[a0 : a1 + 1])
-        for j0, j1 in _stretches([j for j in range(b0, b1 + 1) if sb[j] in known], rest[0]):
-            if j1 - j0 + 1 < least:
+    sa, sb = ([tuple(w[k : k + SIZE]) for k in range(i, j + 1)] for w, i, j in ((a, al, ar), (b, bl, br)))
+    known = set(sa)
+    for j0, j1 in _stretches([j for j, x in enumerate(sb) if x in known]):
+        if j1 - j0 + 1 < least:
+            continue
+        own = sb[j0 : j1 + 1]
+        mine = set(own)
+        for i0, i1 in _stretches([i for i, x in enumerate(sa) if x in mine]):
+            if i1 - i0 + 1 < least:
                 continue
-            mine = set(sb[j0 : j1 + 1])
-            found = False
-            for i0, i1 in _stretches([i for i in range(a0, a1 + 1) if sa[i] in mine], rest[0]):
-                if i1 - i0 + 1 < least:
-                    continue
-                theirs = set(sa[i0 : i1 + 1])
-                both = len(mine & theirs)
-                union = len(mine) + len(theirs) - both
-                if 100 * both >= PERCENT * union:
-                    found = True
-                    yield al + i0, al + i1 + SIZE, bl + j0, bl + j1 + SIZE, both / union
-                elif len(rest) > 1:
-                    yield from within(j0, j1, i0, i1, rest[1:])
-                    found = True
-            if not found and len(rest) > 1:
-                yield from within(j0, j1, a0, a1, rest[1:])
-
-    yield from within(0, len(sb) - 1, 0, len(sa) - 1, gaps)
+            theirs = sa[i0 : i1 + 1]
+            if alike := _similarity(theirs, own):
+                found = [(0, i1 - i0, 0, j1 - j0, alike)]
+            else:
+                found = _parts(theirs, own, least)
+            for a0, a1, b0, b1, alike in found:
+                yield al + i0 + a0, al + i0 + a1 + SIZE, bl + j0 + b0, bl + j0 + b1 + SIZE, alike
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
