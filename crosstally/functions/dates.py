@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..contract import SERIAL_EPOCH
 
+#: First and last serial number of a day: 1900-01-01 and 9999-12-31.
+SERIAL_DAYS = (2, 2958465)
 SATURDAY = 7  # numbering of F.dayofweek: 1 = Sunday .. 7 = Saturday
 
 
@@ -32,16 +34,27 @@ def window_start(as_of: date, months_back: int = 3) -> date:
     return date(index // 12, index % 12 + 1, 1)
 
 
+def day_from_text(cell: Column) -> Column:
+    """The day of a ``MM/DD/YYYY`` text, else NULL."""
+    text = F.trim(cell)
+    shaped = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), text)
+    return F.try_to_timestamp(shaped, F.lit("M/d/yyyy")).cast("date")
+
+
 def iso_date_text(cell: Column) -> Column:
-    """Spreadsheet cell as ``YYYY-MM-DD``: dates and serial numbers are converted, other text kept."""
+    """Spreadsheet cell as ``YYYY-MM-DD``: dates and serial numbers are converted, other text kept.
+
+    Serials are those of the years 1900 to 9999; any other number is text.
+    """
     text = F.trim(cell.cast("string"))
-    serial = text.try_cast("decimal(18,6)").try_cast("int")
+    number = text.try_cast("decimal(18,6)").try_cast("int")
+    serial = F.when(number.between(*SERIAL_DAYS), number)
     from_serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), serial)
     is_iso = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$")
     return (
         F.when(serial.isNotNull(), F.date_format(from_serial, "yyyy-MM-dd"))
         .when(is_iso, F.coalesce(F.date_format(text.try_cast("date"), "yyyy-MM-dd"), cell))
-        .otherwise(cell)
+        .otherwise(F.coalesce(F.date_format(day_from_text(text), "yyyy-MM-dd"), cell))
     )
 
 

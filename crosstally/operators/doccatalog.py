@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..contract import DOCUMENT_EXTENSIONS
 from ..functions import labels
-from ..schemas import schema
 
 _BAD = "_bad_record"
+#: The fields that are used, read as text whatever their JSON type; others are not looked at.
+_FIELDS = ("visibleName", "type", "parent", "deleted", "createdTime", "lastModified", "lastOpened")
+#: Texts of JSON values that count as false.
+_FALSE = ("", "false", "0", "0.0", "[]", "{}")
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
@@ -21,15 +24,15 @@ def parse_documents(files: DataFrame) -> DataFrame:
     The fields are generated by ``inline``: a filter on one of them cannot be merged into the scan
     side, which would parse every text again for each condition.
     """
-    fields = schema("document_metadata").add(_BAD, StringType())
+    fields = StructType([StructField(name, StringType()) for name in (*_FIELDS, _BAD)])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    present = F.col("text").isNotNull() & (F.trim("text") != "")
+    present = F.coalesce(F.ltrim("text").startswith("{"), F.lit(False))
     meta = F.array(F.from_json("text", fields, options))
     return files.select("file_name", present.alias("_present"), F.inline(meta)).select(
         "file_name",
         (F.col("_present") & F.col(_BAD).isNull()).alias("parsed"),
         "visibleName", "type", "parent",
-        F.coalesce("deleted", F.lit(False)).alias("deleted"),
+        F.coalesce(~F.lower("deleted").isin(*_FALSE), F.lit(False)).alias("deleted"),
         F.timestamp_millis(F.col("createdTime").try_cast("bigint")).alias("created_at"),
         F.timestamp_millis(F.col("lastModified").try_cast("bigint")).alias("modified_at"),
         F.timestamp_millis(F.col("lastOpened").try_cast("bigint")).alias("opened_at"),

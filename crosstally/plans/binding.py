@@ -9,19 +9,18 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..contract import KPI_HEADERS, SERIAL_EPOCH
 from ..functions.dates import week_ending
-from ..operators.sizes import is_small
 from ..schemas import schema
 
 AS_OF = date(2001, 8, 1)  # last order date of the test tables
 KEY_TYPE = "bigint"
 SCOPE_CODES = ("ASIA", "EUROPE")
-SITES_OF_ORDERS = 100
+#: Customers per supplier in the test tables, at every size.
+CUSTOMERS_PER_SITE = 15
 PROVIDERS = 25
 
 #: Words of the part names, first match wins.
@@ -36,8 +35,6 @@ TIERS = (("XL", 4_000_000), ("Large", 2_500_000), ("Medium", 1_000_000), ("Small
 
 #: All three states of the flag: set, clear, unknown.
 _VOIDED = "CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 0 END AS voided"
-_SCHEMAS: dict[str, StructType] = {}
-_SMALL: dict[tuple[str, str], bool] = {}
 
 
 def _money(sql: str) -> str:
@@ -48,23 +45,26 @@ class Star:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """The whole table; its footer is asked for the schema once per process."""
-        path = f"{self.directory}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        """The whole table; its footer is asked for the schema once per query."""
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return self._read[name]
 
     def _joined(self, left: DataFrame, right: str, left_key: str, right_key: str) -> DataFrame:
         return left.join(self.table(right), F.col(left_key) == F.col(right_key))
 
-    def _dimension(self, name: str, df: DataFrame) -> DataFrame:
-        """A joined dimension, broadcast if it measures small; measured once per process."""
-        key = (self.directory, name)
-        if key not in _SMALL:
-            _SMALL[key] = is_small(df)
-        return F.broadcast(df) if _SMALL[key] else df
+    def _nations(self) -> Column:
+        """Nations with their region by key, as a scalar subquery: 25 entries at every size.
+
+        A lookup instead of a join leaves a dimension the size of its own table, by which Spark
+        decides on broadcasts; joins would count as the product of their inputs.
+        """
+        located = self._joined(self.table("nation"), "region", "n_regionkey", "r_regionkey")
+        place = F.struct("n_name", "r_name", "n_regionkey")
+        return located.agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", place)))).scalar()
 
     # -- reconciliation ------------------------------------------------------------------------
 
@@ -105,7 +105,7 @@ class Star:
             "concat('INV-', o_orderkey) AS invoiceNumber",
             f"o_orderkey % {PROVIDERS} AS customerID",
             "o_custkey AS fleetID",
-            f"o_orderkey % {SITES_OF_ORDERS} AS siteID",
+            f"o_custkey div {CUSTOMERS_PER_SITE} AS siteID",
             "o_orderdate AS invoiceDate",
             f"{_money('o_totalprice')} AS invoiceTotalAmount",
             f"{_money('NULL')} AS prepaidTotalAmount",
@@ -114,9 +114,9 @@ class Star:
         )
 
     def fleets(self) -> DataFrame:
-        """Accounts in good standing only, so that the left join has misses."""
-        return self.table("customer").filter("c_acctbal >= 0").selectExpr(
-            "c_custkey AS fleetID",
+        """Every account; those in debt under another id, so that the left join has misses."""
+        return self.table("customer").selectExpr(
+            "CASE WHEN c_acctbal >= 0 THEN c_custkey ELSE -c_custkey - 1 END AS fleetID",
             "concat('MBL-', c_custkey) AS fleetCode",
             "c_custkey AS fleetAccountNumber",
             "c_name AS fleetAccountName",
@@ -124,23 +124,17 @@ class Star:
 
     def sites(self) -> DataFrame:
         """Store codes with a brand prefix by region and, for some, the suffix."""
-        located = self._joined(
-            self._joined(self.table("supplier"), "nation", "s_nationkey", "n_nationkey"),
-            "region", "n_regionkey", "r_regionkey",
-        )
-        return self._dimension(
-            "sites",
-            located.selectExpr(
-                "s_suppkey AS siteID",
-                """concat(CASE WHEN r_name IN ('AFRICA', 'AMERICA') THEN 'T5C'
-                               WHEN r_name = 'ASIA' THEN 'MBL' ELSE 'AIN' END,
-                          s_suppkey,
-                          CASE WHEN s_suppkey % 4 = 0 THEN '828' ELSE '' END) AS storeNumber""",
-                "s_name AS siteName",
-                "r_name AS region",
-                "n_name AS district",
-                "concat('Division ', n_regionkey) AS division",
-            ),
+        located = self.table("supplier").withColumn("place", self._nations()[F.col("s_nationkey")])
+        return located.select("s_suppkey", "s_name", "place.*").selectExpr(
+            "s_suppkey AS siteID",
+            """concat(CASE WHEN r_name IN ('AFRICA', 'AMERICA') THEN 'T5C'
+                           WHEN r_name = 'ASIA' THEN 'MBL' ELSE 'AIN' END,
+                      s_suppkey,
+                      CASE WHEN s_suppkey % 4 = 0 THEN '828' ELSE '' END) AS storeNumber""",
+            "s_name AS siteName",
+            "r_name AS region",
+            "n_name AS district",
+            "concat('Division ', n_regionkey) AS division",
         )
 
     def second_brand_sites(self) -> DataFrame:
@@ -152,16 +146,13 @@ class Star:
 
     def customers(self) -> DataFrame:
         located = self._joined(self.table("nation"), "region", "n_regionkey", "r_regionkey")
-        return self._dimension(
-            "customers",
-            located.selectExpr(
-                "CAST(n_nationkey AS BIGINT) AS customerID",
-                "n_name AS customerCompanyName",
-                "r_name AS corpType",
-                f"CASE WHEN n_nationkey % 2 = 0 THEN {_money('1.50')} END AS aiInvoiceFlatFee",
-                """CASE WHEN n_nationkey % 3 = 0 THEN CAST(0.01 AS DECIMAL(9,6)) END
-                   AS aiInvoicePctFee""",
-            ),
+        return located.selectExpr(
+            "CAST(n_nationkey AS BIGINT) AS customerID",
+            "n_name AS customerCompanyName",
+            "r_name AS corpType",
+            f"CASE WHEN n_nationkey % 2 = 0 THEN {_money('1.50')} END AS aiInvoiceFlatFee",
+            """CASE WHEN n_nationkey % 3 = 0 THEN CAST(0.01 AS DECIMAL(9,6)) END
+               AS aiInvoicePctFee""",
         )
 
     def corporation_types(self) -> DataFrame:
@@ -171,11 +162,12 @@ class Star:
         )
 
     def partner_kpi(self) -> DataFrame:
-        """The other party's rows: voided ones included, urgent orders not reported, one line off."""
+        """The other party's rows: voided ones included, urgent orders a week late, one line off."""
         gross = """total - CASE WHEN l_returnflag = 'R' THEN discount ELSE 0 END
                          + CASE WHEN l_linenumber = 3 THEN 25 ELSE 0 END"""
-        return self._facts().filter("o_orderpriority <> '1-URGENT'").select(
-            week_ending(F.col("o_orderdate")).alias("weekEnding"),
+        late = F.when(F.col("o_orderpriority") == "1-URGENT", 7).otherwise(0)
+        return self._facts().select(
+            F.date_add(week_ending(F.col("o_orderdate")), late).alias("weekEnding"),
             F.expr("concat('Account ', o_custkey) AS fleetAccountName"),
             F.expr("o_custkey AS fleetAccountNumber"),
             F.expr("l_suppkey AS storeNumber"),
@@ -256,20 +248,20 @@ class Star:
         )
 
     def accounts(self) -> DataFrame:
-        """Every third account has a parent, every tenth is cancelled."""
-        return self._joined(
-            self.table("customer"), "nation", "c_nationkey", "n_nationkey"
-        ).selectExpr(
+        """Every third account has a parent; the balance says which are cancelled, and when."""
+        cents = "CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS cents"
+        located = self._joined(self.table("customer"), "nation", "c_nationkey", "n_nationkey")
+        return located.selectExpr("*", cents).selectExpr(
             "c_custkey AS account_id",
             "c_name AS account_name",
             "CASE WHEN c_custkey % 3 = 0 THEN n_name END AS parent_account_name",
             "c_mktsegment AS segment",
-            "CASE WHEN c_custkey % 10 = 0 THEN 'Cancelled' ELSE 'Active' END AS status",
-            f"""CASE WHEN c_custkey % 10 = 0
-                     THEN date_sub(DATE '{AS_OF}', CAST(c_custkey % 24 * 30 AS INT)) END
+            "CASE WHEN cents % 10 = 0 THEN 'Cancelled' ELSE 'Active' END AS status",
+            f"""CASE WHEN cents % 10 = 0
+                     THEN date_sub(DATE '{AS_OF}', CAST(cents div 10 % 24 * 30 AS INT)) END
                 AS cancelled_date""",
-            """CASE WHEN c_custkey % 10 = 0
-                    THEN elt(CAST(c_custkey div 10 % 4 AS INT) + 1,
+            """CASE WHEN cents % 10 = 0
+                    THEN elt(CAST(cents div 10 % 4 AS INT) + 1,
                              'price', 'closed', 'service', 'merged') END AS cancellation_reason""",
         )
 

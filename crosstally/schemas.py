@@ -76,6 +76,10 @@ REQUIRED = {
     ),
     "invoice_detail": ("invoice_id", "line_amount"),
     "accounts": ("account_id", "account_name"),
+    "partner_kpi": (
+        "weekEnding", "fleetAccountName", "fleetAccountNumber", "storeNumber", "grossSales",
+        "discountsDollars", "carsPerDay", "oilChanges",
+    ),
 }
 
 RECONCILIATION_TABLES = (

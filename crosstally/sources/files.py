@@ -14,16 +14,28 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """(path, file_name) of the matching files; contents are not read.
+def empty_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
+    """(path, file_name) of the matching files without a byte.
 
-    Spark's file sources pass over files of zero bytes, here and in ``read_documents``.
+    Spark's file sources pass over them, so they are taken from the file system's listing; names
+    only, and only theirs, go through the driver.
     """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    glob = hadoop.Path(directory, pattern)
+    system = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(glob) or []
+    paths = [(s.getPath().toString(),) for s in found if s.isFile() and s.getLen() == 0]
+    return spark.createDataFrame(paths, "path STRING").withColumn("file_name", base_name(F.col("path")))
+
+
+def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
+    """(path, file_name) of the matching files, those of zero bytes included; contents are not read."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .load(directory)
         .select("path", base_name(F.col("path")).alias("file_name"))
+        .union(empty_files(spark, directory, pattern))
     )
 
 
@@ -34,7 +46,10 @@ def file_role(file_name: Column) -> Column:
 
 def routed_paths(spark: SparkSession, directory: str) -> dict[str, list[str]]:
     """Paths per target table.  Only names travel to the driver, as for any file listing."""
-    files = list_files(spark, directory, "*.csv").select("path", file_role(F.col("file_name")))
+    files = list_files(spark, directory, "*.csv").join(
+        empty_files(spark, directory, "*.csv"), "path", "left_anti"
+    )
+    files = files.select("path", file_role(F.col("file_name")))
     routes: dict[str, list[str]] = {}
     for path, role in files.toLocalIterator():
         if role is not None:
@@ -60,8 +75,9 @@ def latest_file(spark: SparkSession, directory: str, pattern: str = "*.csv") ->
 def read_documents(
     spark: SparkSession, directory: str, pattern: str = f"*{DOCUMENT_EXTENSIONS[0]}"
 ) -> DataFrame:
-    """(file_name, text): one row per file, the whole text in one value."""
+    """(file_name, text): one row per file, the whole text in one value, empty for an empty file."""
     files = spark.read.option("pathGlobFilter", pattern).text(directory, wholetext=True)
+    none = empty_files(spark, directory, pattern).select("file_name", F.lit("").alias("text"))
     return files.select(
         F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")
-    )
+    ).union(none)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contract import KPI_DATE_COLUMNS, KPI_HEADERS
 from ..functions.dates import iso_date_text
-from ..schemas import schema
+from ..schemas import REQUIRED, schema
 from .tables import typed
 
 
@@ -33,5 +33,5 @@ def normalise_kpi(sheet: DataFrame) -> DataFrame:
 
 
 def typed_kpi(sheet: DataFrame) -> DataFrame:
-    """Normalised sheet in the KPI schema."""
-    return typed(normalise_kpi(sheet), schema("partner_kpi"))
+    """Normalised sheet in the KPI schema; columns the comparison does not use may be missing."""
+    return typed(normalise_kpi(sheet), schema("partner_kpi"), REQUIRED["partner_kpi"])

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import csv_options
+
 
 def write_csv(df: DataFrame, path: str) -> int:
     """Writes every row with a header and returns how many there were.
@@ -15,7 +17,7 @@ def write_csv(df: DataFrame, path: str) -> int:
     """
     seen = Observation("csv_rows")
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    counted.write.mode("overwrite").options(**csv_options()).csv(path)
     return seen.get["rows"]
 
 

@@ -1,66 +1,116 @@
 """Typed tables from CSV, Parquet or a database, and replace-loads of them.
 
-CSV is the exchange format, Parquet the format at rest: a CSV file with quoted line breaks cannot
-be split, so an extract should arrive as many files and be loaded once.
+CSV is the exchange format, Parquet the format at rest.  A CSV file with quoted line breaks cannot
+be split, so each is one task; where no text holds line breaks, ``multi_line=False`` splits them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import DateType, StringType, StructType, TimestampType
 
 from ..contract import JDBC_FETCH_SIZE, SOURCE_COLUMNS, SOURCE_TABLES
 from ..functions.casts import flag_column, int_from_text
-from ..schemas import schema
+from ..functions.dates import day_from_text
+from ..schemas import REQUIRED, schema
 
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
-def typed(raw: DataFrame, fields: StructType) -> DataFrame:
+def typed(raw: DataFrame, fields: StructType, required: Sequence[str] | None = None) -> DataFrame:
     """Brings text columns to ``fields`` by name; a bad value becomes NULL.
 
-    Columns are found by header, so their order in the file does not matter; a missing one is an
-    error, because it would silently turn into NULLs.
+    Columns are found by header, so their order in the file does not matter.  A missing one is an
+    error if it is ``required`` (by default all are); any other becomes a column of typed NULLs.
     """
-    missing = [f.name for f in fields if f.name not in raw.columns]
+    needed = [f.name for f in fields] if required is None else required
+    missing = [name for name in needed if name not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     out = []
     for f in fields:
         kind = f.dataType.simpleString()
-        if f.name == "voided":
+        if f.name not in raw.columns:
+            cell = F.lit(None).cast(f.dataType)
+        elif f.name == "voided":
             cell = flag_column(raw, f.name)
         elif isinstance(f.dataType, StringType):
             cell = F.col(f.name)
         elif kind in _INTEGERS and isinstance(raw.schema[f.name].dataType, StringType):
             cell = int_from_text(F.col(f.name), kind)
+        elif isinstance(f.dataType, DateType | TimestampType) and isinstance(
+            raw.schema[f.name].dataType, StringType
+        ):
+            cell = F.coalesce(F.col(f.name).try_cast(kind), day_from_text(F.col(f.name)).cast(kind))
         else:
             cell = F.col(f.name).try_cast(kind)
         out.append(cell.alias(f.name))
     return raw.select(*out)
 
 
-def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV with header as text columns; quotes are doubled and may span lines."""
-    return (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .csv(path)
-    )
+def csv_options(multi_line: bool = True) -> dict[str, str]:
+    """Doubled quotes, blanks kept, line breaks inside quotes."""
+    return {
+        "header": "true",
+        "escape": '"',
+        "multiLine": str(multi_line).lower(),
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    }
 
 
-def read_csv(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
-    return typed(read_text_csv(spark, path), schema(table))
+def by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """The files below ``path`` grouped by their first line.
 
+    The reader takes one file's header for all and maps the others by position, so only files
+    with the same header may be read together.  One pass finds every file's first line; lines of
+    later blocks are dropped as they are read.
+    """
+    lines = (
+        spark.read.text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("nth"),
+            F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
+        )
+        .filter("block = 0")
+    )
+    first = lines.groupBy("file").agg(F.min_by("line", "nth").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for file, header in first.toLocalIterator():
+        groups.setdefault(header, []).append(file)
+    return [sorted(groups[header]) for header in sorted(groups)]
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+
+def read_text_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """CSV with header as text columns, files with different headers matched by name.
+
+    A column that a file lacks is NULL in its rows.
+    """
+    groups = by_header(spark, path)
+    if len(groups) <= 1:
+        return spark.read.options(**csv_options(multi_line)).csv(path)
+    parts = [spark.read.options(**csv_options(multi_line)).csv(files) for files in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_csv(
+    spark: SparkSession, path: str | list[str], table: str, multi_line: bool = True
+) -> DataFrame:
+    """A table from one or more files; each must have the table's required columns."""
+    groups = by_header(spark, path)
+    parts = [
+        typed(spark.read.options(**csv_options(multi_line)).csv(files), schema(table), REQUIRED.get(table))
+        for files in groups or [path]
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def stub(spark: SparkSession, table: str) -> DataFrame:

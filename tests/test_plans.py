@@ -6,10 +6,10 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
-from crosstally.operators import enrich, reconcile, sales, sizes
+from crosstally.operators import enrich, reconcile, sales
 from crosstally.operators.scope import scope_customers, scope_invoices
 from crosstally.plans.binding import AS_OF, Star
+from crosstally.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 UNBOUNDED = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval", "MapInPandas")
@@ -24,13 +24,56 @@ def plan(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
-def test_no_pairs_no_python_no_unpartitioned_window(spark, name):
-    text = plan(contract.queries()[name](spark, SF))
+@pytest.fixture
+def no_broadcast(spark):
+    """The joins that tables beyond the threshold get."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def check_plan(spark, name):
+    text = plan(QUERIES[name](spark, SF))
     assert not [word for word in UNBOUNDED if word in text]
     assert "Window" not in text or name in BOUNDED_WINDOWS
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_pairs_no_python_no_unpartitioned_window(spark, name):
+    check_plan(spark, name)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_nor_with_tables_beyond_the_broadcast_threshold(spark, no_broadcast, name):
+    check_plan(spark, name)
+
+
+def test_building_a_query_runs_no_data_job(spark):
+    """But for footers of files that are new to the session."""
+    tracker = spark.sparkContext.statusTracker()
+    for name in ("variance_summary", "fleet_store_month", "line_enriched"):
+        QUERIES[name](spark, SF)  # reads footers
+        spark.sparkContext.setJobGroup("building", name)
+        QUERIES[name](spark, SF)
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("building")]
+        tasks = sum(tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds)
+        assert tasks == len(jobs)  # a footer is read by one task
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_every_customer_and_supplier_takes_part(spark):
+    star = Star(spark, "/root/testdata/sf0.1")
+    sites = star.order_invoices().select("siteID").distinct()
+    used = sites.join(star.table("supplier"), F.col("siteID") == F.col("s_suppkey"), "left_semi")
+    assert used.count() == sites.count()
+    ordering = star.table("orders").select((F.col("o_custkey") / 15).cast("int").alias("k")).distinct()
+    assert used.count() == ordering.count() >= 0.99 * star.table("supplier").count()
+    assert star.fleets().count() == star.table("customer").count()
+    assert star.partner_kpi().count() == star.table("lineitem").count()
+
+
 def test_window_and_brand_predicates_reach_the_scan(spark):
     star = Star(spark, SF)
     text = plan(scope_invoices(star.invoices(), star.customers(), AS_OF, ("ASIA",)))
@@ -48,7 +91,7 @@ def test_unknown_voided_rows_are_kept_by_a_predicate_that_reaches_the_scan(spark
 
 
 def test_scans_read_only_the_needed_columns(spark):
-    text = plan(contract.queries()["variance_summary"](spark, SF))
+    text = plan(QUERIES["variance_summary"](spark, SF))
     scans = [line for line in text.split("\n") if "FileScan" in line and "lineitem" in line]
     assert scans
     for scan in scans:
@@ -62,19 +105,10 @@ def test_service_mix_scans_the_details_once(spark):
 
 
 def test_names_are_searched_in_texts_parsed_once(spark):
-    text = plan(contract.queries()["doc_name_search"](spark, SF))
+    text = plan(QUERIES["doc_name_search"](spark, SF))
     assert text.count("from_json") == 1
 
 
-def test_broadcast_needs_a_measured_size(spark):
-    dim = spark.range(100).selectExpr("id", "repeat('x', 10) AS name")
-    assert sizes.is_small(dim)
-    assert not sizes.is_small(dim, max_rows=99)
-    assert not sizes.is_small(dim, max_bytes=1799)
-    assert sizes.is_small(dim, max_bytes=1800)
-    assert sizes.is_small(dim.filter("id < 0"))
-
-
 HOT, ALL = 30_000, 60_000
 
 
@@ -133,5 +167,6 @@ def test_hot_keys_are_split_and_give_whole_results(spark, hot):
 
 
 def test_scoped_customers_is_a_plain_in(spark):
-    star = Star(spark, SF)
-    assert scope_customers(star.customers(), ("ASIA",)).count() == 5
+    customers = scope_customers(Star(spark, SF).customers(), ("ASIA", "EUROPE"))
+    text = plan(customers)
+    assert "In(r_name, [ASIA,EUROPE])" in text and customers.count() == 10

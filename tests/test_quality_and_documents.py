@@ -56,26 +56,33 @@ def test_stores(frame):
 
 def test_catalogue_of_files(spark, tmp_path):
     documents = {
-        "a": {"visibleName": "Quarter plan", "type": "DocumentType", "createdTime": "1740409835198",
-              "parent": "398b95e9-9150-4701-b3e8-75e1b290da1f", "lastOpenedPage": 0, "new": False},
+        "a": {"visibleName": "Quarter plan", "type": "DocumentType", "createdTime": "1751328000000",
+              "parent": "5e1f0c22-shelf", "lastOpenedPage": 0, "new": False},
         "b": {"visibleName": "Shelf", "type": "CollectionType", "parent": ""},
         "c": {"visibleName": "Old", "type": "DocumentType", "parent": "trash", "deleted": True},
         "d": {"type": "DocumentType"},
         "e": {"visibleName": "Two\nlines \"quoted\"", "extra": {"nested": [1]}},
+        "h": {"visibleName": "Odd", "pinned": "false", "lastOpenedPage": 1.5, "deleted": 1},
+        "i": {"visibleName": 7, "lastOpenedPage": 99999999999, "deleted": 0, "parent": None},
     }
     for name, content in documents.items():
         (tmp_path / f"{name}.metadata").write_text(json.dumps(content, indent=4))
     (tmp_path / "f.metadata").write_text("not json")
     (tmp_path / "g.metadata").write_text("")
+    (tmp_path / "j.metadata").write_text('[{"visibleName": "listed"}]')
     (tmp_path / "a.content").write_text("{}")
     found_files = files.read_documents(spark, str(tmp_path))
     rows = {r.file_name: r for r in doccatalog.document_summary(found_files).collect()}
-    assert {n: r.line for n, r in rows.items() if n[0] in "abcdf"} == {
-        "a.metadata": "[DOC] Quarter plan (in: 398b95e9...)",
+    assert {n: r.line for n, r in rows.items() if n[0] in "abcdfghij"} == {
+        "a.metadata": "[DOC] Quarter plan (in: 5e1f0c22...)",
         "b.metadata": "[FOLDER] Shelf",
         "c.metadata": "[DOC] Old [DELETED] (in: trash)",
         "d.metadata": "[DOC] (unknown)",
         "f.metadata": "[?] f.metadata (could not parse)",
+        "g.metadata": "[?] g.metadata (could not parse)",
+        "h.metadata": "[DOC] Odd [DELETED]",
+        "i.metadata": "[DOC] 7",
+        "j.metadata": "[?] j.metadata (could not parse)",
     }
     assert rows["e.metadata"].name == 'Two\nlines "quoted"'
     created = {r.file_name: r.created_at for r in doccatalog.parse_documents(found_files).collect()}
@@ -85,5 +92,5 @@ def test_catalogue_of_files(spark, tmp_path):
     assert doccatalog.name_search(found_files, "%").count() == 0
     listed = files.list_files(spark, str(tmp_path))
     counts = {r.extension: r.files for r in doccatalog.extension_counts(listed).collect()}
-    # Spark's file sources skip the file without a byte (g).
-    assert counts == {".metadata": 6, ".content": 1, ".pagedata": 0, "total": 7}
+    # The file without a byte (g) counts as well.
+    assert counts == {".metadata": 10, ".content": 1, ".pagedata": 0, "total": 11}

@@ -9,6 +9,8 @@ from crosstally.plans.registry import QUERIES
 from verification import check
 from verification.oracles import ORACLES
 
+#: At this size no account may have been inactive for a year, and no two sites share a number.
+MAY_BE_EMPTY = {"q7_inactive"}
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -20,7 +22,7 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, name):
     problem = check.compare(spark, SF, name)
-    assert problem in (None, "no rows")
+    assert problem is None or (problem == "no rows" and name in MAY_BE_EMPTY)
 
 
 def test_entry(spark):

@@ -27,8 +27,9 @@ fact AS (
 )"""
 
 FLEET = """
-fleet AS (SELECT c_custkey AS fid, 'MBL-' || c_custkey AS code, c_name AS fname
-          FROM customer WHERE c_acctbal >= 0)"""
+fleet AS (SELECT CASE WHEN c_acctbal < 0 THEN -1 - c_custkey ELSE c_custkey END AS fid,
+                 c_custkey AS number, 'MBL-' || c_custkey AS code, c_name AS fname
+          FROM customer)"""
 
 SITE = """
 site AS (
@@ -51,10 +52,11 @@ provider AS (
 
 KPI = """
 kpi AS (
-  SELECT week, o_custkey AS fid, l_suppkey AS store, discount,
+  SELECT week + CASE o_orderpriority WHEN '1-URGENT' THEN 7 ELSE 0 END AS week,
+         o_custkey AS fid, l_suppkey AS store, discount,
          CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS oil,
          balance + CASE WHEN l_linenumber = 3 THEN 25 ELSE 0 END AS gross
-  FROM fact WHERE o_orderpriority <> '1-URGENT'
+  FROM fact
 )"""
 
 
@@ -118,7 +120,7 @@ TIES = """week NULLS LAST, fid NULLS LAST, store NULLS LAST, fname NULLS LAST, s
 # Order headers as invoices: one row per order.
 ORDER_INVOICE = """
 inv AS (
-  SELECT o_orderkey AS iid, o_custkey AS fk, o_orderkey % 100 AS sk, o_orderkey % 25 AS pk,
+  SELECT o_orderkey AS iid, o_custkey AS fk, o_custkey // 15 AS sk, o_orderkey % 25 AS pk,
          CAST(o_orderdate AS DATE) AS day, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
          CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 0 END AS voided
   FROM orders
@@ -172,11 +174,12 @@ ACCOUNT = """
 account AS (
   SELECT c_custkey AS account_id, c_name AS account_name, c_mktsegment AS segment,
          CASE WHEN c_custkey % 3 = 0 THEN n_name END AS parent,
-         CASE WHEN c_custkey % 10 = 0
-              THEN DATE '2001-08-01' - CAST(c_custkey % 24 * 30 AS INTEGER) END AS gone,
-         CASE WHEN c_custkey % 10 = 0
-              THEN ['price', 'closed', 'service', 'merged'][1 + (c_custkey // 10) % 4] END AS reason
-  FROM customer JOIN nation ON c_nationkey = n_nationkey
+         CASE WHEN cents % 10 = 0
+              THEN DATE '2001-08-01' - CAST((cents // 10) % 24 * 30 AS INTEGER) END AS gone,
+         CASE WHEN cents % 10 = 0
+              THEN ['price', 'closed', 'service', 'merged'][1 + (cents // 10) % 4] END AS reason
+  FROM (SELECT *, CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS cents FROM customer)
+  JOIN nation ON c_nationkey = n_nationkey
 )"""
 
 LOST = f"""WITH {HEADER}, {ACCOUNT},
@@ -307,7 +310,7 @@ FROM weekly""",
     "store_number_parse": f"""WITH {SITE}
 SELECT sid AS "siteID", raw AS "rawStore", store AS "storeNumber" FROM site""",
     "account_number_from_code": f"""WITH {FLEET}
-SELECT fid AS "fleetID", code AS "fleetCode", fid AS "accountNumber" FROM fleet""",
+SELECT fid AS "fleetID", code AS "fleetCode", number AS "accountNumber" FROM fleet""",
     "ai_invoice_flag": f"""WITH {FACT}
 SELECT (l_returnflag = 'N' OR (l_returnflag = 'R' AND discount > 0)) AS "isAiInvoice",
        count(*) AS "invoiceRows", CAST(sum(total) AS DOUBLE) AS "totalInvoice"
@@ -362,7 +365,7 @@ FROM provider WHERE brand IN ('ASIA', 'EUROPE')""",
 SELECT sid AS "siteID", raw AS "storeNumber", sname AS "siteName", region, district, division
 FROM site WHERE raw LIKE 'T5C%' OR raw LIKE 'MBL%'""",
     "scope_fleets_semi": f"""WITH {ORDER_INVOICE}, {FLEET}, {PROVIDER}
-SELECT fid AS "fleetID", code AS "fleetCode", fid AS "fleetAccountNumber",
+SELECT fid AS "fleetID", code AS "fleetCode", number AS "fleetAccountNumber",
        fname AS "fleetAccountName"
 FROM fleet WHERE fid IN (SELECT fk FROM inv JOIN provider ON pid = pk
                          WHERE {SCOPED} AND voided = 0)""",
