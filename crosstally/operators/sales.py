@@ -43,6 +43,21 @@ def attribute(df: DataFrame, accounts: DataFrame | None) -> DataFrame:
     )
 
 
+def _owned_by(df: DataFrame, accounts: DataFrame | None, org: str | None) -> DataFrame:
+    """Rows that may belong to an organisation, by account id, before anything is aggregated.
+
+    The ids are those of its accounts, and the name itself where it is an id.
+    """
+    if org is None:
+        return df
+    own_id = F.lit(org).try_cast(df.schema["account_id"].dataType).alias("account_id")
+    ids = df.sparkSession.range(1).select(own_id).filter("account_id IS NOT NULL")
+    if accounts is not None:
+        name = F.coalesce(F.col("parent_account_name"), F.col("account_name"))
+        ids = accounts.filter(name == org).select("account_id").union(ids)
+    return df.join(ids, "account_id", "left_semi")
+
+
 def _for_org(df: DataFrame, org: str | None) -> DataFrame:
     """One parent organisation, or one account by id; all of them when no name is given."""
     if org is None:
@@ -59,8 +74,9 @@ def org_monthly(
     net: bool = False,
 ) -> DataFrame:
     """Q1: monthly billings per parent organisation."""
+    dated = keep(header, between_days(F.col("invoice_date"), start, end))
     per_account = (
-        keep(header, between_days(F.col("invoice_date"), start, end))
+        _owned_by(dated, accounts, org)
         .groupBy("account_id", month_start(F.col("invoice_date")).alias("month"))
         .agg(F.sum(revenue(net)).alias("revenue"), F.count(F.lit(1)).alias("invoices"))
     )
@@ -81,9 +97,8 @@ def org_services(
     rules: Rules = SERVICE_RULES,
 ) -> DataFrame:
     """Q1: service breakdown per parent organisation."""
-    owners = keep(header, between_days(F.col("invoice_date"), start, end)).select(
-        "invoice_id", "account_id"
-    )
+    dated = keep(header, between_days(F.col("invoice_date"), start, end))
+    owners = _owned_by(dated, accounts, org).select("invoice_id", "account_id")
     lines = detail.select(
         "invoice_id",
         service_of_line(F.col("category"), F.col("description"), rules).alias("service_type"),
@@ -280,11 +295,23 @@ def lost_revenue(
 ) -> DataFrame:
     """Q10: revenue of each cancelled account in the ``months`` before its cancellation.
 
-    Invoices are first reduced to account x day, a grouping that spreads a hot account over its
+    Only invoices of cancelled accounts between the first window's begin and the last cancellation
+    are read on.  They are reduced to account x day, a grouping that spreads a hot account over its
     days; the join on the account then sees at most one row per day of it.
     """
-    daily = header.groupBy("account_id", F.col("invoice_date").alias("day")).agg(
-        F.sum(revenue(net)).alias("revenue")
+    cancelled = accounts.filter(F.col("cancelled_date").isNotNull())
+    span = cancelled.agg(
+        F.struct(
+            F.add_months(F.min("cancelled_date"), -months).alias("first"),
+            F.max("cancelled_date").alias("last"),
+        )
+    ).scalar()
+    day = F.col("invoice_date")
+    daily = (
+        header.filter((day >= span["first"]) & (day < span["last"]))
+        .join(cancelled.select("account_id"), "account_id", "left_semi")
+        .groupBy("account_id", day.alias("day"))
+        .agg(F.sum(revenue(net)).alias("revenue"))
     )
     gone = accounts.filter(F.col("cancelled_date").isNotNull()).select(
         F.col("account_id").alias("_id"), "account_name", "cancelled_date", "cancellation_reason"

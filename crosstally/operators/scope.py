@@ -68,12 +68,17 @@ def scope_lines(
 ) -> DataFrame:
     """Line items of the scoped, not voided invoices.
 
+    """
+    return lines_of(lines, scope_invoices(invoices, customers, as_of, codes, months_back))
+
+
+def lines_of(lines: DataFrame, scoped: DataFrame) -> DataFrame:
+    """Line items of invoices that are scoped already, but for voided ones.
+
     The invoices are narrowed to one key column before they meet the lines, so the big join
     moves ids on that side only.
     """
-    keys = scope_invoices(
-        invoices.filter(not_voided_strict(F.col("voided"))), customers, as_of, codes, months_back
-    ).select("invoiceID")
+    keys = scoped.filter(not_voided_strict(F.col("voided"))).select("invoiceID")
     return lines.join(keys, "invoiceID").select(lines.columns)
 
 
@@ -85,17 +90,15 @@ def scope_fleets(
     codes: Sequence[str] = BRAND_CODES,
     months_back: int = 3,
 ) -> DataFrame:
-    """Fleets with at least one scoped, not voided invoice.
+    """Fleets with at least one scoped, not voided invoice."""
+    return fleets_of(fleets, scope_invoices(invoices, customers, as_of, codes, months_back))
+
+
+def fleets_of(fleets: DataFrame, scoped: DataFrame) -> DataFrame:
+    """Fleets of invoices that are scoped already, but for voided ones.
 
     The key set is made distinct first: its map-side half collapses a fleet that owns a large
     share of the invoices before anything is shuffled.
     """
-    keys = (
-        scope_invoices(
-            invoices.filter(not_voided_strict(F.col("voided"))),
-            customers, as_of, codes, months_back,
-        )
-        .select("fleetID")
-        .distinct()
-    )
+    keys = scoped.filter(not_voided_strict(F.col("voided"))).select("fleetID").distinct()
     return fleets.join(keys, "fleetID", "left_semi").select(fleets.columns)

@@ -247,6 +247,14 @@ class Star:
             f"{_money('l_extendedprice')} AS line_amount",
         )
 
+    def detail_lines(self) -> DataFrame:
+        """Keys and amounts of the details, without the join that describes them."""
+        return self.table("lineitem").selectExpr(
+            "l_orderkey AS invoice_id",
+            "l_linenumber AS line_id",
+            f"{_money('l_extendedprice')} AS line_amount",
+        )
+
     def accounts(self) -> DataFrame:
         """Every third account has a parent; the balance says which are cancelled, and when."""
         cents = "CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS cents"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, fields, replace
 from datetime import date
 from decimal import Decimal
@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import BRAND_CODES, PREVIEW_ROWS, SIDES, SOURCE_TABLES, TOLERANCE, Sides
-from ..operators import enrich, reconcile, rollups, scope
+from ..operators import enrich, reconcile, rollups, sales, scope
 from ..operators.filters import FilterBar
-from ..schemas import RECONCILIATION_TABLES
+from ..schemas import RECONCILIATION_TABLES, SALES_TABLES
 from ..sources import files, sheets, sinks, tables
 
 
@@ -36,18 +36,22 @@ class Tables:
 def scoped(
     raw: Tables, as_of: date, codes: Sequence[str] = BRAND_CODES, months_back: int = 3
 ) -> Tables:
-    """The six extracts: every table cut down to the brand list and the rolling window."""
+    """The six extracts: every table cut down to the brand list and the rolling window.
+
+    The scoped invoices are written once to the shared folder; fleets and lines follow from that
+    table, so the source is asked for its invoices once.
+    """
+    invoices = sinks.materialise(
+        scope.scope_invoices(raw.invoices, raw.customers, as_of, codes, months_back),
+        "scoped_invoices",
+    )
     return replace(
         raw,
         customers=scope.scope_customers(raw.customers, codes),
         sites=scope.scope_sites(raw.sites, codes),
-        fleets=scope.scope_fleets(
-            raw.fleets, raw.invoices, raw.customers, as_of, codes, months_back
-        ),
-        invoices=scope.scope_invoices(raw.invoices, raw.customers, as_of, codes, months_back),
-        invoice_item_bridge=scope.scope_lines(
-            raw.invoice_item_bridge, raw.invoices, raw.customers, as_of, codes, months_back
-        ),
+        fleets=scope.fleets_of(raw.fleets, invoices),
+        invoices=invoices,
+        invoice_item_bridge=scope.lines_of(raw.invoice_item_bridge, invoices),
     )
 
 
@@ -196,4 +200,58 @@ def report(
         "by_store": reconcile.variance_by_store(weekly),
         "by_fleet": reconcile.variance_by_fleet(weekly),
     }
-    return {n: sinks.write_csv(df, f"{directory}/{n}.csv") for n, df in outputs.items()}
+    written = {n: sinks.write_csv(df, f"{directory}/{n}.csv") for n, df in outputs.items()}
+    sinks.remove(weekly)
+    return written
+
+
+# -- sales ---------------------------------------------------------------------------------------
+
+
+def load_sales(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+    """The tables of a drop folder by role; details and accounts may be absent."""
+    found = files.read_routed(spark, directory)
+    if "invoice_header" not in found:
+        raise FileNotFoundError(f"no invoice header file in {directory}")
+    return found
+
+
+def sales_cards(
+    loaded: Mapping[str, DataFrame], as_of: date, tiers: Sequence[tuple[str, int]], net: bool = False
+) -> dict[str, DataFrame | str]:
+    """Every sales question; for one that lacks a table, what it needs."""
+    header, detail, accounts = (loaded.get(t) for t in SALES_TABLES)
+    cards: dict[str, tuple[str, Callable[[], DataFrame]]] = {
+        "q1_monthly": ("", lambda: sales.org_monthly(header, accounts, net=net)),
+        "q1_services": ("invoice_detail", lambda: sales.org_services(header, detail, accounts)),
+        "q2_years": ("", lambda: sales.revenue_by_year(header, net)),
+        "q2_months": ("", lambda: sales.revenue_by_month(header, net)),
+        "q2_segments": ("accounts", lambda: sales.segment_revenue_by_year(header, accounts, net=net)),
+        "q3_growth": ("", lambda: sales.yoy_growth(header, net)),
+        "q3_seasonality": ("", lambda: sales.seasonality(header, net)),
+        "q4_fleets": ("accounts", lambda: sales.fleets_per_parent(accounts)),
+        "q5_services": ("invoice_detail", lambda: sales.service_mix(detail)),
+        "q6_tiers": ("accounts", lambda: sales.size_tiers(header, accounts, as_of, tiers, net)),
+        "q7_inactive": ("accounts", lambda: sales.inactive_accounts(header, accounts, as_of)),
+        "q9_cancellations": ("accounts", lambda: sales.cancellations(accounts, as_of)),
+        "q10_lost_revenue": ("accounts", lambda: sales.lost_revenue(header, accounts, net=net)),
+        "q11_reasons": ("accounts", lambda: sales.cancellation_reasons(header, accounts, net=net)),
+    }
+    return {
+        name: build() if not needs or needs in loaded else f"needs {needs}"
+        for name, (needs, build) in cards.items()
+    }
+
+
+def sales_report(
+    loaded: Mapping[str, DataFrame],
+    directory: str,
+    as_of: date,
+    tiers: Sequence[tuple[str, int]],
+    net: bool = False,
+) -> dict[str, int | str]:
+    """Writes every card that can be answered as CSV; rows written, or what is missing."""
+    return {
+        name: card if isinstance(card, str) else sinks.write_csv(card, f"{directory}/{name}.csv")
+        for name, card in sales_cards(loaded, as_of, tiers, net).items()
+    }

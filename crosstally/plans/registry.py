@@ -364,7 +364,7 @@ def q11_reasons(s: Star) -> DataFrame:
 
 @query
 def dq_required_nulls(s: Star) -> DataFrame:
-    frames = {"invoice_header": s.header(), "invoice_detail": s.detail(), "accounts": s.accounts()}
+    frames = {"invoice_header": s.header(), "invoice_detail": s.detail_lines(), "accounts": s.accounts()}
     tables = {t: (df, REQUIRED[t]) for t, df in frames.items()}
     tables["accounts"] = (s.accounts(), (*REQUIRED["accounts"], "parent_account_name"))
     return quality.required_nulls(tables)
@@ -375,7 +375,7 @@ def dq_duplicate_keys(s: Star) -> DataFrame:
     return quality.duplicate_keys(
         {
             "invoice_header": (s.header(), ["invoice_id"]),
-            "invoice_detail": (s.detail(), ["invoice_id", "line_id"]),
+            "invoice_detail": (s.detail_lines(), ["invoice_id", "line_id"]),
         }
     )
 
@@ -387,7 +387,7 @@ def dq_total_arithmetic(s: Star) -> DataFrame:
 
 @query
 def dq_subtotal_vs_lines(s: Star) -> DataFrame:
-    return quality.subtotal_vs_lines(s.header(), s.detail())
+    return quality.subtotal_vs_lines(s.header(), s.detail_lines())
 
 
 @query
@@ -419,7 +419,7 @@ def dq_orphans(s: Star) -> DataFrame:
     return quality.orphans(
         {
             "invoice_header.account_id": (s.header(), "account_id", s.accounts(), "account_id"),
-            "invoice_detail.invoice_id": (s.detail(), "invoice_id", s.header(), "invoice_id"),
+            "invoice_detail.invoice_id": (s.detail_lines(), "invoice_id", s.header(), "invoice_id"),
             "invoices.fleetID": (s.order_invoices(), "fleetID", s.fleets(), "fleetID"),
         }
     )
@@ -441,7 +441,8 @@ def dq_bad_join_keys(s: Star) -> DataFrame:
 
 @query
 def doc_catalog_summary(s: Star) -> DataFrame:
-    return doccatalog.document_summary(s.metadata_files()).orderBy("file_name")
+    """In order of names; sorted as texts, before these are parsed into wider rows."""
+    return doccatalog.document_summary(s.metadata_files().orderBy("file_name"))
 
 
 @query

@@ -26,6 +26,9 @@ def shared_directory(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = base.startswith(("/", "file:"))
+    if own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{base} is a folder of each machine's own; name one that all share")
     return base.rstrip("/")
 
 
@@ -38,3 +41,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_directory(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

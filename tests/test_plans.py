@@ -109,6 +109,22 @@ def test_names_are_searched_in_texts_parsed_once(spark):
     assert text.count("from_json") == 1
 
 
+def test_questions_on_few_accounts_aggregate_few_accounts(spark, no_broadcast, tmp_path):
+    """On stored columns, from which nothing can be inferred."""
+    star = Star(spark, SF)
+    for name in ("header", "accounts", "detail"):
+        getattr(star, name)().write.parquet(str(tmp_path / name))
+    header, accounts, detail = (spark.read.parquet(str(tmp_path / n)) for n in ("header", "accounts", "detail"))
+    for df in (
+        sales.lost_revenue(header, accounts),
+        sales.org_monthly(header, accounts, "NATION_7"),
+        sales.org_services(header, detail, accounts, "NATION_7"),
+    ):
+        lines = plan(df).split("\n")
+        semi = next(i for i, x in enumerate(lines) if "LeftSemi" in x)
+        assert any("Aggregate" in x for x in lines[:semi])
+
+
 HOT, ALL = 30_000, 60_000
 
 

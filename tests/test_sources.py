@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crosstally.contract import KPI_HEADERS, SOURCE_COLUMNS
 from crosstally.functions.dates import iso_date_text
-from crosstally.plans.pipeline import load_kpi_sheet, register_frames
+from crosstally.plans.pipeline import load_kpi_sheet, load_sales, register_frames, sales_report
 from crosstally.schemas import RECONCILIATION_TABLES, REQUIRED, schema
 from crosstally.sources import files, sheets, sinks, tables
 
@@ -60,6 +60,27 @@ def test_a_minimal_drop_folder_loads(spark, tmp_path):
         files.read_routed(spark, str(tmp_path))
 
 
+def test_sales_report_from_a_drop_folder(spark, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    with pytest.raises(FileNotFoundError):
+        load_sales(spark, str(drop))
+    (drop / "header.csv").write_text(
+        "invoice_id,account_id,invoice_date,subtotal,discount_amount,tax_amount,total_amount\n"
+        "1,9,01/31/2026,10.00,0,0.80,10.80\n2,8,2025-02-01,5,0,0,5\n"
+    )
+    tiers = (("Large", 10), ("Small", 0))
+    got = sales_report(load_sales(spark, str(drop)), str(tmp_path / "out"), date(2026, 2, 1), tiers)
+    assert got["q2_years"] == 2 and got["q5_services"] == "needs invoice_detail"
+    assert got["q10_lost_revenue"] == "needs accounts" and got["q1_monthly"] == 2
+    (drop / "clients.csv").write_text("account_id,account_name,cancelled_date\n9,Nine,02/28/2026\n8,Eight,\n")
+    (drop / "detail.csv").write_text("invoice_id,line_amount\n1,10.00\n")
+    got = sales_report(load_sales(spark, str(drop)), str(tmp_path / "out"), date(2026, 2, 1), tiers)
+    assert not [x for x in got.values() if isinstance(x, str)]
+    lost = tables.read_text_csv(spark, str(tmp_path / "out/q10_lost_revenue.csv")).collect()
+    assert [(r.account_id, Decimal(r.lost_revenue)) for r in lost] == [("9", Decimal("10.80"))]
+
+
 def test_csv_is_split_when_no_text_spans_lines(spark, tmp_path):
     (tmp_path / "big.csv").write_text("a,b\n" + "1,2\n" * 60_000)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
