@@ -79,30 +79,27 @@ def enrich_fees(
 ) -> DataFrame:
     """Adds provider, brand and the cascading fee.
 
-    Provider and brand are joined with each other first: both are small, and the fact then pays
-    for one join instead of two.  A brand code that occurs twice still doubles the rows.
+    Each of the two meets the fact on its own: Spark knows the size of either table, but takes a
+    join of both for the product of their sizes.  A brand code that occurs twice doubles the rows.
     """
     brand = corporation_types.select(
         F.col("corporationType").alias("_brandCode"), F.col("aiFeePct").alias("_brandPct")
     )
-    provider = (
-        customers.select(
-            "customerID",
-            F.col("customerCompanyName").alias("customerName"),
-            "corpType",
-            F.col("aiInvoiceFlatFee").alias("_flat"),
-            F.col("aiInvoicePctFee").alias("_pct"),
-        )
-        .join(brand, F.col("corpType") == F.col("_brandCode"), "left")
-        .drop("_brandCode")
+    provider = customers.select(
+        "customerID",
+        F.col("customerCompanyName").alias("customerName"),
+        "corpType",
+        F.col("aiInvoiceFlatFee").alias("_flat"),
+        F.col("aiInvoicePctFee").alias("_pct"),
     )
     fee = money.cascading_fee(
         F.col("invoiceTotalAmount"), F.col("_flat"), F.col("_pct"), F.col("_brandPct")
     )
     return (
         _attach(core, provider, "customerID")
+        .join(brand, F.col("corpType") == F.col("_brandCode"), "left")
         .withColumn("totalAiFee", fee)
-        .drop("_flat", "_pct", "_brandPct")
+        .drop("_flat", "_pct", "_brandPct", "_brandCode")
     )
 
 

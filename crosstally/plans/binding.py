@@ -145,7 +145,9 @@ class Star:
         )
 
     def customers(self) -> DataFrame:
-        located = self._joined(self.table("nation"), "region", "n_regionkey", "r_regionkey")
+        regions = F.map_from_entries(F.collect_list(F.struct("r_regionkey", "r_name")))
+        names = self.table("region").agg(regions).scalar()
+        located = self.table("nation").withColumn("r_name", names[F.col("n_regionkey")])
         return located.selectExpr(
             "CAST(n_nationkey AS BIGINT) AS customerID",
             "n_name AS customerCompanyName",
