@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..contract import SIDES, Sides
 from ..functions import keys, money
 from ..functions.dates import month_start, week_ending
+from .filters import FLEET_HIT, FLEET_TEXTS, SITE_HIT, SITE_TEXTS, matches_search
 
 _FLEET = ("fleetID", "fleetCode", "fleetAccountNumber", "fleetName")
 _SITE = ("siteID", "storeNumber", "siteName", "region", "district", "division")
@@ -69,9 +70,18 @@ def enrich_core(
     sites: DataFrame,
     key_type: str = "int",
     sides: Sides = SIDES,
+    search: str | None = None,
 ) -> DataFrame:
-    """Invoices with fleet and store context: what the variance and line paths need."""
-    return with_site(with_fleet(with_measures(invoices, sides), fleets), sites, key_type)
+    """Invoices with fleet and store context: what the variance and line paths need.
+
+    ``search`` adds flags for ``FilterBar``: texts are searched once per fleet and site, not per
+    invoice.
+    """
+    fleet, site = _fleet_attributes(fleets), _site_attributes(sites, key_type)
+    if search:
+        fleet = fleet.withColumn(FLEET_HIT, matches_search(search, *FLEET_TEXTS))
+        site = site.withColumn(SITE_HIT, matches_search(search, *SITE_TEXTS))
+    return _attach(_attach(with_measures(invoices, sides), fleet, "fleetID"), site, "siteID")
 
 
 def enrich_fees(

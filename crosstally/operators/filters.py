@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .scope import not_voided_lenient
 
+#: What a search looks at, and the flags of dimension rows that were searched before the joins.
+FLEET_TEXTS, SITE_TEXTS = ("fleetAccountNumber", "fleetName"), ("storeNumber", "siteName")
+FLEET_HIT, SITE_HIT = "_fleetHit", "_siteHit"
 VOIDED_MODES = ("exclude", "include", "only")
 
 
@@ -78,12 +81,10 @@ class FilterBar:
             tests.append(F.col("region") == self.region)
         if self.district is not None:
             tests.append(F.col("district") == self.district)
-        if self.search:
-            tests.append(
-                matches_search(
-                    self.search, "fleetAccountNumber", "fleetName", "storeNumber", "siteName"
-                )
-            )
+        if self.search and FLEET_HIT in core.columns:
+            tests.append(F.coalesce(FLEET_HIT, F.lit(False)) | F.coalesce(SITE_HIT, F.lit(False)))
+        elif self.search:
+            tests.append(matches_search(self.search, *FLEET_TEXTS, *SITE_TEXTS))
         return keep(core, tests)
 
     def reported(self, rows: DataFrame) -> DataFrame:

@@ -84,16 +84,25 @@ def read_database(
     spark: SparkSession,
     url: str,
     properties: Mapping[str, str],
-    splits: Mapping[str, tuple[str, tuple, int]] | None = None,
+    splits: Mapping[str, tuple[str, tuple, int]],
+    as_of: date | None = None,
+    codes: Sequence[str] = BRAND_CODES,
+    months_back: int = 3,
 ) -> Tables:
-    """The six source tables, lazily; ``scoped`` then pushes brand and date filters into them.
+    """The six source tables, lazily.
 
-    ``splits`` gives, per table, the column, its bounds and the number of parallel reads.
+    With ``as_of`` the database scopes them itself and sends the six extracts; without, ``scoped``
+    does, and pushes what it can of its filters.  ``splits`` gives, per table, the column, its
+    bounds and the number of parallel reads; the two fact tables must have one.
     """
+    unsplit = {"invoices", "invoice_item_bridge"} - set(splits)
+    if unsplit:
+        raise ValueError(f"splits are needed for {sorted(unsplit)}")
     frames = {}
     for name in SOURCE_TABLES:
-        column, bounds, parts = (splits or {}).get(name, (None, None, 1))
-        options = tables.jdbc_options(url, name, column, bounds, parts, properties)
+        column, bounds, parts = splits.get(name, (None, None, 1))
+        source = name if as_of is None else tables.scoped_select(name, as_of, codes, months_back)
+        options = tables.jdbc_options(url, source, column, bounds, parts, properties)
         frames[name] = tables.read_jdbc(spark, options, name)
     return Tables(**frames, partner_kpi=tables.stub(spark, "partner_kpi"))
 
@@ -117,7 +126,7 @@ def weekly_variance(
     key_type: str = "int",
 ) -> DataFrame:
     """Filtered weekly variance; the default filter only drops voided invoices."""
-    core = enrich.enrich_core(t.invoices, t.fleets, t.sites, key_type, sides)
+    core = enrich.enrich_core(t.invoices, t.fleets, t.sites, key_type, sides, bar.search)
     reported = reconcile.reported_rows(t.partner_kpi, key_type)
     return reconcile.variance_fleet_store_week(
         bar.booked(core), bar.reported(reported), tolerance, sides

@@ -59,13 +59,13 @@ def query(f: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
 # -- reconciliation ------------------------------------------------------------------------------
 
 
-def _core(s: Star) -> DataFrame:
-    return enrich.enrich_core(s.invoices(), s.fleets(), s.sites(), KEY_TYPE)
+def _core(s: Star, search: str | None = None) -> DataFrame:
+    return enrich.enrich_core(s.invoices(), s.fleets(), s.sites(), KEY_TYPE, search=search)
 
 
 def _weekly(s: Star, bar: FilterBar = FilterBar(), kpi: DataFrame | None = None) -> DataFrame:
     rows = reconcile.reported_rows(s.partner_kpi() if kpi is None else kpi, KEY_TYPE)
-    return reconcile.variance_fleet_store_week(bar.booked(_core(s)), bar.reported(rows))
+    return reconcile.variance_fleet_store_week(bar.booked(_core(s, bar.search)), bar.reported(rows))
 
 
 @query

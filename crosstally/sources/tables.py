@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructType, TimestampType
 
-from ..contract import JDBC_FETCH_SIZE, SOURCE_COLUMNS, SOURCE_TABLES
+from ..contract import BRAND_CODES, JDBC_FETCH_SIZE, SOURCE_COLUMNS, SOURCE_TABLES
 from ..functions.casts import flag_column, int_from_text
-from ..functions.dates import day_from_text
+from ..functions.dates import day_from_text, window_start
 from ..schemas import REQUIRED, schema
 
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
@@ -141,6 +141,32 @@ def rename_source(df: DataFrame, table: str) -> DataFrame:
     return df.select(*cells)
 
 
+def scoped_select(
+    table: str, as_of: date, codes: Sequence[str] = BRAND_CODES, months_back: int = 3
+) -> str:
+    """The table's scoped rows as the database's own query, so that only these are sent.
+
+    Same rules as ``operators.scope``; to be given to ``jdbc_options`` in place of a table name.
+    """
+    name = SOURCE_TABLES[table]
+    listed = ", ".join("'" + c.replace("'", "''") + "'" for c in codes)
+    brand = f"CorpType IN ({listed})"
+    recent = (
+        f"Invoice_Date >= '{window_start(as_of, months_back)}' AND "
+        f"CustomerID IN (SELECT CustomerID FROM {SOURCE_TABLES['customers']} WHERE {brand})"
+    )
+    billed = f"FROM {SOURCE_TABLES['invoices']} WHERE voided = 0 AND {recent}"
+    prefixes = " OR ".join(f"left(Store_Number, {len(c)}) = '" + c.replace("'", "''") + "'" for c in codes)
+    where = {
+        "customers": brand,
+        "sites": prefixes,
+        "fleets": f"FleetID IN (SELECT FleetID {billed})",
+        "invoices": recent,
+        "invoice_item_bridge": f"InvoiceID IN (SELECT InvoiceID {billed})",
+    }.get(table)
+    return f"(SELECT * FROM {name} WHERE {where}) scoped" if where else name
+
+
 def jdbc_options(
     url: str,
     table: str,

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from crosstally.contract import KPI_HEADERS, SOURCE_COLUMNS
 from crosstally.functions.dates import iso_date_text
-from crosstally.plans.pipeline import load_kpi_sheet, load_sales, register_frames, sales_report
+from crosstally.operators import scope
+from crosstally.plans.pipeline import (
+    load_kpi_sheet,
+    load_sales,
+    read_database,
+    register_frames,
+    sales_report,
+)
 from crosstally.schemas import RECONCILIATION_TABLES, REQUIRED, schema
 from crosstally.sources import files, sheets, sinks, tables
 
@@ -190,6 +197,51 @@ def test_jdbc_options():
         tables.jdbc_options("jdbc:x", "invoices", "InvoiceID")
 
 
+def test_the_database_scopes_as_the_operators_do(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    invoices = [
+        (i, 1 + i % 3, i % 5, f"2026-0{1 + i % 6}-01", i % 4 and (i % 4 - 1)) for i in range(1, 61)
+    ]
+    rows = {
+        "Customer(CustomerID, CorpType)": [(1, "T5C"), (2, "MBL"), (3, "X'Y")],
+        "Site(SiteID, Store_Number)": [(1, "T5C1"), (2, "MBL2"), (3, "AIN3")],
+        "Fleet(FleetID)": [(i,) for i in range(6)],
+        "Invoice(InvoiceID, CustomerID, FleetID, Invoice_Date, voided)": invoices,
+        "InvoiceItemBridge(InvoiceItemBridgeID, InvoiceID)": [(i, i // 2) for i in range(130)],
+    }
+    frames = {}
+    for name, values in rows.items():
+        columns = name[name.index("(") + 1 : -1]
+        marks = ", ".join("?" * len(values[0]))
+        con.execute(f"CREATE TABLE {name.split('(')[0]} AS SELECT * FROM (VALUES ({marks})) t({columns}) LIMIT 0", values[0])
+        con.executemany(f"INSERT INTO {name.split('(')[0]} VALUES ({marks})", values)
+    kinds = {"customers": "customerID INT, corpType STRING", "sites": "siteID INT, storeNumber STRING", "fleets": "fleetID INT",
+             "invoices": "invoiceID INT, customerID INT, fleetID INT, invoiceDate STRING, voided INT",
+             "invoice_item_bridge": "invoiceItemBridgeID INT, invoiceID INT"}
+    for (table, kind), values in zip(kinds.items(), rows.values(), strict=True):
+        frames[table] = spark.createDataFrame(values, kind)
+    frames["invoices"] = frames["invoices"].withColumn("invoiceDate", F.col("invoiceDate").cast("timestamp"))
+    codes, as_of = ["T5C", "X'Y"], date(2026, 6, 15)
+    both = frames["invoices"], frames["customers"], as_of, codes
+    want = {
+        "customers": scope.scope_customers(frames["customers"], codes),
+        "sites": scope.scope_sites(frames["sites"], codes),
+        "fleets": scope.scope_fleets(frames["fleets"], *both),
+        "invoices": scope.scope_invoices(*both),
+        "invoice_item_bridge": scope.scope_lines(frames["invoice_item_bridge"], *both),
+    }
+    for table, df in want.items():
+        got = con.execute(f"SELECT * FROM {tables.scoped_select(table, as_of, codes)}").fetchall()
+        expected = {r[0] for r in df.collect()}
+        assert {r[0] for r in got} == expected and len(got) == len(expected) > 0
+    assert tables.scoped_select("corporation_types", as_of) == "CorporationTypes"
+    options = tables.jdbc_options("jdbc:x", tables.scoped_select("invoices", as_of, codes), "InvoiceID", (1, 9), 3)
+    assert options["dbtable"].startswith("(SELECT * FROM Invoice WHERE ") and options["numPartitions"] == "3"
+    with pytest.raises(ValueError, match="invoice_item_bridge"):
+        read_database(spark, "jdbc:x", {}, {"invoices": ("InvoiceID", (1, 9), 3)})
+
+
 def test_kpi_sheet(spark):
     cells = {
         "date": "2026-01-02 00:00:00", "weekEnding": "46025.75", "fleetAccountNumber": "100457",
