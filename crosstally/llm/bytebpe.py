@@ -12,6 +12,7 @@ gives an empty result; columns that are not named are not looked at.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -24,8 +25,34 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Encodings of pre-tokens and verdicts on pairs that a process keeps; beyond that it starts anew.
-MEMO = 2**19
+#: What a process keeps of encodings, of verdicts on pairs and of beginnings of pre-tokens: this many
+#: of the latest, and as many that came before.
+MEMO = 2**17
+#: Bytes of the beginnings whose last tokens are kept, to append the rest to.
+HEAD = 8
+#: After every rank.
+NEVER = 1 << 60
+
+
+class Memo:
+    """The latest values by key, in two generations; a used old one becomes new."""
+
+    def __init__(self, size: int = MEMO):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value):
+        if len(self.new) >= self.size:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+        return value
 
 
 class Vocabulary:
@@ -36,63 +63,101 @@ class Vocabulary:
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        #: Every ending of a token: walking back from a byte stops where no token can end.
-        self.endings = frozenset(t[i:] for t in self.ranks for i in range(len(t)))
-        self._pairs: dict[tuple[int, int], bool] = {}
-
-    def merged(self, piece: bytes) -> list[int]:
-        """The definition: merge the neighbours of lowest rank, leftmost first, while any merge."""
+        #: Every ending of a token, with its rank if it is one itself: walking back from a byte
+        #: stops where nothing longer can end.
+        self.endings = {t[i:]: -1 for t in self.ranks for i in range(1, len(t))} | self.ranks
+        self._pairs = Memo()
+        self._growth: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
+
+    def merged(self, piece: bytes, least: int = 1) -> list[bytes]:
+        """The definition: merge the neighbours of lowest rank, leftmost first, while any merge
+        and there are more than ``least`` parts."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            ranked = [self.ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
-            least = min(ranked)
-            if least == 1 << 60:
+        while len(parts) > least:
+            ranked = [self.ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+            lowest = min(ranked)
+            if lowest == NEVER:
                 break
-            i = ranked.index(least)
+            i = ranked.index(lowest)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[x] for x in parts]
+        return parts
 
     def follows(self, before: int, token: int) -> bool:
         """Whether the two stand side by side in the encoding of their bytes."""
-        known = self._pairs.get((before, token))
+        key = before << 20 | token
+        known = self._pairs.get(key)
+        return self._pairs.put(key, self._apart(before, token)) if known is None else known
+
+    def _apart(self, before: int, token: int) -> bool:
+        """No merge crosses the border between the two tokens.
+
+        Merges happen in the order of their ranks.  The last part before the border grows along
+        one list, the first part after it along another; two parts that stand there at the same
+        time merge if their token's rank comes before the growth of either (leftmost first).
+        """
+        left, right = self.growth(before, -1), self.growth(token, 0)
+        i = j = 0
+        while True:
+            rank = self.ranks.get(left[i][0] + right[j][0])
+            if rank is not None and rank < left[i][1] and rank <= right[j][1]:
+                return False
+            if left[i][1] <= right[j][1]:
+                if left[i][1] == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def growth(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """The parts that a token's first (0) or last (-1) byte goes through, each with the rank
+        of the merge that ends it."""
+        known = self._growth.get((token, side))
         if known is None:
-            if len(self._pairs) >= MEMO:
-                self._pairs.clear()
-            known = self.merged(self.tokens[before] + self.tokens[token]) == [before, token]
-            self._pairs[before, token] = known
+            known = [(self.tokens[token], NEVER)]
+            while len(part := known[-1][0]) > 1:
+                known.append((self.merged(part, 2)[side], self.ranks[part]))
+            known = self._growth[token, side] = known[::-1]
         return known
 
     def begins(self, token: int) -> bool:
         """Whether the token is the encoding of its own bytes."""
-        known = self._pairs.get((-1, token))
+        known = self._pairs.get(-1 - token)
         if known is None:
-            known = self._pairs[-1, token] = self.merged(self.tokens[token]) == [token]
+            known = self._pairs.put(-1 - token, self.merged(self.tokens[token]) == [self.tokens[token]])
         return known
 
 
 class Prefixes:
     """A piece of bytes with the last token of every prefix."""
 
-    def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
-        self.vocabulary, self.piece, self.last = vocabulary, b"", []
-        self.append(piece)
+    def __init__(self, vocabulary: Vocabulary, piece: bytes = b"", last: list[int] | None = None):
+        """``last``: the last tokens of the piece's prefixes, where they are known."""
+        self.vocabulary, self.piece, self.last = vocabulary, piece, list(last or ())
+        self._extend(len(piece))
 
-    def _last(self, end: int) -> int:
+    def _extend(self, end: int) -> None:
+        """Last tokens of the prefixes up to ``end``, from where they stop."""
         v, piece, last = self.vocabulary, self.piece, self.last
-        for start in range(end - 1, -1, -1):
-            ending = piece[start:end]
-            if ending not in v.endings:
-                break
-            token = v.ranks.get(ending)
-            if token is not None and (v.follows(last[start - 1], token) if start else v.begins(token)):
-                return token
-        raise ValueError("a byte is not in the vocabulary")
+        ending, follows = v.endings.get, v.follows
+        for stop in range(len(last) + 1, end + 1):
+            found = []
+            start = stop - 1
+            while start >= 0 and (token := ending(piece[start:stop])) is not None:
+                if token >= 0:
+                    found.append((start, token))
+                start -= 1
+            # One of them fits, most often a long one.
+            for start, token in reversed(found):
+                if follows(last[start - 1], token) if start else v.begins(token):
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("a byte is not in the vocabulary")
 
     def append(self, more: bytes) -> None:
         """Extends the piece; what stands already keeps its last tokens."""
         self.piece += more
-        for end in range(len(self.last) + 1, len(self.piece) + 1):
-            self.last.append(self._last(end))
+        self._extend(len(self.piece))
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Puts ``new`` for the bytes ``start:stop``; returns how many prefixes were recomputed.
@@ -106,7 +171,7 @@ class Prefixes:
         self.last, alike, end = old[:start], 0, start
         while end < len(self.piece):
             end += 1
-            self.last.append(self._last(end))
+            self._extend(end)
             before = end - shift
             alike = alike + 1 if before > stop and self.last[-1] == old[before - 1] else 0
             if alike >= longest and before - stop > longest:
@@ -127,24 +192,36 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary, self.pattern = Vocabulary(path), regex.compile(pattern)
-        self._memo: dict[str, bytes] = {}
+        self._memo, self._heads = Memo(), Memo()
+
+    def prefixes(self, raw: bytes) -> Prefixes:
+        """The piece's prefixes; its beginning may be known from another piece."""
+        if len(raw) <= HEAD:
+            return Prefixes(self.vocabulary, raw)
+        head = raw[:HEAD]
+        last = self._heads.get(head)
+        if last is None:
+            last = self._heads.put(head, Prefixes(self.vocabulary, head).last)
+        p = Prefixes(self.vocabulary, head, last)
+        p.append(raw[HEAD:])
+        return p
 
     def piece(self, text: str) -> bytes:
         known = self._memo.get(text)
         if known is None:
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
             raw = text.encode()
             token = self.vocabulary.ranks.get(raw)  # a whole token stands for itself
-            ids = [token] if token is not None else Prefixes(self.vocabulary, raw).tokens()
+            ids = [token] if token is not None else self.prefixes(raw).tokens()
             known = np.array(ids, "<u4").tobytes()
             if len(raw) <= 64:
-                self._memo[text] = known
+                self._memo.put(text, known)
         return known
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.piece, self.pattern.findall(text)))
+        pieces = self.pattern.findall(text)
+        known = list(map(self._memo.new.get, pieces))
+        return b"".join([self.piece(p) if ids is None else ids for p, ids in zip(pieces, known, strict=True)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -192,11 +269,26 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, and the hashes of ids and of decoded bytes."""
-    both = decoded(encoded(docs, path, pattern, id, text), path, pattern)
-    return both.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """One row per document: doc_id, n_tokens, and the hashes of ids and of decoded bytes.
+
+    Encodes and decodes in one pass: a task holds the ids of one text at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, pattern)
+        for batch in batches:
+            n, before, after = [], [], []
+            for x in batch.column("text"):
+                ids = e.encode(x.as_py())
+                n.append(len(ids) // 4)
+                before.append(hashlib.sha256(ids).hexdigest())
+                after.append(hashlib.sha256(e.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    ship(docs.sparkSession)
+    kind = docs.schema[id].dataType.simpleString()
+    rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
