@@ -12,7 +12,10 @@ is kept as null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +109,30 @@ def pack_shard(pieces: list[tuple[int | None, int, bytes]], length: int, pad: in
         }
 
 
+@lru_cache(2)
+def library(path: str, pattern: str):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_ids(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids): the library's ids of every text, little-endian unsigned 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = library(path, pattern).encode_to_numpy
+        for batch in batches:
+            for i in range(0, len(batch), ROWS):
+                part = batch.slice(i, ROWS)
+                ids = [encode(x.as_py(), disallowed_special=()).astype("<u4").tobytes() for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, ids binary")
+
+
 def packed(tokens: DataFrame, pad: int, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Packed rows of ``tokens`` (doc_id, ids as little-endian unsigned 32-bit integers).
 
