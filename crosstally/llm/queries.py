@@ -108,6 +108,26 @@ def op5_bbit_minhash(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+ORACLES["op5_bbit_minhash"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM t)
+  UNION SELECT doc_id, ws[1] FROM t WHERE len(ws) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  WHERE 100 * least(na.n, nb.n) >= 80 * greatest(na.n, nb.n)
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM t UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.other = link.a)
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.least AS component_id, t.doc_id = c.least AS kept
+FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
+
 @query
 def op6_compact_windows(spark: SparkSession, directory: str) -> DataFrame:
     return substrings.repeated(table(spark, directory, "documents"))
@@ -135,12 +155,60 @@ def op8_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def op10_packed_ids(spark: SparkSession, directory: str) -> DataFrame:
-    tokens = bytebpe.encoded(
+    tokens = packing.token_ids(
         table(spark, directory, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
     )
     return packing.packed(tokens, PAD)
 
 
+def _licence_sql() -> str:
+    """Base and method as SQL; templates, phrases and labels are the fixed values of ``licences``."""
+    places = ", ".join(
+        f"('{w}', {k}, {i}, '{label}')"
+        for k, (label, wording, _) in enumerate(licences.TEMPLATES)
+        for i, w in enumerate(wording.split())
+        if w not in licences.COMMON
+    )
+    phrases = ", ".join(f"({k}, '{p}')" for k, (_, _, own) in enumerate(licences.TEMPLATES) for p in own)
+    base = ", ".join(f"(string_split('{p}', ' '), '{label}')" for p, label in licences.BASE.items())
+    return rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+place(word, template, spot, label) AS (VALUES {places}),
+size AS (SELECT template, any_value(label) AS label, count(DISTINCT word) AS n FROM place GROUP BY template),
+phrase(template, words) AS (VALUES {phrases}),
+base(words, label) AS (VALUES {base}),
+w AS (SELECT r, i, ws[i + 1] AS word, ws FROM (SELECT r, ws, unnest(range(len(ws))) AS i FROM t)),
+hit AS (SELECT DISTINCT r, word FROM w WHERE word IN (SELECT word FROM place)),
+file AS (SELECT r FROM hit GROUP BY r HAVING count(*) >= 2),
+rare AS (SELECT word, count(*) AS c FROM hit GROUP BY word),
+lookup AS (SELECT r, word FROM (
+    SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY c, word) AS k FROM hit JOIN rare USING (word))
+  JOIN file USING (r) WHERE k <= {licences.LOOKUPS}),
+held AS (SELECT r, template, w.i - place.spot AS shift, count(DISTINCT w.word) AS agree
+  FROM lookup JOIN w USING (r, word) JOIN place USING (word) GROUP BY 1, 2, 3),
+good AS (SELECT r, template, label, n, max(agree) AS agree FROM held JOIN size USING (template)
+  GROUP BY ALL HAVING max(agree) >= n * CAST({licences.MIN_SHARE} AS DOUBLE)),
+sound AS (SELECT * FROM good JOIN t USING (r) WHERE NOT EXISTS (
+    SELECT 1 FROM phrase p WHERE p.template = good.template
+      AND NOT contains(' ' || array_to_string(t.ws, ' ') || ' ', ' ' || p.words || ' '))),
+method AS (SELECT r, list(DISTINCT label) AS labels, max(CAST(agree AS DOUBLE) / n) AS share FROM sound GROUP BY r),
+found AS (SELECT r, i, label FROM w JOIN base ON w.word = base.words[1] AND w.ws[i + 1 : i + len(base.words)] = base.words),
+own AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS labels FROM found GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(own.n, 0) AS BIGINT) AS n_base,
+       CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
+       array_to_string(list_sort(coalesce(own.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(own.labels, []), coalesce(method.labels, [])))), ',') AS labels,
+       CASE WHEN own.n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM t LEFT JOIN own USING (r) LEFT JOIN method USING (r)
+"""
+
+
+ORACLES["op4_licence_scan"] = _licence_sql()
+
+
 @query
 def op9_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return quality.verdicts(table(spark, directory, "documents")).select(
