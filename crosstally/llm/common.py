@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="crosstally-"))
@@ -53,15 +53,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows that a Python worker gets at once; the default, 10,000, may be a gigabyte of long texts.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and returns a scan of what was written.
 
     This cuts the lineage so that a lost executor costs a reread, fixes generated row ids, and
-    gives Spark the measured size by which it decides on broadcasts.
+    gives Spark the measured size by which it decides on broadcasts.  ``batch`` bounds the rows of
+    an Arrow batch while it is written.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(BATCH)
+    if batch:
+        spark.conf.set(BATCH, batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a stored table of a few fixed-width columns that may be broadcast: some 40 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow keys, to be broadcast if it was counted to be small.
+
+    Texts then stay where they are; beyond the bound they are shuffled to meet the keys.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(keys) if keys.count() <= rows else keys
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

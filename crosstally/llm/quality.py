@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, let, stored, whole, words
+from .common import BROADCAST_ROWS, WORD, fresh, let, stored, whole, words
 
 MIN_WORDS = 50
 #: Share in percent of a text's words that may stand in repeated three-word windows.
@@ -161,12 +161,17 @@ def clean(
 
     ``chars`` names a column with the text's length, brought up to date where it is there.
     """
-    v = verdicts(docs, id, text, host, max_documents).filter("kept")
     # Rows that agree in these three have the same verdict.
-    v = v.groupBy("doc_id", "host", "copy").agg(F.first("lost_lines").alias("gone"))
+    v = verdicts(docs, id, text, host, max_documents).groupBy("doc_id", "host", "copy")
+    v = v.agg(F.first("kept").alias("kept"), F.first("lost_lines").alias("gone"))
+    v = v.filter("NOT kept OR gone IS NOT NULL")
     names = {c: fresh(docs, f"quality_{c}") for c in v.columns}
-    v = stored(v.withColumnsRenamed(names), "quality-kept")
     n = {k: F.col(x) for k, x in names.items()}
+    v = stored(v.withColumnsRenamed(names), "quality-touched")
+    # Only what goes or changes is joined to the texts.
+    same = (
+        F.col(f"`{id}`").eqNullSafe(n["doc_id"]) & F.col(f"`{host}`").eqNullSafe(n["host"]) & (F.xxhash64(whole(text)) == n["copy"])
+    )
     left = F.array_join(
         F.filter(
             F.split(text, "\n"),
@@ -174,12 +179,14 @@ def clean(
         ),
         "\n",
     )
-    kept = docs.join(
-        v,
-        F.col(id).eqNullSafe(n["doc_id"])
-        & F.col(host).eqNullSafe(n["host"])
-        & (F.xxhash64(whole(text)) == n["copy"]),
-    ).withColumn(text, F.when(n["gone"].isNull(), F.col(text)).otherwise(left))
+    lines = v.agg(F.coalesce(F.sum(F.greatest(F.size(n["gone"]), F.lit(1))), F.lit(0))).first()[0]
+    if lines <= BROADCAST_ROWS:
+        v = F.broadcast(v)
+    kept = (
+        docs.join(v, same, "left")
+        .filter(F.coalesce(n["kept"], F.lit(True)))
+        .withColumn(text, F.when(n["gone"].isNull(), F.col(text)).otherwise(left))
+    )
     if chars in docs.columns:
         kept = kept.withColumn(chars, F.char_length(text).cast(docs.schema[chars].dataType))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
