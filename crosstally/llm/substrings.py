@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ship, stored, whole, words
+from .common import BROADCAST_ROWS, bounded, fresh, ship, stored, whole, words
 
 SIZE, WORDS, PERCENT = 5, 50, 80
 #: Hash functions, and how many must agree: at 0.8 a pair is missed with probability 0.002.
@@ -36,8 +36,6 @@ HASHES, ENOUGH = 6, 2
 GAP = 20
 #: Words whose hashes a process keeps.
 MEMO = 2**18
-#: Texts whose key table is broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 _random = np.random.default_rng(6)
 FACTORS = _random.integers(0, 2**63, SIZE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,6 +98,20 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return list(zip(places, left, right, strict=True))
 
 
+def _once(x: np.ndarray) -> np.ndarray:
+    """One row for each value of a text: the first place, and what all its windows cover.
+
+    A line that a text repeats would otherwise send the same value once per repetition.
+    """
+    values, first, which = np.unique(x[:, 0], return_index=True, return_inverse=True)
+    if len(values) == len(x):
+        return x
+    out = x[first]
+    np.minimum.at(out[:, 3], which, x[:, 3])
+    np.maximum.at(out[:, 4], which, x[:, 4])
+    return out
+
+
 def _windows(texts: DataFrame) -> DataFrame:
     """Compact windows of (text_key, text), values numbered by hash function in the low bits."""
 
@@ -117,7 +129,7 @@ def _windows(texts: DataFrame) -> DataFrame:
                         x[:, 2:] = found
                         x[:, 0] = (values[x[:, 2]] // np.uint64(HASHES) * np.uint64(HASHES) + np.uint64(k)).view(np.int64)
                         x[:, 1] = key
-                        rows.append(x)
+                        rows.append(_once(x))
             out = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(out[:, i]) for i in (0, 1)), *(pa.array(out[:, i].astype(np.int32)) for i in (2, 3, 4))],
@@ -301,15 +313,13 @@ def _texts(docs: DataFrame, keys: DataFrame, wanted: DataFrame | None, id: str,
     rows = docs.select(F.xxhash64(whole(text)).alias("text_key"), F.col(id).alias("id_"), whole(text).alias("text"))
     one = keys.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     if wanted is not None:
-        one = stored(one.join(wanted, "text_key"), "passage-wanted")
-        if one.count() <= BROADCAST_ROWS:
-            one = F.broadcast(one)
-        rows = rows.join(one.select("text_key", "least"), "text_key").filter(F.col("id_").eqNullSafe(F.col("least")))
+        one = stored(one.join(wanted, "text_key").select("text_key", "least"), "passage-wanted")
+        rows = rows.join(bounded(one), "text_key").filter(F.col("id_").eqNullSafe(F.col("least")))
         return stored(rows.select("text_key", "text").dropDuplicates(["text_key"]), "passage-texts")
     # Copies go by their keys, which are few, so that the other texts need not be moved.
     rest = keys.join(one.filter("n > 1"), "text_key").filter(~F.col("doc_id").eqNullSafe(F.col("least")))
     rest = stored(rest.select("text_key", F.col("doc_id").alias("rest_id")).distinct(), "passage-copies")
-    r = rest.withColumnRenamed("text_key", "rest_key")
+    r = bounded(rest).withColumnRenamed("text_key", "rest_key")
     again = (F.col("text_key") == F.col("rest_key")) & F.col("id_").eqNullSafe(F.col("rest_id"))
     return rows.join(r, again, "left_anti").select("text_key", "text")
 
@@ -406,8 +416,12 @@ def cut(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str | No
     gone = stored(gone.select(F.col("text_key").alias(key), F.col("doc_id").alias(gone_id)).distinct(), "passage-gone")
 
     t = F.xxhash64(whole(text))
-    left = docs.join(gone, (t == F.col(key)) & F.col(f"`{id}`").eqNullSafe(F.col(gone_id)), "left_anti")
+    left = docs.join(bounded(gone), (t == F.col(key)) & F.col(f"`{id}`").eqNullSafe(F.col(gone_id)), "left_anti")
     named = spans.select(F.col("b").alias(key), F.col("spans").alias(spans_))
+    # Its rows are as wide as they have spans, so these are counted.
+    n = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    if n <= BROADCAST_ROWS:
+        named = F.broadcast(named)
     touched = left.join(named, t == F.col(key))
     names, at = touched.columns, touched.columns.index(text)
 
