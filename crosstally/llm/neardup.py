@@ -6,9 +6,11 @@ packed signatures estimate their similarity, corrected for chance collisions, an
 confirmed on the whole sets of shingles.
 
 Copies (equal sets) are one class.  Within a band's bucket pairs are not listed: classes are first
-compared with the bucket's smallest, which joins groups of near copies; after that only classes
-that are still in different components are compared with each other, in blocks of bounded size,
-and only pairs that pass the estimate leave the task.  So no link that a bucket shows is lost.
+compared with the bucket's smallest, which joins groups of near copies.  After that classes that are
+still in different components are compared with each other, in blocks of bounded size, and what
+passes the estimate is a family; of each family all pairs between components are then compared on
+their whole sets, again in blocks.  A block gives only as many pairs as connect its members, so no
+list of pairs grows with the square of a group, and no link that a bucket shows is lost.
 
 Defined cases: A-Z count as a-z; a text with fewer words than a shingle is one shingle; null texts
 and texts without words have no shingles and no links; repeated rows are copies; an empty table
@@ -17,8 +19,7 @@ gives an empty result; columns that are not named are not looked at.
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ship, stored, whole
+from .common import bounded, fresh, ship, stored, whole
 
 #: Bands of rows: at similarity 0.8 a pair misses all bands with probability 3e-6.
 BANDS, ROWS = 32, 5
@@ -35,10 +36,10 @@ HASHES = BANDS * ROWS
 BITS = 4
 #: Estimates this far (6 standard deviations) under the threshold still go to confirmation.
 SLACK = 0.2
-#: Members of a bucket compared at once, and shingles hashed at once.
-BLOCK, STEP = 256, 4096
-#: Representatives whose key table is broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Members compared at once on each side, shingles hashed at once, rows a task gets at once.
+BLOCK, STEP, BATCH = 256, 4096, 500
+#: Pairs of a unit that are compared one by one; more go through products of 0/1 matrices.
+FEW, WIDTH = 500, 4096
 
 _random = np.random.default_rng(20)
 XOR = _random.integers(0, 2**32, HASHES, np.uint32)[:, None]
@@ -55,6 +56,11 @@ def shingles(text: str, size: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[i:] for i in range(size)), strict=False)))
 
 
+def set_hashes(s: set[bytes]) -> np.ndarray:
+    """The hashes of a set's shingles, in order."""
+    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, s), np.uint64, len(s)))
+
+
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed low bits of the minima, and the hash of each band of whole minima."""
     least = np.full(HASHES, 2**32 - 1, np.uint32)
@@ -77,12 +83,11 @@ def signed(docs: DataFrame, size: int, id: str = "doc_id", text: str = "text") -
         for batch in batches:
             sizes, classes, packed, bands = [], [], [], []
             for t in batch.column("text").to_pylist():
-                s = shingles(t, size)
-                sizes.append(len(s))
-                if not s:
+                h = set_hashes(shingles(t, size))
+                sizes.append(len(h))
+                if not len(h):
                     classes.append(None), packed.append(None), bands.append(None)
                     continue
-                h = np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, s), np.uint64, len(s)))
                 classes.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())))))
                 a, b = signature(h)
                 packed.append(a), bands.append(b)
@@ -125,123 +130,190 @@ def stars(classes: DataFrame, floor: float) -> DataFrame:
     return pairs.select("a", "b", estimate(F.col("x"), F.col("y")).alias("similar")).filter(F.col("similar") >= floor)
 
 
-UNIT = "band bigint, i int, j int"
-
-
-def _units(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets with several components, dealt to units of two blocks.
+def _units(member: DataFrame, key: str) -> DataFrame:
+    """Members (class, root) of groups with several components, dealt to units of two blocks.
 
-    The bucket's largest component is compared with the others only, so its members meet the
-    blocks of the others, and those meet all.
+    The group's largest component is compared with the others only, so its members meet the blocks
+    of the others, and those meet all.
     """
-    member = (
-        classes.join(roots, "class", "left")
-        .withColumn("root", F.coalesce("root", "class"))
-        .select("class", "root", F.explode("bands").alias("band"))
-    )
-    parts = member.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    buckets = (
-        parts.groupBy("band")
+    parts = member.groupBy(key, "root").agg(F.count(F.lit(1)).alias("n"))
+    groups = (
+        parts.groupBy(key)
         .agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
         .filter("parts > 1")
     )
-    buckets = buckets.select(
-        "band",
+    groups = groups.select(
+        key,
         F.col("most.root").alias("main"),
         F.ceil(F.col("most.n") / BLOCK).cast("int").alias("main_blocks"),
         F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("other_blocks"),
     )
     dealt = lambda blocks: F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int")
-    m = member.join(buckets, "band").withColumn("is_main", F.col("root") == F.col("main"))
+    m = member.join(groups, key).withColumn("is_main", F.col("root") == F.col("main"))
     m = m.withColumn("own", F.when(F.col("is_main"), -1 - dealt("main_blocks")).otherwise(dealt("other_blocks")))
     others = F.sequence(F.lit(0), F.col("other_blocks") - 1)
     mains = F.sequence(-F.col("main_blocks"), F.lit(-1))
     m = m.withColumn("with", F.explode(F.when(F.col("is_main"), others).otherwise(F.concat(mains, others))))
-    return m.select("band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "class", "root")
+    return m.select(
+        F.col(key).alias("unit"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "class", "root"
+    )
 
 
-def between_components(classes: DataFrame, roots: DataFrame, floor: float) -> DataFrame:
-    """(a, b, similar): all pairs of a bucket in different components that pass the estimate.
+def _forest(passing: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (classes of left and right) that connect whatever the passing pairs connect.
 
-    Units stream by in order; a task holds one unit of at most about two blocks.
+    Every member takes the smallest label among its partners and remembers from whom, until
+    nothing changes; what it remembers last is its edge.
+    """
+    label = {int(c): int(c) for c in (*left, *right)}
+    edge: dict[int, int] = {}
+    rows, columns = passing.any(axis=1), passing.any(axis=0)
+    passing, left, right = passing[np.ix_(rows, columns)], left[rows], right[columns]
+    top = np.iinfo(np.int64).max
+    changed = bool(passing.size)
+    while changed:
+        changed = False
+        for own, other, mask in ((right, left, passing.T), (left, right, passing)):
+            labels = np.array([label[int(c)] for c in other], np.int64)
+            best = np.where(mask, labels[None, :], top).argmin(axis=1)
+            for c, k in zip(own.tolist(), best.tolist(), strict=True):
+                if labels[k] < label[c]:
+                    label[c], edge[c], changed = int(labels[k]), int(other[k]), True
+    return np.array(list(edge), np.int64), np.array(list(edge.values()), np.int64)
+
+
+def _compared(units: DataFrame, passes: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b): of every unit the pairs in different components that connect all that pass.
+
+    ``passes`` gets a unit and the places of its two sides and gives a matrix.  Units stream by in
+    order; a task holds one.
     """
-    most = int((1 - floor) * HASHES * (1 - 2.0**-BITS))
 
-    def compare(unit: list[pa.RecordBatch]) -> pa.Table | None:
+    def compare(unit: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(unit)
         ids, root, own = (t.column(c).to_numpy() for c in ("class", "root", "own"))
-        sig = np.stack(t.column("signature").to_numpy()).astype(np.int64).view(np.uint64)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        v = sig[left][:, None, :] ^ sig[right][None, :, :]
-        v |= v >> np.uint64(1)
-        v |= v >> np.uint64(2)
-        unequal = np.bitwise_count(v & np.uint64(0x1111111111111111)).sum(axis=2)
-        x, y = np.nonzero((unequal <= most) & (root[left][:, None] != root[right][None, :]))
-        a, b = ids[left[x]], ids[right[y]]
-        if not len(a):
-            return None
-        similar = 1 - unequal[x, y] / (HASHES * (1 - 2.0**-BITS))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similar": similar})
+        left, right = np.flatnonzero(own == t.column("i")[0].as_py()), np.flatnonzero(own == t.column("j")[0].as_py())
+        passing = passes(t, left, right) & (root[left][:, None] != root[right][None, :])
+        a, b = _forest(passing, ids[left], ids[right])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, unit = None, []
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("unit", "i", "j")], axis=1)
             starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for s, e in zip(starts, starts[1:], strict=False):
-                if s == e:
-                    continue
                 if tuple(keys[s]) != key:
-                    if unit and (found := compare(unit)):
-                        yield from found.to_batches()
+                    if unit:
+                        yield compare(unit)
                     key, unit = tuple(keys[s]), []
                 unit.append(batch.slice(s, e - s))
-        if unit and (found := compare(unit)):
-            yield from found.to_batches()
+        if unit:
+            yield compare(unit)
+
+    ship(units.sparkSession)
+    units = units.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    return units.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _alike(floor: float) -> Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]:
+    """Whether two signatures differ in few enough minima, by bit counts."""
+    most = int((1 - floor) * HASHES * (1 - 2.0**-BITS))
 
-    ship(classes.sparkSession)
-    units = _units(classes, roots).join(classes.select("class", "signature"), "class")
-    units = units.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return units.mapInArrow(run, "a bigint, b bigint, similar double").distinct()
+    def passes(t: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        packed = t.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(t), -1)
+        v = packed[left][:, None, :] ^ packed[right][None, :, :]
+        v |= v >> np.uint64(1)
+        v |= v >> np.uint64(2)
+        return np.bitwise_count(v & np.uint64(0x1111111111111111)).sum(axis=2) <= most
+
+    return passes
+
+
+def _linked_sets(floor: float, percent: int) -> Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]:
+    """Whether two whole sets are similar enough, for the pairs that pass the estimate."""
+    alike = _alike(floor)
+
+    def passes(t: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        root = t.column("root").to_numpy()
+        asked = alike(t, left, right) & (root[left][:, None] != root[right][None, :])
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
+        sizes = np.array([len(x) for x in sets])
+        x, y = np.nonzero(asked)
+        if len(x) <= FEW:
+            both = np.array([len(np.intersect1d(sets[left[i]], sets[right[j]], True)) for i, j in zip(x, y, strict=True)], np.int64)
+        else:
+            rows, columns = np.unique(x), np.unique(y)
+            members = [sets[left[i]] for i in rows], [sets[right[j]] for j in columns]
+            known = np.unique(np.concatenate(members[0] + members[1]))
+            total = np.zeros((len(rows), len(columns)), np.float32)
+            for k in range(0, len(known), WIDTH):
+                part = known[k : k + WIDTH]
+                halves = []
+                for side in members:
+                    m = np.zeros((len(side), len(part)), np.float32)
+                    for r, s in enumerate(side):
+                        lo, hi = np.searchsorted(s, part[0]), np.searchsorted(s, part[-1], "right")
+                        m[r, np.searchsorted(part, s[lo:hi])] = 1
+                    halves.append(m)
+                total += halves[0] @ halves[1].T
+            both = total[np.searchsorted(rows, x), np.searchsorted(columns, y)].astype(np.int64)
+        out = np.zeros_like(asked)
+        union = sizes[left[x]] + sizes[right[y]] - both
+        out[x, y] = 100 * both >= percent * union
+        return out
+
+    return passes
 
 
-def texts_of(docs: DataFrame, sig: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """(class, text): the text of one document of each wanted class."""
+def whole_sets(docs: DataFrame, sig: DataFrame, wanted: DataFrame, size: int, id: str, text: str) -> DataFrame:
+    """(class, hashes): the sorted hashes of all shingles of the wanted classes, from one document
+    of each."""
     one = sig.join(wanted, "class").groupBy("class").agg(F.min(F.struct("copy", "doc_id")).alias("x"))
     one = stored(one.select("class", F.col("x.copy").alias("copy_key"), F.col("x.doc_id").alias("id_key")), "neardup-wanted")
-    if one.count() <= BROADCAST_ROWS:
-        one = F.broadcast(one)
     rows = docs.select(F.col(id).alias("id_"), whole(text).alias("text")).withColumn("copy_", F.xxhash64("text"))
-    found = rows.join(one, (F.col("copy_") == F.col("copy_key")) & F.col("id_").eqNullSafe(F.col("id_key")))
-    return stored(found.select("class", "text").dropDuplicates(["class"]), "neardup-texts")
+    found = rows.join(bounded(one), (F.col("copy_") == F.col("copy_key")) & F.col("id_").eqNullSafe(F.col("id_key")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [set_hashes(shingles(x.as_py(), size)).tobytes() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.binary())], ["class", "hashes"])
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
+    ship(docs.sparkSession)
+    made = found.select("class", "text").mapInArrow(run, "class bigint, hashes binary")
+    return stored(made.dropDuplicates(["class"]), "neardup-sets", BATCH)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[int, set[bytes]] = OrderedDict()
 
-        def made(key: int, text: str) -> set[bytes]:
-            if key not in held:
-                held[key] = shingles(text, size)
-                while len(held) > 8:
-                    held.popitem(last=False)
-            return held[key]
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union.
 
+    A row per member: the pairs' first class comes before its partners, and only its set is held.
+    A class with many partners is dealt to several parts, each of which it leads.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    leads = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("class"), F.lit(True).alias("first"))
+    others = pairs.join(many, "a").select("a", part.alias("part"), F.col("b").alias("class"), F.lit(False).alias("first"))
+    rows = leads.union(others).join(sets, "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint64)
         for batch in batches:
             ok = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                s, t = made(a, x), shingles(y, size)
-                both = len(s & t)
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for first, hashes in zip(batch.column("first").to_pylist(), batch.column("hashes"), strict=True):
+                s = np.frombuffer(hashes.as_py(), np.uint64)
+                if first:
+                    held = s
+                both = 0 if first else len(np.intersect1d(held, s, True))
+                ok.append(not first and 100 * both >= percent * (len(held) + len(s) - both))
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("class")], ["a", "b"])
+            yield out.filter(pa.array(ok, pa.bool_()))
 
     ship(pairs.sparkSession)
-    rows = pairs.select("a", "b").join(texts.withColumnsRenamed({"class": "b", "text": "y"}), "b")
-    rows = rows.join(texts.withColumnsRenamed({"class": "a", "text": "x"}), "a")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("first"))
+    return stored(rows.select("a", "class", "first", "hashes").mapInArrow(run, "a bigint, b bigint"), "neardup-links", BATCH)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,42 +346,34 @@ def linked(docs: DataFrame, sig: DataFrame, size: int, percent: int, id: str, te
     floor = percent / 100 - SLACK
     classes = sig.filter("n_shingles > 0").groupBy("class").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = stored(classes, "neardup-classes")
-    star = stored(stars(classes, floor), "neardup-stars")
-    first = star.groupBy("b").agg(F.min("a").alias("a"))
+    first = stars(classes, floor).groupBy("b").agg(F.min("a").alias("a"))
     first = stored(first.select("a", "b"), "neardup-first")
     ends = lambda p: p.select(F.col("a").alias("class")).union(p.select(F.col("b").alias("class")))
-    texts = texts_of(docs, sig, ends(first).distinct(), id, text)
-    links = stored(confirmed(first, texts, size, percent), "neardup-links")
+    links = confirmed(first, whole_sets(docs, sig, ends(first).distinct(), size, id, text), percent)
     roots = components(links)
-    # What other pairs the buckets show, now that most of a group is one component.
-    open_ = stored(between_components(classes, roots, floor).join(first, ["a", "b"], "left_anti"), "neardup-open")
-    if open_.isEmpty():
+
+    # What else the buckets show, now that most of a group is one component: families of classes.
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+    signatures = classes.select("class", "signature")
+    bucket = rooted(classes.select("class", F.explode("bands").alias("band")))
+    near = stored(_compared(_units(bucket, "band").join(signatures, "class"), _alike(floor)), "neardup-near", BATCH)
+    if near.isEmpty():
         return roots
-    texts = texts_of(docs, sig, ends(open_).distinct(), id, text)
-    for last in (False, True):
-        # First each class with its most similar partner, then whatever is left between components.
-        now = open_
-        if not last:
-            best = open_.groupBy("b").agg(F.max_by("a", F.struct("similar", "a")).alias("a"))
-            now = stored(best.select("a", "b"), "neardup-best")
-        links = links.union(confirmed(now, texts, size, percent))
-        links = stored(links, "neardup-links")
-        roots = components(links)
-        if last:
-            break
-        r = roots.select(F.col("class"), F.col("root"))
-        open_ = open_.join(now, ["a", "b"], "left_anti")
-        open_ = open_.join(r.withColumnsRenamed({"class": "a", "root": "p"}), "a", "left")
-        open_ = open_.join(r.withColumnsRenamed({"class": "b", "root": "q"}), "b", "left")
-        open_ = stored(open_.filter("coalesce(p, a) <> coalesce(q, b)").select("a", "b", "similar"), "neardup-open")
-        if open_.isEmpty():
-            break
-    return roots
+    hung = roots.filter("class <> root").select(F.col("root").alias("a"), F.col("class").alias("b"))
+    family = components(near.union(hung)).withColumnRenamed("root", "family")
+    member = stored(rooted(family), "neardup-members")
+    units = stored(_units(member, "family"), "neardup-units")
+    sets = whole_sets(docs, sig, units.select("class").distinct(), size, id, text)
+    units = units.join(signatures, "class").join(sets, "class")
+    more = stored(_compared(units, _linked_sets(floor, percent)), "neardup-more", BATCH)
+    return components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, copy, n_shingles, component_id (smallest id of its group), kept."""
-    sig = stored(signed(docs, size, id, text), "neardup-signed")
+    sig = stored(signed(docs, size, id, text), "neardup-signed", 4 * BATCH)
     roots = linked(docs, sig, size, percent, id, text)
     rows = sig.select("doc_id", "copy", "n_shingles", "class").join(roots, "class", "left")
     rows = stored(rows.withColumn("root", F.coalesce("root", "class")), "neardup-rows")
@@ -331,10 +395,11 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "d
     id_, copy_ = fresh(docs, "neardup_id"), fresh(docs, "neardup_copy")
     named = lambda df: df.select(F.col("doc_id").alias(id_), F.col("copy").alias(copy_)).distinct()
     same = F.col(f"`{id}`").eqNullSafe(F.col(id_)) & (F.xxhash64(whole(text)) == F.col(copy_))
-    out = docs.join(stored(named(rows.filter("NOT kept")), "neardup-gone"), same, "left_anti")
+    out = docs.join(bounded(stored(named(rows.filter("NOT kept")), "neardup-gone")), same, "left_anti")
     again = rows.filter("kept").groupBy("doc_id", "copy").count().filter("count > 1")
     again = stored(named(again), "neardup-again")
     if again.isEmpty():
         return out
+    again = bounded(again)
     once = out.join(again, same, "left_semi").withColumn(copy_, F.xxhash64(whole(text))).dropDuplicates([id, copy_]).drop(copy_)
     return out.join(again, same, "left_anti").unionByName(once)
