@@ -7,8 +7,11 @@ whose windows share a value are candidates; where the windows of enough hash fun
 the regions are compared word by word.  A passage pair is reported when it has at least ``WORDS``
 words and its shingle sets a similarity of at least ``PERCENT``.
 
-Equal texts are one text.  Of the windows that share a value, each is paired with that of the first
-text (the smallest hash of a text), so a value that many texts share gives as many pairs as texts.
+Equal texts are one text.  Of the windows that share a value, each is first paired with that of the
+first text (the smallest hash of a text).  Where three or more texts share the value, every window
+whose place no confirmed passage with a smaller text covers is then compared, in blocks, with those
+of all smaller texts until one does, and if none does and its place is in no passage, with those of
+the larger ones.
 
 Defined cases: A-Z count as a-z; null, empty and short texts have no passages; repeated rows are
 copies, which are duplicates as a whole if they are long enough; an empty table gives an empty
@@ -34,6 +37,8 @@ SIZE, WORDS, PERCENT = 5, 50, 80
 HASHES, ENOUGH = 6, 2
 #: Shingles without a counterpart that a passage may hold in a row.
 GAP = 20
+#: Windows of a value that a unit of the later comparison holds on a side, at most about.
+BLOCK = 2**10
 #: Words whose hashes a process keeps.
 MEMO = 2**18
 
@@ -45,7 +50,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 PLACE = 28
 
 WINDOW = "value bigint, text_key bigint, place int, left int, right int"
-PAIR = "a bigint, b bigint, hash int, al int, ar int, bl int, br int"
+PAIR = "value bigint, a bigint, b bigint, hash int, ap int, al int, ar int, bp int, bl int, br int"
+MEMBER = "value bigint, i int, j int, own int, text_key bigint, place int, left int, later boolean, told boolean, words string"
 PASSAGE = "a bigint, b bigint, a_start int, a_end int, b_start int, b_end int, similarity double"
 
 
@@ -160,9 +166,10 @@ def _sharing(windows: DataFrame) -> DataFrame:
             other = np.flatnonzero(x[:, 1] != x[first, 1])
             a, b = x[first[other]], x[other]
             hashes = (b[:, 0].view(np.uint64) % np.uint64(HASHES)).astype(np.int32)
-            small = [y.astype(np.int32) for y in (a[:, 3], a[:, 4], b[:, 3], b[:, 4])]
+            small = [y[:, k].astype(np.int32) for y in (a, b) for k in (2, 3, 4)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(y) for y in (a[:, 1], b[:, 1], hashes, *small)], ["a", "b", "hash", "al", "ar", "bl", "br"]
+                [pa.array(y) for y in (b[:, 0], a[:, 1], b[:, 1], hashes, *small)],
+                ["value", "a", "b", "hash", "ap", "al", "ar", "bp", "bl", "br"],
             )
 
     order = windows.repartition("value").sortWithinPartitions("value", "text_key", "place")
@@ -272,16 +279,21 @@ def passages(a: list[bytes], b: list[bytes], region: tuple[int, int, int, int]):
                 yield al + i0 + a0, al + i0 + a1 + SIZE, bl + j0 + b0, bl + j0 + b1 + SIZE, alike
 
 
+def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
+    schema = pa.schema(
+        [("a", pa.int64()), ("b", pa.int64())]
+        + [(c, pa.int32()) for c in ("a_start", "a_end", "b_start", "b_end")]
+        + [("similarity", pa.float64())]
+    )
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """Passages of (a, b, collisions, x, y), x and y the texts of a and b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, list[bytes]] = (0, [])
-        schema = pa.schema(
-            [("a", pa.int64()), ("b", pa.int64())]
-            + [(c, pa.int32()) for c in ("a_start", "a_end", "b_start", "b_end")]
-            + [("similarity", pa.float64())]
-        )
         for batch in batches:
             out = []
             columns = (batch.column(c) for c in ("a", "b", "collisions", "x", "y"))
@@ -293,13 +305,155 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 for region in regions(collisions.as_py()):
                     for p in passages(held[1], other, region):
                         out.append((key, b.as_py(), *p))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            yield _passage_batch(out)
 
     ship(pairs.sparkSession)
     return pairs.select("a", "b", "collisions", "x", "y").mapInArrow(run, PASSAGE)
 
 
+def _members(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(value, text_key, place, left, right, later, told, blocks): windows of the values of three or
+    more texts that are not yet explained.
+
+    ``later`` says that a confirmed passage with a smaller text covers the place, ``told`` that one
+    with any text does.  A value is explained where all windows but the first text's are later.
+    """
+    many = shared.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("a", "ap", "al", "ar")).alias("first"))
+    many = stored(many.filter("n >= 2"), "passage-values")
+    names = ["value", "text_key", "place", "left", "right"]
+    firsts = many.select("value", "first.*").toDF(*names)
+    rest = shared.join(bounded(many.select("value")), "value").select("value", "b", "bp", "bl", "br").toDF(*names)
+    span = lambda x, later: found.select(
+        F.col(x).alias("text_key"), F.struct(F.col(f"{x}_start").alias("s"), F.col(f"{x}_end").alias("e"), F.lit(later).alias("later")).alias("span")
+    )
+    spans = span("a", False).union(span("b", True)).groupBy("text_key").agg(F.collect_set("span").alias("spans"))
+    here = F.filter(
+        F.coalesce("spans", F.array()), lambda x: (x["s"] <= F.col("place")) & (F.col("place") + SIZE <= x["e"])
+    )
+    windows = rest.withColumn("is_first", F.lit(False)).union(firsts.withColumn("is_first", F.lit(True)))
+    windows = windows.join(spans, "text_key", "left").withColumn("here", here)
+    windows = windows.select(*names, "is_first", F.exists("here", lambda x: x["later"]).alias("later"), (F.size("here") > 0).alias("told"))
+    windows = stored(windows, "passage-windows")
+    groups = windows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("later") & ~F.col("is_first")).alias("n_open"))
+    groups = groups.filter("n_open > 0").select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return windows.drop("is_first").join(bounded(stored(groups, "passage-groups")), "value")
+
+
+def _dealt(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``MEMBER``: the words of every window, once for each unit (value, i, j) that it takes part in."""
+    block = F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int")
+    m = members.withColumn("own", block)
+    m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select(
+        "value", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "text_key", "place", "left", "right", "later", "told"
+    ).join(texts, "text_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, list[bytes]] = ("", [])
+        for batch in batches:
+            out = []
+            for left, right, text in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "text")), strict=True):
+                if text != held[0]:
+                    held = text, text.encode().lower().split()
+                out.append(b" ".join(held[1][left : right + SIZE]).decode())
+            names = ["value", "i", "j", "own", "text_key", "place", "left", "later", "told"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], [*names, "words"])
+
+    ship(members.sparkSession)
+    return m.mapInArrow(run, MEMBER)
+
+
+def _dense(h: list[int], other: set[int], at: int, least: int) -> bool:
+    """Whether a stretch of at least ``least`` different shingles around ``at`` has enough in common
+    with ``other`` for a passage."""
+    known = np.fromiter(map(other.__contains__, h), np.int64, len(h))
+    upto = np.zeros(len(h) + 1, np.int64)
+    np.cumsum(100 * known - PERCENT, out=upto[1:])
+    best = np.maximum.accumulate(upto[::-1])[::-1]  # the highest sum up to any later end
+    starts = np.arange(min(at, len(h) - least) + 1)
+    return bool((best[np.maximum(starts + least, at + 1)] >= upto[starts]).any())
+
+
+def explained(unit: list[tuple], memo: WordHashes) -> Iterator[tuple]:
+    """Passages of a unit's windows (i, j, own, text_key, place, left, later, told, words), which
+    stand in the order of their texts.
+
+    A window is compared with those of smaller texts on the other side until a passage with one
+    covers its place, and if there is none and nothing else covers it, with those of larger texts.
+    A passage holds at least ``least`` shingles of which ``PERCENT`` are shared, so of a window's
+    shingles all but ``need`` - 1 (the most frequent ones) lead to all windows it can have one with.
+    """
+    least = WORDS - SIZE + 1
+    i, j = unit[0][:2]
+    keys, places, lefts = ([m[k] for m in unit] for k in (3, 4, 5))
+    later, told = ([m[k] for m in unit] for k in (6, 7))
+    words_ = [m[8].encode().split() for m in unit]
+    hashes = [shingle_hashes(w, memo).tolist() for w in words_]
+    sets = [set(h) for h in hashes]
+    sides = {k: [x for x, m in enumerate(unit) if m[2] == k] for k in {i, j}}
+    where: dict[int, dict[int, list[int]]] = {}
+    seen: set[tuple[int, int]] = set()
+    for u, m in enumerate(unit):
+        if later[u]:
+            continue
+        other = j if m[2] == i else i
+        # Shingles that a window repeats may leave fewer different ones in a passage.
+        different = max(1, least - (len(hashes[u]) - len(sets[u])))
+        need = -(-PERCENT * different // 100)
+        if len(sides[other]) <= 16:
+            candidates = sides[other]
+        else:
+            if other not in where:
+                where[other] = {}
+                for x in sides[other]:
+                    for h in sets[x]:
+                        where[other].setdefault(h, []).append(x)
+            lists = sorted((where[other].get(h, []) for h in sets[u]), key=len)
+            candidates = sorted({x for one in lists[: len(lists) - need + 1] for x in one})
+        for c in candidates:
+            if c > u and told[u]:
+                break
+            pair = min(u, c), max(u, c)
+            if keys[c] == keys[u] or pair in seen or len(sets[u] & sets[c]) < need:
+                continue
+            seen.add(pair)
+            x, y = pair
+            # With repeated shingles the shares of places and of different shingles are not the same.
+            if not all(
+                len(sets[z]) < len(hashes[z]) or _dense(hashes[z], sets[w], places[z] - lefts[z], least) for z, w in (pair, pair[::-1])
+            ):
+                continue
+            for a0, a1, b0, b1, alike in passages(words_[x], words_[y], (0, len(hashes[x]) - 1, 0, len(hashes[y]) - 1)):
+                yield keys[x], keys[y], a0 + lefts[x], a1 + lefts[x], b0 + lefts[y], b1 + lefts[y], alike
+                if a0 <= places[x] - lefts[x] <= a1 - SIZE:
+                    told[x] = True
+                if b0 <= places[y] - lefts[y] <= b1 - SIZE:
+                    told[y] = later[y] = True
+            if later[u]:
+                break
+
+
+def _explained(dealt: DataFrame) -> DataFrame:
+    """Passages of ``MEMBER``.  Units stream by in order; a task holds one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, key, unit = WordHashes(), None, []
+        for batch in batches:
+            out = []
+            for value, *m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (value, m[0], m[1]) != key:
+                    if unit:
+                        out.extend(explained(unit, memo))
+                    key, unit = (value, m[0], m[1]), []
+                unit.append(tuple(m))
+            yield _passage_batch(out)
+        if unit:
+            yield _passage_batch(list(explained(unit, memo)))
+
+    order = dealt.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "text_key")
+    return order.mapInArrow(run, PASSAGE)
+
+
 def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_key, n_words): the texts' hashes, stored."""
     t = whole(text)
@@ -329,7 +483,7 @@ def near_passages(docs: DataFrame, keys: DataFrame, id: str = "doc_id", text: st
 
     a and b are keys of texts (``keyed``); places are words.
     """
-    shared = _sharing(_windows(_texts(docs, keys, None, id, text)))
+    shared = stored(_sharing(_windows(_texts(docs, keys, None, id, text))), "passage-shared")
     pairs = (
         shared.groupBy("a", "b")
         .agg(F.collect_set(F.struct("hash", "al", "ar", "bl", "br")).alias("collisions"))
@@ -340,7 +494,11 @@ def near_passages(docs: DataFrame, keys: DataFrame, id: str = "doc_id", text: st
     texts = _texts(docs, keys, ends, id, text)
     joined = pairs.join(texts.withColumnsRenamed({"text_key": "b", "text": "y"}), "b")
     joined = joined.join(texts.withColumnsRenamed({"text_key": "a", "text": "x"}), "a")
-    return stored(_verified(joined), "passages")
+    found = stored(_verified(joined), "passages")
+    members = stored(_members(shared, found), "passage-members")
+    texts = _texts(docs, keys, members.select("text_key").distinct(), id, text)
+    more = stored(_explained(_dealt(members, texts)).distinct(), "passages-more")
+    return found.unionByName(more.join(found, found.columns, "left_anti"))
 
 
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

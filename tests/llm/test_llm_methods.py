@@ -307,6 +307,41 @@ def test_repeated_passages_are_found_and_clean_texts_left_alone(spark):
     assert {len(w) for i, w in left.items() if i in (1, 2, 3)} <= {355, 300, 65, 10, 55}
 
 
+def test_passages_of_chains_and_common_phrases_are_found(spark):
+    """Variants of which the first text is like none, and repeats made of phrases many texts have."""
+    rng = random.Random(6)
+    prose = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts, planted, phrases = {}, {}, [prose(5) for _ in range(40)]
+    add = lambda w: (texts.setdefault(i := len(texts), [*(x := prose(30)), *w, *prose(30)]), planted.setdefault(i, w))
+    for _ in range(40):
+        base = prose(52)
+        for edits in ((17, 34), (), (26,)):  # the first is unlike the two others
+            add([f"e{rng.randrange(10**6)}" if k in edits else x for k, x in enumerate(base)])
+    for _ in range(20):
+        some = [x for p in rng.sample(phrases, 12) for x in p]
+        add(some)
+        add(some)
+    for p in phrases:
+        for _ in range(12):
+            add([*p, *prose(40)])
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in planted.items()}
+    want = defaultdict(set)
+    for i in sets:
+        for j in sets:
+            if i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                want[i].add(j)
+    assert len(want) == 120
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = defaultdict(set)
+    for r in substrings.repeated(df).collect():
+        w = [texts[i] for i in (r.doc_id, r.partner_id)]
+        assert r.end_word - r.start_word >= 50 and r.similarity >= 0.8 and r.end_word <= len(w[0])
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    for i in want:
+        assert len(got[i] & set(range(30, 30 + len(planted[i])))) >= 50, i
+    assert set(got) == set(want)
+
+
 # -- 7, 8, 10: tokens ----------------------------------------------------------------------------
 
 ODD = [
