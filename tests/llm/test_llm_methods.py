@@ -180,6 +180,17 @@ def test_licence_places_and_labels(spark):
     assert licences.licences(df.limit(0)).count() == 0
 
 
+def test_licences_among_many_rarer_words(spark):
+    """The label's words are the commonest ones of a file that uses most of the vocabulary."""
+    gpl = "licensed under the gnu general public license version 3"
+    rare = [w for w in licences.VOCABULARY if w not in gpl.split()]
+    assert len(rare) > licences.LOOKUPS
+    rows = [(0, f"{gpl} x {' x '.join(rare)}"), (1, gpl), *((i, "version of gnu license licensed") for i in range(2, 9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licences.licences(df).collect()}
+    assert got[0] == got[1] == ("gpl-3", 1.0) and got[2] == ("", 0.0)
+
+
 def test_licence_base_by_brute_force(spark, texts):
     import re
 
