@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, licences, mixing, neardup, packing, quality, substrings, tokencounts, topk, warc
+from . import bytebpe, licences, mixing, neardup, novelty, packing, quality, substrings, tokencounts, topk, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,13 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_shared_words) >= 50 * n_words AS kept
 FROM m
 """
+
+
+@query
+def op11_secret_novelty(spark: SparkSession, directory: str) -> DataFrame:
+    return novelty.report(table(spark, directory, "documents"))
+
+
+@query
+def op13_polar_whitening(spark: SparkSession, directory: str) -> DataFrame:
+    return whitening.whitened(table(spark, directory, "embeddings"))
