@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, licences, mixing, neardup, novelty, packing, quality, substrings, tokencounts, topk, warc, whitening
+from . import (
+    bytebpe,
+    collocations,
+    licences,
+    mixing,
+    neardup,
+    novelty,
+    packing,
+    quality,
+    substrings,
+    tokencounts,
+    topk,
+    warc,
+    whitening,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,6 +271,38 @@ def op11_secret_novelty(spark: SparkSession, directory: str) -> DataFrame:
     return novelty.report(table(spark, directory, "documents"))
 
 
+@query
+def op12_collocations(spark: SparkSession, directory: str) -> DataFrame:
+    return collocations.collocations(table(spark, directory, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (SELECT lang, k, ws[i : i + k - 1] AS phrase, count(*) AS f
+      FROM places, (VALUES (1), (2), (3), (4)) AS o(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT lang, phrase, c.k, a, unnest(range(1, c.k)) AS head FROM c),
+s AS (SELECT cut.lang, cut.phrase, cut.a, cut.head, x.f AS l, y.f AS r,
+        CAST((2000000 * CAST(cut.a AS HUGEINT)) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.phrase[1 : cut.head]
+      JOIN f y ON y.lang = cut.lang AND y.phrase = cut.phrase[cut.head + 1 : cut.k]),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, head) = 1),
+inside AS (SELECT lang, phrase[i : i + n - 1] AS phrase, max(a) AS longest
+  FROM (SELECT lang, phrase, k, a, unnest(range(1, k)) AS i FROM c WHERE k > 2), (VALUES (2), (3)) AS o(n)
+  WHERE n < k AND i + n - 1 <= k GROUP BY ALL),
+left_over AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase)
+  WHERE longest IS NULL OR 100 * CAST(longest AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+ranked AS (SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op13_polar_whitening(spark: SparkSession, directory: str) -> DataFrame:
     return whitening.whitened(table(spark, directory, "embeddings"))
