@@ -9,8 +9,8 @@ What a rare prefix starts can be no frequent phrase, so windows are cut there be
 up; nothing is lost, since they still count for what is left of them.
 
 - Words below ``least`` are cut while windows are made, by a broadcast table of frequent words; it
-  is bounded in rows and bytes.  If there are more of them, the most frequent ones are broadcast and
-  no word is cut.
+  is bounded in rows and bytes.  If there are more of them, the most frequent ones are broadcast, no
+  word is cut, and words that are not in the table travel as text beside the numbers of the others.
 - Windows are combined per some ``CHUNK`` bytes of text and dealt by their first two words.  A pair
   that could occur more than ``HOT`` times, by the frequency of its rarer word, is dealt by its
   third word too, in parts of about that many, so no pair is counted in one task.  Every part holds
@@ -41,9 +41,12 @@ LEAST = 30
 WITHIN = 80
 TOP = 2000
 #: Bytes of text that are combined at once.
-CHUNK = 2**24
-#: Bounds of the broadcast words: rows and bytes.
+CHUNK = 2**23
+#: Bounds of the broadcast words: rows and bytes.  A word's number has ``BITS`` bits; 0 pads, and the
+#: greatest one stands for a word that is not in the table.
 KNOWN_ROWS, KNOWN_BYTES = 2**20, 2**26
+BITS = 21
+OTHER = 2**BITS - 1
 #: Occurrences from which a pair of words may be dealt to several tasks.
 HOT = 2**17
 #: Parts of a language whose best phrases are found first.
@@ -57,7 +60,9 @@ BREAK, BLANK = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 STOP = "\n"
 
 WORDS = "lang string, word string, n bigint"
-WINDOWS = "lang string, pair string, part int, w3 string, w4 string, n bigint"
+#: The first two words and the part, the last two, with the words that have no number as text.
+WINDOWS = "pair bigint, u12 string, last bigint, u34 string, n bigint"
+CUT = "lang string, w1 string, w2 string, w3 string, w4 string, n bigint"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -97,10 +102,10 @@ class Words:
         self.codes, self.row, self.piece = codes[kept], row[kept], piece[kept]
         self.lang = np.asarray(langs.indices, np.int64)[self.row]
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language, code and count of every distinct word of a language."""
-        keys, n = np.unique(self.lang * len(self.words) + self.codes, return_counts=True)
-        return *np.divmod(keys, max(1, len(self.words))), n
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language, code and count of every distinct word of a language, and which one each word is."""
+        keys, which, n = np.unique(self.lang * max(1, len(self.words)) + self.codes, return_inverse=True, return_counts=True)
+        return *np.divmod(keys, max(1, len(self.words))), n, which
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             w = Words(chunk)
-            lang, code, n = w.counts()
+            lang, code, n, _ = w.distinct()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(w.langs, pa.string()).take(lang), w.words.take(code).cast(pa.string()), pa.array(n, pa.int64())],
                 ["lang", "word", "n"],
@@ -120,15 +125,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Known:
-    """Frequent words of each language with their counts; ``all`` if no frequent word is missing."""
+    """Frequent words, numbered from 1 within their languages; ``all`` if no frequent one is missing."""
 
     def __init__(self, words: dict[str, dict[str, int]], all: bool, others: int):
-        self.words, self.all, self.others = words, all, others
-
-    def counts(self, lang: str, words: list[str]) -> np.ndarray:
-        """Counts of words; those of unknown words are 0 if they are rare, else the most they can be."""
-        known, default = self.words.get(lang, {}), 0 if self.all else self.others
-        return np.fromiter((known.get(w, default) for w in words), np.int64, len(words))
+        self.all, self.others = all, others
+        self.spans, lists = {}, []
+        self.counts, self.langs = [0], [""]
+        for lang, own in words.items():
+            self.spans[lang] = (len(self.counts), len(own))
+            lists.append(pa.array(list(own), pa.large_string()))
+            self.counts += own.values()
+            self.langs += [lang] * len(own)
+        self.words = pa.concat_arrays([pa.array([""], pa.large_string()), *lists])
+        self.langs = pa.array(self.langs, pa.string()).dictionary_encode()
+        self.counts = np.array(self.counts, np.int64)
+
+    def numbers(self, lang: str, words: pa.Array) -> np.ndarray:
+        """Numbers of words; a word without one is 0 if it must be rare, else ``OTHER``."""
+        default = 0 if self.all else OTHER
+        if lang not in self.spans:
+            return np.full(len(words), default, np.int64)
+        first, size = self.spans[lang]
+        own = self.words.slice(first, size)
+        found = pc.index_in(words, own)
+        return np.where(np.asarray(found.is_valid()), np.asarray(found.fill_null(0), np.int64) + first, default)
 
 
 def known_words(frequent: DataFrame, rows: int = KNOWN_ROWS, size: int = KNOWN_BYTES) -> Known:
@@ -149,83 +169,136 @@ def known_words(frequent: DataFrame, rows: int = KNOWN_ROWS, size: int = KNOWN_B
     return Known(words, complete, 0 if complete else 2**least)
 
 
-def _windows(w: Words, known: Known, hot: int) -> pa.RecordBatch:
+def _joined(mask: np.ndarray, texts: pa.Array, which: list[np.ndarray], numbers: list[np.ndarray], before: pa.Array | None):
+    """Words without a number, blank-separated, for the rows of ``mask``; null for all others."""
+    out = np.full(len(mask), None, object)
+    if mask.any():
+        columns = [texts.take(np.where(i[mask] == OTHER, w[mask], 0)).to_pylist() for w, i in zip(which, numbers, strict=True)]
+        lines = [" ".join(x) for x in zip(*columns, strict=True)]
+        if before is not None:
+            lines = [f"{a}{STOP}{b}" for a, b in zip(before.filter(pa.array(mask)).to_pylist(), lines, strict=True)]
+        out[mask] = lines
+    return pa.array(out, pa.string())
+
+
+def _windows(w: Words, known: Known, hot: int) -> Iterator[pa.RecordBatch]:
     """The distinct padded windows of a chunk with their counts and the part they are dealt to."""
-    size = len(w.words) + 1
-    codes = w.codes + 1  # 0 pads
-    lang, code, _ = w.counts()
-    words, often = w.words.take(code).to_pylist(), np.zeros((max(1, len(w.langs)), size), np.int64)
+    names = ["pair", "u12", "last", "u34", "n"]
+    lang, code, _, which = w.distinct()
+    numbers = np.zeros(len(lang) + 1, np.int64)
+    texts = pa.concat_arrays([pa.array([""], pa.large_string()), w.words.take(code).cast(pa.large_string())])
     for k, name in enumerate(w.langs):
-        own = np.flatnonzero(lang == k)
-        often[k, code[own] + 1] = known.counts(name, [words[i] for i in own])
-    if known.all:
-        codes = np.where(often[w.lang, codes] > 0, codes, 0)
-    lead, n = [codes], len(codes)
+        own = np.flatnonzero(lang == k) + 1
+        numbers[own] = known.numbers(name, texts.take(own))
+    which = which + 1
+    which[numbers[which] == 0] = 0
+
+    # What a rare word leads has no prefix that counts; it is still one of the language's words.
+    cut = np.bincount(w.lang[which == 0], minlength=len(w.langs))
+    rare = np.flatnonzero(cut)
+    none = pa.nulls(len(rare), pa.string())
+    zeros = pa.array(np.zeros(len(rare), np.int64))
+    yield pa.RecordBatch.from_arrays(
+        [zeros, pc.binary_join_element_wise(pa.array(w.langs, pa.string()).take(rare), " ", STOP), zeros, none, pa.array(cut[rare])], names
+    )
+
+    lead, total = [which], len(which)
     for k in range(1, ORDER):
-        following = np.zeros(n, np.int64)
-        same = (w.row[k:] == w.row[: n - k]) & (w.piece[k:] == w.piece[: n - k])
-        following[: max(0, n - k)] = np.where(same & (lead[-1][: n - k] > 0), codes[k:], 0)
+        following = np.zeros(total, np.int64)
+        same = (w.row[k:] == w.row[: total - k]) & (w.piece[k:] == w.piece[: total - k])
+        following[: max(0, total - k)] = np.where(same & (lead[-1][: total - k] > 0), which[k:], 0)
         lead.append(following)
+    kept = which > 0
+    size = len(numbers)
     # Two factors of a window, each in 64 bits, and then their combination.
-    first, heads = pd.factorize((w.lang * size + lead[0]) * size + lead[1])
-    last, tails = pd.factorize(lead[2] * size + lead[3])
+    first, heads = pd.factorize((lead[0] * size + lead[1])[kept])
+    last, tails = pd.factorize((lead[2] * size + lead[3])[kept])
+    del lead
     keys, n = np.unique(first * max(1, len(tails)) + last, return_counts=True)
     head, tail = np.divmod(keys, max(1, len(tails)))
-    head, tail = np.asarray(heads)[head], np.asarray(tails)[tail]
-    (head, w2), (w3, w4) = np.divmod(head, size), np.divmod(tail, size)
-    lang, w1 = np.divmod(head, size)
+    w12, w34 = np.divmod(np.asarray(heads)[head], size), np.divmod(np.asarray(tails)[tail], size)
+    (i1, i2), (i3, i4) = [numbers[x] for x in w12], [numbers[x] for x in w34]
 
-    texts = pa.concat_arrays([pa.array([""], pa.large_string()), w.words.cast(pa.large_string())])
-    parts = -(-np.minimum(often[lang, w1], often[lang, w2]) // hot)
+    often = np.append(known.counts, known.others)
+    parts = -(-np.minimum(often[np.minimum(i1, len(often) - 1)], often[np.minimum(i2, len(often) - 1)]) // hot)
     split = parts > 1
-    part = np.full(len(keys), -1, np.int64)
-    hashes = pd.util.hash_array(np.array(texts.take(w3[split]).to_pylist(), object), categorize=True)
-    part[split] = (hashes % parts[split].astype(np.uint64)).astype(np.int64)
-    pair = pc.binary_join_element_wise(texts.take(w1), texts.take(w2), pa.scalar(" ", pa.large_string()))
-    return pa.RecordBatch.from_arrays(
+    part = np.zeros(len(keys), np.int64)
+    if split.any():
+        hashes = pd.util.hash_array(np.array(texts.to_pylist(), object), categorize=False)
+        part[split] = 1 + (hashes[w34[0][split]] % np.minimum(parts[split], OTHER - 1).astype(np.uint64)).astype(np.int64)
+    langs = pa.array(w.langs, pa.string()).take(lang[np.maximum(w12[0], 1) - 1]) if len(keys) else pa.array([], pa.string())
+    yield pa.RecordBatch.from_arrays(
         [
-            pa.array(w.langs, pa.string()).take(lang),
-            pair.cast(pa.string()),
-            pa.array(part, pa.int32()),
-            texts.take(w3).cast(pa.string()),
-            texts.take(w4).cast(pa.string()),
-            pa.array(n, pa.int64()),
+            pa.array(i1 << 2 * BITS | i2 << BITS | part),
+            _joined((i1 == OTHER) | (i2 == OTHER), texts, w12, [i1, i2], langs),
+            pa.array(i3 << BITS | i4),
+            _joined((i3 == OTHER) | (i4 == OTHER), texts, w34, [i3, i4], None),
+            pa.array(n),
         ],
-        ["lang", "pair", "part", "w3", "w4", "n"],
+        names,
     )
 
 
+def _decoded(table: pa.RecordBatch, known: Known) -> pa.RecordBatch:
+    """Windows cut after their ``kept`` words, combined, as text."""
+    pair, last, n, kept = (np.asarray(table.column(c), np.int64) for c in ("pair", "last", "n", "kept"))
+    ids = [pair >> 2 * BITS, pair >> BITS & OTHER, last >> BITS, last & OTHER]
+    ids = [np.where(kept > k, x, 0) for k, x in enumerate(ids)]
+    texts = (table.column("u12").is_valid(), table.column("u34").is_valid())
+    plain = ~(np.asarray(texts[0]) | np.asarray(texts[1]))
+
+    keys = pd.DataFrame({k: x[plain] for k, x in enumerate(ids)} | {"n": n[plain]})
+    summed = keys.groupby([0, 1, 2, 3], sort=False)["n"].sum().reset_index()
+    columns = [known.langs.take(pa.array(summed[0])).cast(pa.string())]
+    columns += [known.words.take(pa.array(summed[k])).cast(pa.string()) for k in range(ORDER)]
+    columns.append(pa.array(summed["n"], pa.int64()))
+
+    rows = []
+    for i in np.flatnonzero(~plain):
+        u12, u34 = table.column("u12")[i].as_py(), table.column("u34")[i].as_py()
+        lang, _, own = (u12 or STOP).partition(STOP)
+        given = [*own.split(" "), ""][:2] + ([*u34.split(" ")] if u34 else ["", ""])
+        numbers = [int(x[i]) for x in ids]
+        words = [given[k] if x == OTHER else known.words[x].as_py() for k, x in enumerate(numbers)]
+        rows.append((lang if u12 else known.langs[numbers[0]].as_py(), *words, int(n[i])))
+    other = list(zip(*rows, strict=True)) or [()] * 6
+    types = [pa.string()] * 5 + [pa.int64()]
+    merged = [pa.concat_arrays([c, pa.array(o, t)]) for c, o, t in zip(columns, other, types, strict=True)]
+    return pa.RecordBatch.from_arrays(merged, ["lang", "w1", "w2", "w3", "w4", "n"])
+
+
 def windows(docs: DataFrame, known: Known, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """(lang, w1, w2, w3, w4, n): padded windows, cut where their first words are too rare."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            yield _windows(Words(chunk), shared.value, hot)
+            yield from _windows(Words(chunk), shared.value, hot)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _decoded(batch, shared.value)
 
-    group = ["lang", "pair", "part"]
+    pair, three = ["pair", "u12"], ["pair", "u12", "w3", "u3"]
     # The order lets both sums do with one sort.
-    pairs = Window.partitionBy(*group).orderBy("w3").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = Window.partitionBy(*pair).orderBy("w3", "u3").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counted = (
-        docs.mapInArrow(run, WINDOWS)
-        .repartition(*group)
-        .groupBy(*group, "w3", "w4")
+        docs.mapInArrow(count, WINDOWS)
+        .repartition(*pair)
+        .groupBy(*pair, "last", "u34")
         .agg(F.sum("n").alias("n"))
-        .withColumn("n3", F.sum("n").over(Window.partitionBy(*group, "w3")))
+        .withColumns({"w3": F.shiftright("last", BITS), "u3": F.coalesce(F.substring_index("u34", " ", 1), F.lit(""))})
+        .withColumn("n3", F.sum("n").over(Window.partitionBy(*three)))
         .withColumn("n2", F.sum("n").over(pairs))
     )
-    two = ~((F.col("n2") < least) & (F.col("part") == -1))
-    three = two & (F.col("n3") >= least)
-    four = three & (F.col("n") >= least)
-    ends = F.instr("pair", " ")
-    return counted.select(
-        "lang",
-        F.expr("substring(pair, 1, instr(pair, ' ') - 1)").alias("w1"),
-        F.when(two, F.col("pair").substr(ends + 1, F.length("pair"))).otherwise("").alias("w2"),
-        F.when(three, F.col("w3")).otherwise("").alias("w3"),
-        F.when(four, F.col("w4")).otherwise("").alias("w4"),
-        "n",
+    whole_pair = F.col("pair").bitwiseAND(F.lit(OTHER)) == 0
+    kept = (
+        F.when(whole_pair & (F.col("n2") < least), 1)
+        .when(F.col("n3") < least, 2)
+        .when(F.col("n") < least, 3)
+        .otherwise(ORDER)
     )
+    return counted.select("pair", "u12", "last", "u34", "n", kept.cast("bigint").alias("kept")).mapInArrow(decode, CUT)
 
 
 def rolled(cut: DataFrame, least: int = LEAST) -> DataFrame:
