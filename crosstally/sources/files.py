@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,29 +16,29 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def filled_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
+    """(path, file_name) of the matching files that hold a byte; contents are not read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+    return listed.select("path", base_name(F.col("path")).alias("file_name"))
+
+
 def empty_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
     """(path, file_name) of the matching files without a byte.
 
-    Spark's file sources pass over them, so they are taken from the file system's listing; names
-    only, and only theirs, go through the driver.
+    Spark's scans pass over them, but the listing behind a scan has them; it is asked for its
+    names once, as a whole.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    glob = hadoop.Path(directory, pattern)
-    system = glob.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = system.globStatus(glob) or []
-    paths = [(s.getPath().toString(),) for s in found if s.isFile() and s.getLen() == 0]
-    return spark.createDataFrame(paths, "path STRING").withColumn("file_name", base_name(F.col("path")))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+    names = spark.createDataFrame([(unquote(p),) for p in listed.inputFiles()], "path STRING")
+    found = names.withColumn("file_name", base_name(F.col("path")))
+    return found.join(filled_files(spark, directory, pattern).select("file_name"), "file_name", "left_anti").select(
+        "path", "file_name"
+    )
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
     """(path, file_name) of the matching files, those of zero bytes included; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(directory)
-        .select("path", base_name(F.col("path")).alias("file_name"))
-        .union(empty_files(spark, directory, pattern))
-    )
+    return filled_files(spark, directory, pattern).union(empty_files(spark, directory, pattern))
 
 
 def file_role(file_name: Column) -> Column:
@@ -45,16 +47,10 @@ def file_role(file_name: Column) -> Column:
 
 
 def routed_paths(spark: SparkSession, directory: str) -> dict[str, list[str]]:
-    """Paths per target table.  Only names travel to the driver, as for any file listing."""
-    files = list_files(spark, directory, "*.csv").join(
-        empty_files(spark, directory, "*.csv"), "path", "left_anti"
-    )
-    files = files.select("path", file_role(F.col("file_name")))
-    routes: dict[str, list[str]] = {}
-    for path, role in files.toLocalIterator():
-        if role is not None:
-            routes.setdefault(role, []).append(path)
-    return routes
+    """Paths per target table, one row of names per table; the folder is listed once."""
+    files = filled_files(spark, directory, "*.csv").select("path", file_role(F.col("file_name")).alias("role"))
+    roles = files.filter("role IS NOT NULL").groupBy("role").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return {r["role"]: r["paths"] for r in roles.collect()}
 
 
 def read_routed(spark: SparkSession, directory: str) -> dict[str, DataFrame]:

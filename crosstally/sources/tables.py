@@ -19,6 +19,7 @@ from ..contract import BRAND_CODES, JDBC_FETCH_SIZE, SOURCE_COLUMNS, SOURCE_TABL
 from ..functions.casts import flag_column, int_from_text
 from ..functions.dates import day_from_text, window_start
 from ..schemas import REQUIRED, schema
+from .headers import files_by_header
 
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
@@ -65,36 +66,13 @@ def csv_options(multi_line: bool = True) -> dict[str, str]:
     }
 
 
-def by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
-    """The files below ``path`` grouped by their first line.
-
-    The reader takes one file's header for all and maps the others by position, so only files
-    with the same header may be read together.  One pass finds every file's first line; lines of
-    later blocks are dropped as they are read.
-    """
-    lines = (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("nth"),
-            F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
-        )
-        .filter("block = 0")
-    )
-    first = lines.groupBy("file").agg(F.min_by("line", "nth").alias("header"))
-    groups: dict[str, list[str]] = {}
-    for file, header in first.toLocalIterator():
-        groups.setdefault(header, []).append(file)
-    return [sorted(groups[header]) for header in sorted(groups)]
-
-
 def read_text_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """CSV with header as text columns, files with different headers matched by name.
 
-    A column that a file lacks is NULL in its rows.
+    The reader takes one file's header for all and maps the others by position, so only files
+    with the same header are read together.  A column that a file lacks is NULL in its rows.
     """
-    groups = by_header(spark, path)
+    groups = files_by_header(spark, path)
     if len(groups) <= 1:
         return spark.read.options(**csv_options(multi_line)).csv(path)
     parts = [spark.read.options(**csv_options(multi_line)).csv(files) for files in groups]
@@ -105,7 +83,7 @@ def read_csv(
     spark: SparkSession, path: str | list[str], table: str, multi_line: bool = True
 ) -> DataFrame:
     """A table from one or more files; each must have the table's required columns."""
-    groups = by_header(spark, path)
+    groups = files_by_header(spark, path)
     parts = [
         typed(spark.read.options(**csv_options(multi_line)).csv(files), schema(table), REQUIRED.get(table))
         for files in groups or [path]

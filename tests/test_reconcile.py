@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from dataclasses import replace
 from datetime import date, datetime, time, timedelta
 from decimal import Decimal
 
@@ -265,6 +266,39 @@ def test_month_rollup_adds_up(tables, data):
                          for i in totals)
 
 
+def test_names_are_the_greatest_of_their_group(spark, tables, data):
+    """Two sites share a store number, two fleets an account number; some have no name."""
+    fleets = data["fleets"] + [
+        {"fleetID": 7, "fleetCode": "X", "fleetAccountNumber": 1, "fleetAccountName": "Fleet 0"},
+        {"fleetID": 8, "fleetCode": "Y", "fleetAccountNumber": None, "fleetAccountName": "No number"},
+        {"fleetID": 10, "fleetCode": "Z", "fleetAccountNumber": 2, "fleetAccountName": None},
+    ]
+    sites = [s | ({"siteName": None} if s["siteID"] == 2 else {}) for s in data["sites"]]
+    invoices = [i | {"fleetID": [1, 7, 8, 10, 2, 9][n % 6]} for n, i in enumerate(data["invoices"])]
+    t = replace(tables, fleets=table(spark, "fleets", fleets), sites=table(spark, "sites", sites),
+                invoices=table(spark, "invoices", invoices))
+    fleet, site = {f["fleetID"]: f for f in fleets}, {s["siteID"]: s["siteName"] for s in sites}
+    want = defaultdict(lambda: [set(), set(), set()])
+    for i in invoices:
+        if i["voided"] in (0, None):
+            f = fleet.get(i["fleetID"], {})
+            key = saturday(i["invoiceDate"].date()), f.get("fleetAccountNumber"), STORE.get(i["siteID"])
+            want[key][0].add(f.get("fleetAccountName"))
+            want[key][1].add(site.get(i["siteID"]))
+    for r in data["partner_kpi"]:
+        key = r["weekEnding"], r["fleetAccountNumber"], r["storeNumber"]
+        # A key with a NULL matches nothing, so its two sides are two rows.
+        want[key if None not in key else (*key, "reported")][2].add(r["fleetAccountName"])
+
+    def top(*sets):
+        found = [max(s - {None}) for s in sets if s - {None}]
+        return found[0] if found else "<unknown>"
+
+    rows = [(*k[:3], top(a, c), top(b)) for k, (a, b, c) in want.items()]
+    got = pipeline.weekly_variance(t).select(*reconcile.KEYS, "fleetName", "siteName").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+
 def test_duplicate_brand_multiplies_rows(tables):
     twice = tables.corporation_types.unionByName(tables.corporation_types)
     core = enrich.enrich_core(tables.invoices, tables.fleets, tables.sites)
