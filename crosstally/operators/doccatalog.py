@@ -4,38 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..contract import DOCUMENT_EXTENSIONS
 from ..functions import labels
 
-_BAD = "_bad_record"
-#: The fields that are used, read as text whatever their JSON type; others are not looked at.
-_FIELDS = ("visibleName", "type", "parent", "deleted", "createdTime", "lastModified", "lastOpened")
-#: Texts of JSON values that count as false.
-_FALSE = ("", "false", "0", "0.0", "[]", "{}")
+#: The fields that are used; others are not looked at.
+_FIELDS = ("visibleName", "type", "parent", "createdTime", "lastModified", "lastOpened")
+#: JSON values, as they are written, that count as false; numbers do if they are zero.
+_FALSE = ("null", "false", '""', "[]", "{}")
+_BLANKS = " \t\r\n"
+
+
+def _true(json: Column) -> Column:
+    """Whether a JSON value counts as true; a text does unless it is empty, whatever it says."""
+    zero = F.coalesce(json.try_cast("double") == 0, F.lit(False))
+    return F.coalesce(~json.isin(*_FALSE) & ~zero, F.lit(False))
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
-    """Parses (file_name, text) rows; ``parsed`` tells whether the text was a JSON object.
+    """Parses (file_name, text) rows; ``parsed`` tells whether the text was one JSON object.
+
+    The parser is strict but stops behind the first value.  It is therefore given a list of the
+    text and the text's hash: only if the text is one value and nothing else is the hash second.
 
-    The fields are generated by ``inline``: a filter on one of them cannot be merged into the scan
+    Values are parsed under a generator: a filter on one of them cannot be merged into the scan
     side, which would parse every text again for each condition.
     """
-    fields = StructType([StructField(name, StringType()) for name in (*_FIELDS, _BAD)])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    present = F.coalesce(F.ltrim("text").startswith("{"), F.lit(False))
-    meta = F.array(F.from_json("text", fields, options))
-    return files.select("file_name", present.alias("_present"), F.inline(meta)).select(
+    own = F.md5("text")
+    value = F.try_parse_json(F.concat(F.lit("["), F.col("text"), F.lit(',"'), own, F.lit('"]')))
+    begins = F.ltrim("text", F.lit(_BLANKS)).startswith("{")
+    parsed = files.select("file_name", own.alias("_own"), begins.alias("_begins"), F.explode(F.array(value)).alias("_v"))
+    alone = F.try_variant_get("_v", "$[1]", "string") == F.col("_own")
+    text = {f: F.try_variant_get("_v", f"$[0].{f}", "string") for f in _FIELDS}
+    return parsed.select(
         "file_name",
-        (F.col("_present") & F.col(_BAD).isNull()).alias("parsed"),
-        "visibleName", "type", "parent",
-        F.coalesce(~F.lower("deleted").isin(*_FALSE), F.lit(False)).alias("deleted"),
-        F.timestamp_millis(F.col("createdTime").try_cast("bigint")).alias("created_at"),
-        F.timestamp_millis(F.col("lastModified").try_cast("bigint")).alias("modified_at"),
-        F.timestamp_millis(F.col("lastOpened").try_cast("bigint")).alias("opened_at"),
+        F.coalesce(F.col("_begins") & alone, F.lit(False)).alias("parsed"),
+        *[text[f].alias(f) for f in _FIELDS[:3]],
+        _true(F.to_json(F.try_variant_get("_v", "$[0].deleted", "variant"))).alias("deleted"),
+        F.timestamp_millis(text["createdTime"].try_cast("bigint")).alias("created_at"),
+        F.timestamp_millis(text["lastModified"].try_cast("bigint")).alias("modified_at"),
+        F.timestamp_millis(text["lastOpened"].try_cast("bigint")).alias("opened_at"),
     )
 
 

@@ -290,6 +290,27 @@ class Star:
                  toxic = 1 AS deleted)) END AS text""",
         )
 
+    def odd_metadata_files(self) -> DataFrame:
+        """The same as hand-edited files: blanks around, things behind, ``deleted`` of other types."""
+        return self.table("documents").selectExpr(
+            "doc_id", "to_json(struct(text AS visibleName, source AS parent)) AS text"
+        ).selectExpr(
+            "concat(doc_id, '.metadata') AS file_name",
+            r"""CASE doc_id % 12
+                 WHEN 0 THEN concat('\n', text)
+                 WHEN 1 THEN concat('\t\r\n ', text, '\r\n')
+                 WHEN 2 THEN concat(text, ' x')
+                 WHEN 3 THEN concat(text, text)
+                 WHEN 4 THEN concat("{'visibleName':'H", doc_id, "'}")
+                 WHEN 5 THEN concat(left(text, length(text) - 1), ',"deleted":"0"}')
+                 WHEN 6 THEN concat(left(text, length(text) - 1), ',"deleted":"false"}')
+                 WHEN 7 THEN concat(left(text, length(text) - 1), ',"deleted":0.0}')
+                 WHEN 8 THEN concat(left(text, length(text) - 1), ',"deleted":null}')
+                 WHEN 9 THEN concat('[', text, ']')
+                 WHEN 10 THEN concat(text, '}')
+                 ELSE concat('{"deleted":false,', substring(text, 2, length(text) - 2), ',"deleted":[0]}') END AS text""",
+        )
+
     def document_files(self) -> DataFrame:
         """File names only, with one extension per language."""
         return self.table("documents").selectExpr(

@@ -445,6 +445,13 @@ def doc_catalog_summary(s: Star) -> DataFrame:
     return doccatalog.document_summary(s.metadata_files().orderBy("file_name"))
 
 
+@query
+def doc_catalog_hand_edited(s: Star) -> DataFrame:
+    """What is one JSON object, and what counts as deleted."""
+    found = doccatalog.document_summary(s.odd_metadata_files())
+    return found.select("file_name", "kind", "deleted", "line")
+
+
 @query
 def doc_name_search(s: Star) -> DataFrame:
     return doccatalog.name_search(s.metadata_files(), "License")

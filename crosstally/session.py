@@ -14,6 +14,8 @@ SETTINGS = {
     # A join whose output feeds an aggregation on the same key is split too, at the price of one
     # more shuffle, and only when a partition really is skewed.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Of a JSON object's fields of one name the last counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 #: For whoever builds the session.  Capturing the Python call site of every column expression

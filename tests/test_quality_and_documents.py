@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from crosstally.operators import doccatalog, quality
 from crosstally.sources import files
 
@@ -94,3 +96,41 @@ def test_catalogue_of_files(spark, tmp_path):
     counts = {r.extension: r.files for r in doccatalog.extension_counts(listed).collect()}
     # The file without a byte (g) counts as well.
     assert counts == {".metadata": 10, ".content": 1, ".pagedata": 0, "total": 11}
+
+
+@pytest.mark.parametrize(
+    "text,parsed,deleted",
+    [
+        ('\n{"visibleName":"C"}', True, False),
+        ('\t\r\n {"visibleName":"C"}\n', True, False),
+        ('{"visibleName":"C"} x', False, None),
+        ('{"visibleName":"C"}{}', False, None),
+        ('{"visibleName":"C"}]', False, None),
+        ('{"visibleName":"C"},5', False, None),
+        ("{'visibleName':'H'}", False, None),
+        ('[{"visibleName":"C"}]', False, None),
+        ('"{}"', False, None),
+        ("\ufeff{}", False, None),
+        ('\x0b{"a":1}', False, None),
+        ('{"a":"line\nbreak"}', False, None),
+        ("{}", True, False),
+        (None, False, None),
+        ("", False, None),
+        ('{"deleted":"0"}', True, True),
+        ('{"deleted":"false"}', True, True),
+        ('{"deleted":""}', True, False),
+        ('{"deleted":0}', True, False),
+        ('{"deleted":-0.0}', True, False),
+        ('{"deleted":2}', True, True),
+        ('{"deleted":null}', True, False),
+        ('{"deleted":[]}', True, False),
+        ('{"deleted":[0]}', True, True),
+        ('{"deleted":{}}', True, False),
+        ('{"deleted":true,"deleted":false}', True, False),
+    ],
+)
+def test_one_json_object(spark, text, parsed, deleted):
+    row = doccatalog.document_summary(spark.createDataFrame([("f", text)], "file_name string, text string")).first()
+    assert (row.kind != "?", row.deleted) == (parsed, deleted)
+    if parsed:
+        assert bool(json.loads(text).get("deleted", False)) == deleted

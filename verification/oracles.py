@@ -538,6 +538,14 @@ SELECT file_name, CASE WHEN ok THEN kind ELSE '?' END AS kind, CASE WHEN ok THEN
               || CASE WHEN place = '' THEN '' ELSE ' ' || place END
             ELSE '[?] ' || file_name || ' (could not parse)' END AS line
 FROM doc""",
+    "doc_catalog_hand_edited": """
+WITH d AS (SELECT doc_id || '.metadata' AS file_name, doc_id % 12 IN (0, 1, 5, 6, 7, 8, 11) AS ok,
+    doc_id % 12 IN (5, 6, 11) AS gone, coalesce(nullif(text, ''), '(unknown)') AS name,
+    coalesce(' (in: ' || left(source, 8) || '...)', '') AS place FROM documents)
+SELECT file_name, CASE WHEN ok THEN 'DOC' ELSE '?' END AS kind, CASE WHEN ok THEN gone END AS deleted,
+       CASE WHEN ok THEN '[DOC] ' || name || CASE WHEN gone THEN ' [DELETED]' ELSE '' END || place
+            ELSE '[?] ' || file_name || ' (could not parse)' END AS line
+FROM d""",
     "doc_name_search": f"""WITH {DOCUMENT}
 SELECT text AS name, file_name FROM doc WHERE ok AND contains(lower(text), 'license')""",
     "doc_ext_counts": """
