@@ -190,6 +190,67 @@ def totals_row(weekly: DataFrame, sides: Sides = SIDES) -> DataFrame:
     )
 
 
+#: What a row of ``report_sets`` is a sum over.
+SETS = ("summary", "by_store", "by_fleet", "totals")
+
+
+def report_sets(weekly: DataFrame, sides: Sides = SIDES) -> DataFrame:
+    """Summary, both drill-downs and the totals in one aggregation over GROUPING SETS.
+
+    ``set`` names the output a row belongs to; the columns of the others are NULL or not meant.
+    """
+    sets = [["reconStatus"], ["storeNumber", "siteName"], ["fleetAccountNumber", "fleetName"], []]
+    columns = sets[0] + sets[1] + sets[2]
+    differs = F.col("reconStatus") == VARIANCE
+    # Bits of the grouping id, first column first; a set bit is a column that is summed over.
+    ids = [sum(2 ** (4 - columns.index(c)) for c in columns if c not in one) for one in sets]
+    name = F.when(F.grouping_id() == ids[0], SETS[0])
+    for k, label in zip(ids[1:], SETS[1:], strict=True):
+        name = name.when(F.grouping_id() == k, label)
+    return weekly.groupingSets(sets, *columns).agg(
+        name.alias("set"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(differs).alias("varianceRows"),
+        F.sum(sides.invoice_count).alias(sides.invoice_count),
+        F.sum(sides.balance).alias(sides.balance),
+        F.sum(sides.gross).alias(sides.gross),
+        F.sum("variance").alias("variance"),
+        F.sum(sides.cars_per_day).alias(sides.cars_per_day),
+        F.sum(F.when(differs, F.col("variance"))).alias("netVariance"),
+        F.sum(F.when(differs, _abs_variance())).alias("absVariance"),
+    )
+
+
+def report_outputs(sets: DataFrame, sides: Sides = SIDES) -> dict[str, DataFrame]:
+    """The outputs of ``report_sets``, equal to those that are computed one by one."""
+
+    def of(name: str) -> DataFrame:
+        return sets.filter(F.col("set") == name)
+
+    def drill_down(name: str, keys: Sequence[str], touched: str) -> DataFrame:
+        found = of(name).filter("varianceRows > 0")
+        return found.select(*keys, F.col("varianceRows").alias(touched), "netVariance", "absVariance")
+
+    # Nothing is summed over no rows, while the totals are a row then too.
+    total = sets.sparkSession.range(1).join(of("totals"), F.lit(True), "left")
+    return {
+        "summary": of("summary").select(
+            "reconStatus",
+            "rows",
+            F.coalesce(sides.invoice_count, F.lit(0)).alias(f"{sides.booked}Invoices"),
+            money.or_zero(F.col(sides.balance)).alias(f"{sides.booked}Total"),
+            money.or_zero(F.col(sides.gross)).alias(f"{sides.reported}Total"),
+            money.or_zero(F.col("variance")).alias("netVariance"),
+        ),
+        "totals": total.select(
+            sides.invoice_count, sides.balance, sides.gross, "variance", sides.cars_per_day,
+            F.lit(None).cast("double").alias("variancePct"),
+        ),
+        "by_store": drill_down("by_store", ("storeNumber", "siteName"), "fleetWeeksTouched"),
+        "by_fleet": drill_down("by_fleet", ("fleetAccountNumber", "fleetName"), "storeWeeksTouched"),
+    }
+
+
 def sort_columns(sort: str, sides: Sides = SIDES) -> list[Column]:
     """Sort choices of the report: largest first, ties in key order."""
     choices = {

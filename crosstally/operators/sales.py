@@ -3,6 +3,10 @@
 Facts are aggregated per account and period before they meet the accounts: an account that owns a
 large share of the invoices then reaches the join as one row per period.  ``as_of`` is always an
 argument, so a rerun gives the same answer.
+
+Wherever a question takes invoice headers, it takes their ``daily_cube`` as well: invoices, billed
+and net revenue per account and day.  Written once, the cube answers all of them but the service
+breakdown, which needs the invoices themselves.
 """
 
 from __future__ import annotations
@@ -16,14 +20,45 @@ from pyspark.sql import functions as F
 from ..contract import CANCELLED_STATUS, SERVICE_RULES
 from ..functions.dates import month_start, months_before
 from ..functions.labels import Rules, service_of_line
+from ..functions.sums import exact_sum
 from .filters import between_days, keep
 
 TRAILING_MONTHS = 12
 
 
-def revenue(net: bool = False) -> Column:
-    """Billed total, or net of tax."""
-    return F.col("subtotal") - F.col("discount_amount") if net else F.col("total_amount")
+def _days(header: DataFrame) -> DataFrame:
+    """(account_id, day, billed, net, invoices) of invoice headers, or the cube as it is."""
+    if "billed" in header.columns:
+        return header
+    return header.select(
+        "account_id",
+        F.col("invoice_date").cast("date").alias("day"),
+        F.col("total_amount").alias("billed"),
+        (F.col("subtotal") - F.col("discount_amount")).alias("net"),
+        F.lit(1).cast("bigint").alias("invoices"),
+    )
+
+
+def daily_cube(header: DataFrame) -> DataFrame:
+    """Invoices, billed and net revenue per account and day.
+
+    A hot account is spread over its days, and money is summed as whole cents.
+    """
+    days = _days(header)
+    return days.groupBy("account_id", "day").agg(*_sums(days, "billed", "net"))
+
+
+def _sums(days: DataFrame, *revenues: str) -> list[Column]:
+    return [*(exact_sum(days, r).alias(r) for r in revenues), F.sum("invoices").alias("invoices")]
+
+
+def _totals(days: DataFrame, net: bool) -> tuple[Column, Column]:
+    """Revenue and invoices of a group of days."""
+    return exact_sum(days, "net" if net else "billed").alias("revenue"), F.sum("invoices").alias("invoices")
+
+
+def _added(df: DataFrame, count: str = "invoices") -> tuple[Column, Column]:
+    return exact_sum(df, "revenue").alias("revenue"), F.sum(count).alias(count)
 
 
 def attribute(df: DataFrame, accounts: DataFrame | None) -> DataFrame:
@@ -74,17 +109,12 @@ def org_monthly(
     net: bool = False,
 ) -> DataFrame:
     """Q1: monthly billings per parent organisation."""
-    dated = keep(header, between_days(F.col("invoice_date"), start, end))
-    per_account = (
-        _owned_by(dated, accounts, org)
-        .groupBy("account_id", month_start(F.col("invoice_date")).alias("month"))
-        .agg(F.sum(revenue(net)).alias("revenue"), F.count(F.lit(1)).alias("invoices"))
-    )
-    return (
-        _for_org(attribute(per_account, accounts), org)
-        .groupBy("org", "month")
-        .agg(F.sum("revenue").alias("revenue"), F.sum("invoices").alias("invoices"))
+    dated = _owned_by(keep(_days(header), between_days(F.col("day"), start, end)), accounts, org)
+    per_account = dated.groupBy("account_id", month_start(F.col("day")).alias("month")).agg(
+        *_totals(dated, net)
     )
+    owned = _for_org(attribute(per_account, accounts), org)
+    return owned.groupBy("org", "month").agg(*_added(owned))
 
 
 def org_services(
@@ -107,45 +137,36 @@ def org_services(
     per_account = (
         lines.join(owners, "invoice_id")
         .groupBy("account_id", "service_type")
-        .agg(F.sum("line_amount").alias("revenue"), F.count(F.lit(1)).alias("lines"))
-    )
-    return (
-        _for_org(attribute(per_account, accounts), org)
-        .groupBy("org", "service_type")
-        .agg(F.sum("revenue").alias("revenue"), F.sum("lines").alias("lines"))
+        .agg(exact_sum(lines, "line_amount").alias("revenue"), F.count(F.lit(1)).alias("lines"))
     )
+    owned = _for_org(attribute(per_account, accounts), org)
+    return owned.groupBy("org", "service_type").agg(*_added(owned, "lines"))
 
 
 def revenue_by_year(header: DataFrame, net: bool = False) -> DataFrame:
     """Q2: revenue and invoices per calendar year."""
-    return header.groupBy(F.year("invoice_date").alias("year")).agg(
-        F.sum(revenue(net)).alias("revenue"), F.count(F.lit(1)).alias("invoices")
-    )
+    days = _days(header)
+    return days.groupBy(F.year("day").alias("year")).agg(*_totals(days, net))
 
 
 def revenue_by_month(header: DataFrame, net: bool = False) -> DataFrame:
     """Q2: revenue and invoices per month."""
-    return header.groupBy(month_start(F.col("invoice_date")).alias("month")).agg(
-        F.sum(revenue(net)).alias("revenue"), F.count(F.lit(1)).alias("invoices")
-    )
+    days = _days(header)
+    return days.groupBy(month_start(F.col("day")).alias("month")).agg(*_totals(days, net))
 
 
 def segment_revenue_by_year(
     header: DataFrame, accounts: DataFrame, segment: str | None = None, net: bool = False
 ) -> DataFrame:
     """Q2 split by account segment, or for one segment."""
-    per_account = header.groupBy("account_id", F.year("invoice_date").alias("year")).agg(
-        F.sum(revenue(net)).alias("revenue"), F.count(F.lit(1)).alias("invoices")
-    )
+    days = _days(header)
+    per_account = days.groupBy("account_id", F.year("day").alias("year")).agg(*_totals(days, net))
     known = accounts.select("account_id", "segment")
     if segment is not None:
         known = known.filter(F.col("segment") == segment)
     how = "left" if segment is None else "inner"
-    return (
-        per_account.join(known, "account_id", how)
-        .groupBy("segment", "year")
-        .agg(F.sum("revenue").alias("revenue"), F.sum("invoices").alias("invoices"))
-    )
+    joined = per_account.join(known, "account_id", how)
+    return joined.groupBy("segment", "year").agg(*_added(joined))
 
 
 def yoy_growth(header: DataFrame, net: bool = False) -> DataFrame:
@@ -203,7 +224,7 @@ def service_mix(detail: DataFrame, rules: Rules = SERVICE_RULES) -> DataFrame:
     """
     service = service_of_line(F.col("category"), F.col("description"), rules)
     grouped = detail.groupBy(service.alias("service_type")).agg(
-        F.sum("line_amount").alias("revenue"), F.count(F.lit(1)).alias("lines")
+        exact_sum(detail, "line_amount").alias("revenue"), F.count(F.lit(1)).alias("lines")
     )
     total = grouped.agg(
         F.struct(F.sum("revenue").cast("double").alias("revenue"), F.sum("lines").alias("lines"))
@@ -217,8 +238,8 @@ def trailing_revenue(
     header: DataFrame, as_of: date, months: int = TRAILING_MONTHS, net: bool = False
 ) -> DataFrame:
     """Revenue per account over the ``months`` up to ``as_of``."""
-    recent = keep(header, between_days(F.col("invoice_date"), months_before(as_of, months), as_of))
-    return recent.groupBy("account_id").agg(F.sum(revenue(net)).alias("revenue"))
+    recent = keep(_days(header), between_days(F.col("day"), months_before(as_of, months), as_of))
+    return recent.groupBy("account_id").agg(_totals(recent, net)[0])
 
 
 def account_tiers(
@@ -260,7 +281,7 @@ def inactive_accounts(
     Active ids are made distinct before the anti join: the map-side half collapses a hot account.
     """
     active = (
-        keep(header, between_days(F.col("invoice_date"), months_before(as_of, months), as_of))
+        keep(_days(header), between_days(F.col("day"), months_before(as_of, months), as_of))
         .select("account_id")
         .distinct()
     )
@@ -296,38 +317,26 @@ def lost_revenue(
     """Q10: revenue of each cancelled account in the ``months`` before its cancellation.
 
     Only invoices of cancelled accounts between the first window's begin and the last cancellation
-    are read on.  They are reduced to account x day, a grouping that spreads a hot account over its
-    days; the join on the account then sees at most one row per day of it.
+    are read on.  They meet the windows before they are summed: the sum per account and
+    cancellation combines map-side, and the join back then has one row each.
     """
     cancelled = accounts.filter(F.col("cancelled_date").isNotNull())
-    span = cancelled.agg(
-        F.struct(
-            F.add_months(F.min("cancelled_date"), -months).alias("first"),
-            F.max("cancelled_date").alias("last"),
-        )
-    ).scalar()
-    day = F.col("invoice_date")
-    daily = (
-        header.filter((day >= span["first"]) & (day < span["last"]))
-        .join(cancelled.select("account_id"), "account_id", "left_semi")
-        .groupBy("account_id", day.alias("day"))
-        .agg(F.sum(revenue(net)).alias("revenue"))
-    )
-    gone = accounts.filter(F.col("cancelled_date").isNotNull()).select(
-        F.col("account_id").alias("_id"), "account_name", "cancelled_date", "cancellation_reason"
-    )
-    inside = (
-        (F.col("account_id") == F.col("_id"))
-        & (F.col("day") < F.col("cancelled_date"))
-        & (F.col("day") >= F.add_months(F.col("cancelled_date"), -months))
-    )
+    begin, end = F.add_months("cancelled_date", -months), F.col("cancelled_date")
+    span = cancelled.agg(F.struct(F.min(begin).alias("first"), F.max(end).alias("last"))).scalar()
+    days = _days(header)
+    day = F.col("day")
+    windows = cancelled.select("account_id", end).distinct()
+    inside = days.filter((day >= span["first"]) & (day < span["last"])).join(windows, "account_id")
+    inside = inside.filter((day >= begin) & (day < end))
+    sums = inside.groupBy("account_id", "cancelled_date").agg(_totals(inside, net)[0])
     return (
-        gone.join(daily, inside, "left")
-        .groupBy(
-            F.col("_id").alias("account_id"), "account_name", "cancelled_date",
-            "cancellation_reason",
+        cancelled.select("account_id", "account_name", "cancelled_date", "cancellation_reason")
+        .distinct()
+        .join(sums, ["account_id", "cancelled_date"], "left")
+        .select(
+            "account_id", "account_name", "cancelled_date", "cancellation_reason",
+            F.coalesce("revenue", F.lit(0)).alias("lost_revenue"),
         )
-        .agg(F.coalesce(F.sum("revenue"), F.lit(0)).alias("lost_revenue"))
     )
 
 

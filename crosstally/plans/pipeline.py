@@ -198,19 +198,15 @@ def report(
 ) -> dict[str, int]:
     """Writes the variance report as CSV: the rows of one status in full, and every rollup.
 
-    The weekly variance is written once to the shared folder; the five outputs read that table.
-    Returns rows written per output.
+    The weekly variance is written once to the shared folder.  One aggregation of that table gives
+    the four rollups, whose few rows are written once too.  Returns rows written per output.
     """
     weekly = sinks.materialise(weekly_variance(t, bar, sides=sides), "weekly_variance")
-    outputs = {
-        "variance": reconcile.with_status(weekly, status),
-        "summary": reconcile.variance_summary(weekly, sides),
-        "totals": reconcile.totals_row(weekly, sides),
-        "by_store": reconcile.variance_by_store(weekly),
-        "by_fleet": reconcile.variance_by_fleet(weekly),
-    }
+    sets = sinks.materialise(reconcile.report_sets(weekly, sides), "report_sets")
+    outputs = {"variance": reconcile.with_status(weekly, status), **reconcile.report_outputs(sets, sides)}
     written = {n: sinks.write_csv(df, f"{directory}/{n}.csv") for n, df in outputs.items()}
     sinks.remove(weekly)
+    sinks.remove(sets)
     return written
 
 
@@ -226,25 +222,33 @@ def load_sales(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
 
 
 def sales_cards(
-    loaded: Mapping[str, DataFrame], as_of: date, tiers: Sequence[tuple[str, int]], net: bool = False
+    loaded: Mapping[str, DataFrame],
+    as_of: date,
+    tiers: Sequence[tuple[str, int]],
+    net: bool = False,
+    cube: DataFrame | None = None,
 ) -> dict[str, DataFrame | str]:
-    """Every sales question; for one that lacks a table, what it needs."""
+    """Every sales question; for one that lacks a table, what it needs.
+
+    ``cube`` may be a written ``sales.daily_cube`` of the headers, which ten of them then share.
+    """
     header, detail, accounts = (loaded.get(t) for t in SALES_TABLES)
+    days = header if cube is None else cube
     cards: dict[str, tuple[str, Callable[[], DataFrame]]] = {
-        "q1_monthly": ("", lambda: sales.org_monthly(header, accounts, net=net)),
+        "q1_monthly": ("", lambda: sales.org_monthly(days, accounts, net=net)),
         "q1_services": ("invoice_detail", lambda: sales.org_services(header, detail, accounts)),
-        "q2_years": ("", lambda: sales.revenue_by_year(header, net)),
-        "q2_months": ("", lambda: sales.revenue_by_month(header, net)),
-        "q2_segments": ("accounts", lambda: sales.segment_revenue_by_year(header, accounts, net=net)),
-        "q3_growth": ("", lambda: sales.yoy_growth(header, net)),
-        "q3_seasonality": ("", lambda: sales.seasonality(header, net)),
+        "q2_years": ("", lambda: sales.revenue_by_year(days, net)),
+        "q2_months": ("", lambda: sales.revenue_by_month(days, net)),
+        "q2_segments": ("accounts", lambda: sales.segment_revenue_by_year(days, accounts, net=net)),
+        "q3_growth": ("", lambda: sales.yoy_growth(days, net)),
+        "q3_seasonality": ("", lambda: sales.seasonality(days, net)),
         "q4_fleets": ("accounts", lambda: sales.fleets_per_parent(accounts)),
         "q5_services": ("invoice_detail", lambda: sales.service_mix(detail)),
-        "q6_tiers": ("accounts", lambda: sales.size_tiers(header, accounts, as_of, tiers, net)),
-        "q7_inactive": ("accounts", lambda: sales.inactive_accounts(header, accounts, as_of)),
+        "q6_tiers": ("accounts", lambda: sales.size_tiers(days, accounts, as_of, tiers, net)),
+        "q7_inactive": ("accounts", lambda: sales.inactive_accounts(days, accounts, as_of)),
         "q9_cancellations": ("accounts", lambda: sales.cancellations(accounts, as_of)),
-        "q10_lost_revenue": ("accounts", lambda: sales.lost_revenue(header, accounts, net=net)),
-        "q11_reasons": ("accounts", lambda: sales.cancellation_reasons(header, accounts, net=net)),
+        "q10_lost_revenue": ("accounts", lambda: sales.lost_revenue(days, accounts, net=net)),
+        "q11_reasons": ("accounts", lambda: sales.cancellation_reasons(days, accounts, net=net)),
     }
     return {
         name: build() if not needs or needs in loaded else f"needs {needs}"
@@ -259,8 +263,14 @@ def sales_report(
     tiers: Sequence[tuple[str, int]],
     net: bool = False,
 ) -> dict[str, int | str]:
-    """Writes every card that can be answered as CSV; rows written, or what is missing."""
-    return {
+    """Writes every card that can be answered as CSV; rows written, or what is missing.
+
+    The headers are reduced to their daily cube once; only the service breakdown reads them again.
+    """
+    cube = sinks.materialise(sales.daily_cube(loaded["invoice_header"]), "sales_cube")
+    written = {
         name: card if isinstance(card, str) else sinks.write_csv(card, f"{directory}/{name}.csv")
-        for name, card in sales_cards(loaded, as_of, tiers, net).items()
+        for name, card in sales_cards(loaded, as_of, tiers, net, cube).items()
     }
+    sinks.remove(cube)
+    return written

@@ -98,6 +98,12 @@ def variance_totals_row(s: Star) -> DataFrame:
     return reconcile.totals_row(_weekly(s))
 
 
+@query
+def variance_report_sets(s: Star) -> DataFrame:
+    """All rollups of the report in one aggregation."""
+    return reconcile.report_sets(_weekly(s))
+
+
 @query
 def variance_empty_reported(s: Star) -> DataFrame:
     return reconcile.variance_summary(_weekly(s, kpi=s.empty_kpi()))
@@ -294,6 +300,11 @@ def q1_without_accounts(s: Star) -> DataFrame:
     return sales.org_monthly(s.header(), None)
 
 
+@query
+def sales_daily_cube(s: Star) -> DataFrame:
+    return sales.daily_cube(s.header())
+
+
 @query
 def q2_revenue_by_year(s: Star) -> DataFrame:
     return sales.revenue_by_year(s.header())

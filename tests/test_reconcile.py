@@ -364,6 +364,24 @@ def test_pipeline_from_csv_to_report(spark, tables, data, tmp_path):
     assert exported.count() == len(want)
 
 
+@pytest.mark.parametrize("rows", ["TRUE", "reconStatus <> 'variance'", "FALSE"])
+def test_one_aggregation_gives_the_four_rollups(weekly, rows):
+    some = weekly.filter(rows)
+    got = reconcile.report_outputs(reconcile.report_sets(some))
+    want = {"summary": reconcile.variance_summary(some), "totals": reconcile.totals_row(some),
+            "by_store": reconcile.variance_by_store(some), "by_fleet": reconcile.variance_by_fleet(some)}
+    assert got.keys() == want.keys()
+    for name, df in want.items():
+        assert got[name].columns == df.columns
+        assert sorted(map(repr, got[name].collect())) == sorted(map(repr, df.collect()))
+
+
+def test_the_report_reads_the_weekly_table_once_for_all_rollups(spark, weekly, tmp_path):
+    weekly.write.parquet(str(tmp_path / "weekly"))
+    plan = reconcile.report_sets(spark.read.parquet(str(tmp_path / "weekly")))._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("FileScan") == 1
+
+
 def test_registered_views_answer_ad_hoc_sql(spark, tables, weekly):
     names = pipeline.register(tables, weekly)
     assert len([n for n in names if n.startswith("v_")]) == 11

@@ -9,6 +9,7 @@ import pytest
 
 from crosstally.functions.dates import months_before
 from crosstally.operators import sales
+from crosstally.plans.pipeline import sales_cards
 from crosstally.schemas import schema
 
 AS_OF = date(2026, 4, 21)
@@ -168,3 +169,32 @@ def test_cancellations_and_lost_revenue(t, data):
     reasons = sales.cancellation_reasons(t["invoice_header"], t["accounts"]).collect()
     assert {r.cancellation_reason: r.accounts for r in reasons} == {"Price": 2, "Moved": 1, "Quality": 1, "Sold": 1}
     assert sum(r.lost_revenue for r in reasons) == sum(want.values())
+
+
+CUBE_CARDS = {"q1_monthly", "q2_years", "q2_months", "q2_segments", "q3_growth", "q3_seasonality", "q6_tiers",
+              "q7_inactive", "q10_lost_revenue", "q11_reasons"}
+
+
+@pytest.mark.parametrize("net", [False, True])
+def test_the_daily_cube_answers_like_the_headers(spark, t, tmp_path, net):
+    """Amounts may be NULL, days may carry a time."""
+    from pyspark.sql import functions as F
+
+    odd = t["invoice_header"].withColumns({
+        "discount_amount": F.when(F.col("invoice_id").cast("int") % 7 != 0, F.col("discount_amount")),
+        "total_amount": F.when(F.col("invoice_id").cast("int") % 5 != 0, F.col("total_amount")),
+    })
+    loaded = {**t, "invoice_header": odd}
+    sales.daily_cube(odd).write.parquet(str(tmp_path / "cube"))
+    cube = spark.read.parquet(str(tmp_path / "cube"))
+    assert cube.agg(F.sum("invoices")).first()[0] == odd.count() > cube.count()
+    tiers = (("L", 5000), ("S", 0))
+    plain, stored = (sales_cards(loaded, AS_OF, tiers, net, c) for c in (None, cube))
+    for name, card in plain.items():
+        other = stored[name]
+        value = lambda df: sorted(
+            repr([v.normalize() if isinstance(v, Decimal) else v for v in r]) for r in df.collect()
+        )
+        assert value(other) == value(card) and other.columns == card.columns
+        read = {f.rsplit("/", 2)[-2] for f in other.inputFiles()}
+        assert (read == {"cube"}) == (name in CUBE_CARDS), name

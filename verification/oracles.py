@@ -288,6 +288,19 @@ SELECT CAST(sum(invoices) AS BIGINT) AS "mfcInvoiceCount",
        CAST(sum(gross) AS DOUBLE) AS "drivenGrossSales", CAST(sum(diff) AS DOUBLE) AS variance,
        CAST(sum(cars) AS BIGINT) AS "drivenCarsPerDay", CAST(NULL AS DOUBLE) AS "variancePct"
 FROM weekly""",
+    "variance_report_sets": _weekly() + """
+SELECT status AS "reconStatus", store AS "storeNumber", sname AS "siteName",
+       fid AS "fleetAccountNumber", fname AS "fleetName",
+       CASE WHEN grouping(status) = 0 THEN 'summary' WHEN grouping(store) = 0 THEN 'by_store'
+            WHEN grouping(fid) = 0 THEN 'by_fleet' ELSE 'totals' END AS "set",
+       count(*) AS rows, count(*) FILTER (status = 'variance') AS "varianceRows",
+       CAST(sum(invoices) AS BIGINT) AS "mfcInvoiceCount",
+       CAST(sum(balance) AS DOUBLE) AS "mfcTotalBalance",
+       CAST(sum(gross) AS DOUBLE) AS "drivenGrossSales", CAST(sum(diff) AS DOUBLE) AS variance,
+       CAST(sum(cars) AS BIGINT) AS "drivenCarsPerDay",
+       CAST(sum(diff) FILTER (status = 'variance') AS DOUBLE) AS "netVariance",
+       CAST(sum(abs(diff)) FILTER (status = 'variance') AS DOUBLE) AS "absVariance"
+FROM weekly GROUP BY GROUPING SETS ((status), (store, sname), (fid, fname), ())""",
     "variance_empty_reported": _weekly(reported="FALSE") + SUMMARY_ROW,
     "variance_status_filter": _weekly() + WEEKLY_ROW + " WHERE status = 'variance'",
     "variance_filtered": _weekly(
@@ -412,6 +425,10 @@ SELECT coalesce(parent, account_name, CAST(h.account_id AS VARCHAR)) AS org,
 FROM detail d JOIN header h ON h.invoice_id = d.invoice_id
 LEFT JOIN account a ON a.account_id = h.account_id
 GROUP BY 1, 2""",
+    "sales_daily_cube": f"""WITH {HEADER}
+SELECT account_id, day, CAST(sum(total) AS DOUBLE) AS billed,
+       CAST(sum(subtotal - discount) AS DOUBLE) AS net, count(*) AS invoices
+FROM header GROUP BY account_id, day""",
     "q2_revenue_by_year": f"""WITH {HEADER}
 SELECT CAST(year(day) AS INTEGER) AS year, CAST(sum(total) AS DOUBLE) AS revenue,
        count(*) AS invoices FROM header GROUP BY 1""",
