@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scope import not_voided_lenient
+from .scope import MONTH, not_voided_lenient
 
 #: What a search looks at, and the flags of dimension rows that were searched before the joins.
 FLEET_TEXTS, SITE_TEXTS = ("fleetAccountNumber", "fleetName"), ("storeNumber", "siteName")
@@ -32,6 +32,14 @@ def between_days(day: Column, start: date | None, end: date | None) -> list[Colu
     return tests
 
 
+def months_between(df: DataFrame, start: date | None, end: date | None) -> list[Column]:
+    """The same range by the months that invoices at rest are cut by, where they are."""
+    if MONTH not in df.columns:
+        return []
+    bounds = [F.col(MONTH) >= F.lit(start.replace(day=1))] if start is not None else []
+    return bounds + ([F.col(MONTH) <= F.lit(end.replace(day=1))] if end is not None else [])
+
+
 def voided_mode(voided: Column, mode: str) -> list[Column]:
     if mode not in VOIDED_MODES:
         raise ValueError(f"unknown voided mode {mode!r}; one of {VOIDED_MODES}")
@@ -75,6 +83,7 @@ class FilterBar:
 
     def booked(self, core: DataFrame) -> DataFrame:
         tests = between_days(F.col("invoiceDate"), self.start, self.end)
+        tests += months_between(core, self.start, self.end)
         tests += voided_mode(F.col("voided"), self.voided)
         tests += self._shared()
         if self.region is not None:

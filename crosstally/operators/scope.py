@@ -17,6 +17,10 @@ from ..contract import BRAND_CODES
 from ..functions.dates import window_start
 
 
+#: First day of the month, which invoices at rest are cut by; other invoices do not have it.
+MONTH = "invoiceMonth"
+
+
 def not_voided_strict(voided: Column) -> Column:
     """Extract rule: an unknown flag is dropped."""
     return voided == 0
@@ -55,6 +59,8 @@ def scope_invoices(
 ) -> DataFrame:
     """Invoices of the scoped providers inside the window; voided ones stay in."""
     recent = invoices.filter(in_window(F.col("invoiceDate"), as_of, months_back))
+    if MONTH in invoices.columns:
+        recent = recent.filter(F.col(MONTH) >= F.lit(window_start(as_of, months_back)))
     return recent.join(_provider_keys(customers, codes), "customerID").select(invoices.columns)
 
 

@@ -14,7 +14,7 @@ from ..contract import BRAND_CODES, PREVIEW_ROWS, SIDES, SOURCE_TABLES, TOLERANC
 from ..operators import enrich, reconcile, rollups, sales, scope
 from ..operators.filters import FilterBar
 from ..schemas import RECONCILIATION_TABLES, SALES_TABLES
-from ..sources import files, sheets, sinks, tables
+from ..sources import files, sheets, sinks, store, tables
 
 
 @dataclass(frozen=True)
@@ -108,14 +108,17 @@ def read_database(
 
 
 def load_parquet(spark: SparkSession, directory: str) -> Tables:
-    return Tables(**{n: spark.read.parquet(f"{directory}/{n}") for n in RECONCILIATION_TABLES})
+    """The tables at rest, as the last load that ended left them."""
+    return Tables(**store.read_tables(spark, directory))
 
 
-def store_parquet(loaded: Tables, directory: str) -> Tables:
-    """Replaces the tables at rest and returns scans of them."""
-    return Tables(
-        **{n: tables.replace_load(df, f"{directory}/{n}") for n, df in loaded.as_dict().items()}
-    )
+def store_parquet(loaded: Tables, directory: str, buckets: int | None = None) -> Tables:
+    """Replaces the tables at rest and returns scans of them.
+
+    With ``buckets`` invoices and lines join without a shuffle, and date filters read their months
+    only.
+    """
+    return Tables(**store.replace_tables(loaded.as_dict(), directory, buckets))
 
 
 def weekly_variance(

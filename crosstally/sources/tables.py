@@ -175,19 +175,3 @@ def jdbc_options(
 def read_jdbc(spark: SparkSession, options: Mapping[str, str], table: str) -> DataFrame:
     """A source table under our names; later filters and projections reach the database."""
     return rename_source(spark.read.format("jdbc").options(**options).load(), table)
-
-
-def replace_load(df: DataFrame, path: str) -> DataFrame:
-    """Writes the table as Parquet in place of what was there, and reads it back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def replace_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Replace-load as a table bucketed by ``key``.
-
-    Invoices and their lines loaded with the same key and number of buckets join without a
-    shuffle.
-    """
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return df.sparkSession.table(name)

@@ -1,7 +1,5 @@
 """Readers and writers on temporary folders."""
 
-import io
-from contextlib import redirect_stdout
 from datetime import date
 from decimal import Decimal
 
@@ -149,32 +147,6 @@ def test_absent_kpi_is_a_stub(spark, tmp_path):
     assert tables.has_data(spark.range(1))
 
 
-def test_replace_load_replaces(spark, tmp_path):
-    path = str(tmp_path / "t")
-    assert tables.replace_load(spark.range(5), path).count() == 5
-    assert tables.replace_load(spark.range(2), path).count() == 2
-    assert spark.read.parquet(path).count() == 2
-
-
-def test_bucketed_tables_join_without_a_shuffle(spark):
-    a = tables.replace_bucketed(spark.range(100).selectExpr("id AS invoiceID"), "b_inv", "invoiceID", 4)
-    b = tables.replace_bucketed(
-        spark.range(300).selectExpr("id % 100 AS invoiceID", "id AS line"), "b_line", "invoiceID", 4
-    )
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = b.join(a, "invoiceID")
-        assert joined.count() == 300
-        out = io.StringIO()
-        with redirect_stdout(out):
-            joined.explain()
-        plan = out.getvalue()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert "SortMergeJoin" in plan and "Exchange" not in plan
-
-
 def test_source_projection_has_the_published_columns(spark):
     sizes = {"corporation_types": 13, "customers": 18, "sites": 12, "fleets": 12, "invoices": 16,
              "invoice_item_bridge": 16}
