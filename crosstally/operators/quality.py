@@ -123,6 +123,40 @@ def orphans(
     )
 
 
+def key_audit(
+    keys: Mapping[str, tuple[DataFrame, str, str, Mapping[str, tuple[DataFrame, str]]]],
+) -> DataFrame:
+    """DQ2, DQ5 and DQ8 of keys and all that refers to them: one shuffle per key.
+
+    ``keys`` gives, per table, its rows, its key, the name of the check for keys that occur more
+    than once, and the references (name, rows, column).  Both sides' keys are united under a tag
+    and counted per key and tag, map-side first, so a hot key is one partial row per task.  Rows
+    are those of ``duplicate_keys``, ``dimension_fanout`` and ``orphans``.
+    """
+    found = []
+    for table, (rows, key, check, children) in keys.items():
+        tagged = [rows.select(F.col(key).alias("key"), F.lit(0).alias("tag"))]
+        tagged += [
+            child.select(F.col(fk).alias("key"), F.lit(i).alias("tag"))
+            for i, (child, fk) in enumerate(children.values(), 1)
+        ]
+        counts = union_all(tagged).groupBy("key").agg(
+            *[F.count_if(F.col("tag") == i).alias(f"n{i}") for i in range(len(tagged))]
+        )
+        lost = (F.col("n0") == 0) & F.col("key").isNotNull()
+        totals = counts.agg(
+            F.count_if(F.col("n0") > 1).alias("c0"),
+            *[F.coalesce(F.sum(F.when(lost, F.col(f"n{i}"))), F.lit(0)).alias(f"c{i}") for i in range(1, len(tagged))],
+        )
+        labels = [(check, f"{table}({key})"), *(("orphans", name) for name in children)]
+        out = [
+            F.struct(F.lit(c).alias("check_name"), F.lit(s).alias("subject"), F.col(f"c{i}").alias("violations"))
+            for i, (c, s) in enumerate(labels)
+        ]
+        found.append(totals.select(F.inline(F.array(*out))))
+    return union_all(found)
+
+
 def store_collisions(sites: DataFrame, key_type: str = "int") -> DataFrame:
     """DQ6: store numbers that several sites parse to, with the number of sites."""
     return (

@@ -80,30 +80,35 @@ def load_kpi_sheet(spark: SparkSession, directory: str, path: str | None = None)
     return sheets.typed_kpi(sheet)
 
 
+#: Key of each fact in the source, by which it is read in parts.
+FACT_KEYS = {"invoices": "InvoiceID", "invoice_item_bridge": "InvoiceItemBridgeID"}
+
+
 def read_database(
     spark: SparkSession,
     url: str,
     properties: Mapping[str, str],
-    splits: Mapping[str, tuple[str, tuple, int]],
+    parts: int,
     as_of: date | None = None,
     codes: Sequence[str] = BRAND_CODES,
     months_back: int = 3,
 ) -> Tables:
-    """The six source tables, lazily.
+    """The six source tables, lazily but for the bounds of the parts.
 
     With ``as_of`` the database scopes them itself and sends the six extracts; without, ``scoped``
-    does, and pushes what it can of its filters.  ``splits`` gives, per table, the column, its
-    bounds and the number of parallel reads; the two fact tables must have one.
+    does, and pushes what it can of its filters.  The two facts are read in ``parts`` parts of
+    equal size, whose bounds the database is asked for.
     """
-    unsplit = {"invoices", "invoice_item_bridge"} - set(splits)
-    if unsplit:
-        raise ValueError(f"splits are needed for {sorted(unsplit)}")
     frames = {}
     for name in SOURCE_TABLES:
-        column, bounds, parts = splits.get(name, (None, None, 1))
         source = name if as_of is None else tables.scoped_select(name, as_of, codes, months_back)
-        options = tables.jdbc_options(url, source, column, bounds, parts, properties)
-        frames[name] = tables.read_jdbc(spark, options, name)
+        if name in FACT_KEYS:
+            frames[name] = tables.read_jdbc_split(
+                spark, url, source, name, FACT_KEYS[name], parts, properties
+            )
+        else:
+            options = tables.jdbc_options(url, source, properties)
+            frames[name] = tables.read_jdbc(spark, options, name)
     return Tables(**frames, partner_kpi=tables.stub(spark, "partner_kpi"))
 
 

@@ -436,6 +436,27 @@ def dq_orphans(s: Star) -> DataFrame:
     )
 
 
+@query
+def dq_key_audit(s: Star) -> DataFrame:
+    """Keys and the references to them, each key in one pass."""
+    return quality.key_audit(
+        {
+            "invoice_header": (
+                s.header(), "invoice_id", "duplicate_keys",
+                {"invoice_detail.invoice_id": (s.detail_lines(), "invoice_id")},
+            ),
+            "accounts": (
+                s.accounts(), "account_id", "dimension_fanout",
+                {"invoice_header.account_id": (s.header(), "account_id")},
+            ),
+            "fleets": (
+                s.fleets(), "fleetID", "dimension_fanout",
+                {"invoices.fleetID": (s.order_invoices(), "fleetID")},
+            ),
+        }
+    )
+
+
 @query
 def dq_bad_join_keys(s: Star) -> DataFrame:
     names = ("fleetAccountNumber", "storeNumber")

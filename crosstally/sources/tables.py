@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -146,30 +147,53 @@ def scoped_select(
 
 
 def jdbc_options(
-    url: str,
-    table: str,
-    partition_column: str | None = None,
-    bounds: tuple[int, int] | tuple[date, date] | None = None,
-    partitions: int = 1,
-    properties: Mapping[str, str] | None = None,
+    url: str, table: str, properties: Mapping[str, str] | None = None
 ) -> dict[str, str]:
-    """Reader options; with a partition column the table is read by ``partitions`` tasks."""
-    options = {
+    """Reader options for a source table, or for a select of it."""
+    return {
         "url": url,
         "dbtable": SOURCE_TABLES.get(table, table),
         "fetchsize": str(JDBC_FETCH_SIZE),
         **(properties or {}),
     }
-    if partition_column is not None:
-        if bounds is None:
-            raise ValueError("a partition column needs bounds")
-        options |= {
-            "partitionColumn": partition_column,
-            "lowerBound": str(bounds[0]),
-            "upperBound": str(bounds[1]),
-            "numPartitions": str(partitions),
-        }
-    return options
+
+
+def split_query(table: str, column: str, parts: int) -> str:
+    """Asks the database where ``parts`` parts of equal size begin, in order of ``column``."""
+    source = SOURCE_TABLES.get(table, table)
+    return (
+        f"(SELECT MIN(k) AS first_key FROM (SELECT {column} AS k, NTILE({parts}) OVER (ORDER BY {column}) AS part "
+        f"FROM {source} WHERE {column} IS NOT NULL) tiles GROUP BY part) splits"
+    )
+
+
+def split_predicates(column: str, first_keys: Sequence[object]) -> list[str]:
+    """Conditions of the parts: every row meets exactly one, rows without a key the first.
+
+    A key that fills several parts begins one only, so there may be fewer parts than first keys.
+    """
+    bounds = [
+        str(k) if isinstance(k, int | Decimal) else "'" + str(k).replace("'", "''") + "'"
+        for k in sorted(set(first_keys))[1:]
+    ]
+    if not bounds:
+        return ["1 = 1"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [f"{column} < {bounds[0]} OR {column} IS NULL", *inner, f"{column} >= {bounds[-1]}"]
+
+
+def read_jdbc_split(
+    spark: SparkSession, url: str, source: str, table: str, column: str, parts: int, properties: Mapping[str, str]
+) -> DataFrame:
+    """A source table read by ``parts`` tasks, whose bounds are quantiles that the database gives."""
+    asked = jdbc_options(url, split_query(source, column, parts), properties)
+    keys = [r[0] for r in spark.read.format("jdbc").options(**asked).load().collect()]
+    options = jdbc_options(url, source, properties)
+    del options["url"], options["dbtable"]
+    rows = spark.read.jdbc(
+        url, SOURCE_TABLES.get(source, source), predicates=split_predicates(column, keys), properties=options
+    )
+    return rename_source(rows, table)
 
 
 def read_jdbc(spark: SparkSession, options: Mapping[str, str], table: str) -> DataFrame:

@@ -134,3 +134,15 @@ def test_one_json_object(spark, text, parsed, deleted):
     assert (row.kind != "?", row.deleted) == (parsed, deleted)
     if parsed:
         assert bool(json.loads(text).get("deleted", False)) == deleted
+
+
+def test_one_pass_finds_what_the_single_checks_find(spark):
+    parents = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,), (None,)], "id bigint")
+    hot = spark.range(3000).selectExpr("cast(CASE WHEN id % 3 > 0 THEN 2 WHEN id % 2 = 0 THEN 9 END AS int) AS ref")
+    none = spark.createDataFrame([], "ref bigint")
+    audit = quality.key_audit({"p": (parents, "id", "dimension_fanout", {"hot.ref": (hot, "ref"), "none.ref": (none, "ref")})})
+    links = {"hot.ref": (hot, "ref", parents, "id"), "none.ref": (none, "ref", parents, "id")}
+    want = found(quality.dimension_fanout({"p": (parents, "id")})) | found(quality.orphans(links))
+    assert found(audit) == want and want["hot.ref"] == 500 and want["p(id)"] == 2
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 1 and "Join" not in plan

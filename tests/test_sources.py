@@ -12,7 +12,6 @@ from crosstally.operators import scope
 from crosstally.plans.pipeline import (
     load_kpi_sheet,
     load_sales,
-    read_database,
     register_frames,
     sales_report,
 )
@@ -159,14 +158,35 @@ def test_source_projection_has_the_published_columns(spark):
 
 
 def test_jdbc_options():
-    plain = tables.jdbc_options("jdbc:x", "invoices")
-    assert plain == {"url": "jdbc:x", "dbtable": "Invoice", "fetchsize": "5000"}
-    split = tables.jdbc_options("jdbc:x", "invoices", "InvoiceID", (1, 1000), 16, {"user": "u"})
-    assert split["partitionColumn"] == "InvoiceID"
-    assert (split["lowerBound"], split["upperBound"], split["numPartitions"]) == ("1", "1000", "16")
-    assert split["user"] == "u"
-    with pytest.raises(ValueError):
-        tables.jdbc_options("jdbc:x", "invoices", "InvoiceID")
+    plain = tables.jdbc_options("jdbc:x", "invoices", {"user": "u"})
+    assert plain == {"url": "jdbc:x", "dbtable": "Invoice", "fetchsize": "5000", "user": "u"}
+
+
+@pytest.mark.parametrize(
+    "keys",
+    [
+        list(range(1000)),
+        [1] * 700 + list(range(2, 302)),  # a key that fills several parts
+        [None] * 5 + [3, 3, 3],
+        [],
+        [10**17 + i for i in range(40)],
+        ["o'clock", "a", "b"] * 9,
+        [f"2026-01-{1 + i % 28:02}" for i in range(60)],
+    ],
+)
+def test_split_points_are_quantiles_that_the_database_gives(keys):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    kind = "VARCHAR" if any(isinstance(k, str) for k in keys) else "BIGINT"
+    con.execute(f"CREATE TABLE Invoice AS SELECT CAST(NULL AS {kind}) AS InvoiceID, 0 AS n LIMIT 0")
+    if keys:
+        con.executemany("INSERT INTO Invoice VALUES (?, ?)", [(k, i) for i, k in enumerate(keys)])
+    asked = tables.split_query("invoices", "InvoiceID", 8)
+    predicates = tables.split_predicates("InvoiceID", [r[0] for r in con.execute(f"SELECT * FROM {asked}").fetchall()])
+    parts = [con.execute(f"SELECT n FROM Invoice WHERE {p}").fetchall() for p in predicates]
+    assert sorted(n for part in parts for (n,) in part) == list(range(len(keys)))  # every row once
+    most = keys.count(None) + max((keys.count(k) for k in set(keys) - {None}), default=0)
+    assert len(parts) <= 8 and max(map(len, parts)) <= most + len(keys) / 8 + 1
 
 
 def test_the_database_scopes_as_the_operators_do(spark):
@@ -208,10 +228,11 @@ def test_the_database_scopes_as_the_operators_do(spark):
         expected = {r[0] for r in df.collect()}
         assert {r[0] for r in got} == expected and len(got) == len(expected) > 0
     assert tables.scoped_select("corporation_types", as_of) == "CorporationTypes"
-    options = tables.jdbc_options("jdbc:x", tables.scoped_select("invoices", as_of, codes), "InvoiceID", (1, 9), 3)
-    assert options["dbtable"].startswith("(SELECT * FROM Invoice WHERE ") and options["numPartitions"] == "3"
-    with pytest.raises(ValueError, match="invoice_item_bridge"):
-        read_database(spark, "jdbc:x", {}, {"invoices": ("InvoiceID", (1, 9), 3)})
+    scoped = tables.scoped_select("invoices", as_of, codes)
+    assert tables.jdbc_options("jdbc:x", scoped)["dbtable"].startswith("(SELECT * FROM Invoice WHERE ")
+    split = con.execute(f"SELECT * FROM {tables.split_query(scoped, 'InvoiceID', 3)}").fetchall()
+    assert len(split) == 3
+
 
 
 def test_kpi_sheet(spark):

@@ -539,6 +539,19 @@ GROUP BY 1 HAVING count(DISTINCT site) > 1""",
         "invoices.fleetID":
             "SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT fid FROM fleet)",
     }),
+    "dq_key_audit": f"""WITH {HEADER}, {ACCOUNT}, {DETAIL}, {FLEET}
+SELECT 'duplicate_keys' AS check_name, 'invoice_header(invoice_id)' AS subject, count(*) AS violations
+FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)
+UNION ALL SELECT 'dimension_fanout', 'accounts(account_id)', count(*)
+FROM (SELECT 1 FROM account GROUP BY account_id HAVING count(*) > 1)
+UNION ALL SELECT 'dimension_fanout', 'fleets(fleetID)', count(*)
+FROM (SELECT 1 FROM fleet GROUP BY fid HAVING count(*) > 1)
+UNION ALL SELECT 'orphans', 'invoice_header.account_id', count(*)
+FROM header WHERE account_id NOT IN (SELECT account_id FROM account)
+UNION ALL SELECT 'orphans', 'invoice_detail.invoice_id', count(*)
+FROM detail WHERE invoice_id NOT IN (SELECT invoice_id FROM header)
+UNION ALL SELECT 'orphans', 'invoices.fleetID', count(*)
+FROM orders WHERE o_custkey NOT IN (SELECT fid FROM fleet)""",
     "dq_bad_join_keys": _checks("bad_join_keys", f"{FACT}, {FLEET}, {SITE}, {KPI}", {
         "booked.fleetAccountNumber":
             "SELECT count(*) FROM fact LEFT JOIN fleet ON fid = o_custkey WHERE coalesce(fid, 0) = 0",
