@@ -6,14 +6,15 @@ sum's slices are then walked from the most significant downward.  Rows still tie
 the same score and are resolved by the smaller id.  Every query meets every block.
 
 Defined cases: vectors that are null, hold null or non-finite components or ones whose quantised
-value does not fit 26 bits, and null ids, take no part; of several rows with one id the smallest
-vector takes part; missing trailing components count as 0; fewer candidates than k are all
+value does not fit 53 bits, and null ids, take no part; of several rows with one id each takes part
+and answers, and meets the others; a score beyond 64 bits is null, its rank is right; missing trailing components count as 0; fewer candidates than k are all
 returned; an empty table gives an empty result; columns that are not named are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,18 @@ from .common import ship, stored
 SCALE = 64
 #: Rows of an index block and queries of a unit of work, at most about.
 BLOCK, UNIT = 2**15, 2**12
-LIMIT = 2**26
+LIMIT = 2**53
 
-INDEX = "block int, n int, dims int, ids binary, lows binary, bits binary, slices binary"
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+INDEX = "block int, n int, dims int, ids binary, rows binary, lows binary, bits binary, slices binary"
+#: ``over`` is the score where it does not fit 64 bits; of 38 digits as components have 53 bits.
+FOUND = "query_id bigint, query_row bigint, vec_id bigint, score bigint, over decimal(38,0)"
 
 
 def quantised(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, q): floor(scale * component) of the vectors that take part."""
+    """(vec_id, row, q): floor(scale * component) of the vectors that take part, with a row number.
+
+    The number is generated, so the result is to be stored before it is used twice.
+    """
     x = F.transform(vector, lambda v: v.cast("double"))
     sound = F.forall(
         F.col("x"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < float(LIMIT))
@@ -41,9 +46,7 @@ def quantised(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding",
     return (
         vectors.select(F.col(id).cast("bigint").alias("vec_id"), x.alias("x"))
         .filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.coalesce(sound, F.lit(False)))
-        .select("vec_id", F.transform("x", lambda v: F.floor(v * scale)).alias("q"))
-        .groupBy("vec_id")
-        .agg(F.min("q").alias("q"))
+        .select("vec_id", F.monotonically_increasing_id().alias("row"), F.transform("x", lambda v: F.floor(v * scale)).alias("q"))
     )
 
 
@@ -62,7 +65,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _slices(table: pa.Table) -> pa.Table:
     """One row of the index from the vectors of a block, in the order of their ids."""
-    table = table.sort_by("vec_id")
+    table = table.sort_by([("vec_id", "ascending"), ("row", "ascending")])
     x = _matrix(table.column("q"))
     lows = x.min(axis=0) if x.shape[1] else np.zeros(0, np.int64)
     x = x - lows
@@ -80,6 +83,7 @@ def _slices(table: pa.Table) -> pa.Table:
             "n": pa.array([len(x)], pa.int32()),
             "dims": pa.array([x.shape[1]], pa.int32()),
             "ids": [np.asarray(table.column("vec_id"), np.int64).tobytes()],
+            "rows": [np.asarray(table.column("row"), np.int64).tobytes()],
             "lows": [lows.astype("<i8").tobytes()],
             "bits": [bits.astype("<i4").tobytes()],
             "slices": [np.packbits(maps, axis=1, bitorder="little").tobytes()],
@@ -97,8 +101,8 @@ def build_index(q: DataFrame, block: int = BLOCK) -> DataFrame:
 class Block:
     """A block of the index, opened for queries."""
 
-    def __init__(self, n: int, ids: bytes, lows: bytes, bits: bytes, slices: bytes):
-        self.n, self.ids = n, np.frombuffer(ids, np.int64)
+    def __init__(self, n: int, ids: bytes, rows: bytes, lows: bytes, bits: bytes, slices: bytes):
+        self.n, self.ids, self.rows = n, np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64)
         self.lows = np.frombuffer(lows, "<i8").tolist()
         self.bits = np.frombuffer(bits, "<i4").tolist()
         words = -(-n // 64)
@@ -144,12 +148,13 @@ class Block:
             i += 1
         return out, constant
 
-    def top(self, weights: list[int], k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but ``own``."""
+    def top(self, weights: list[int], k: int, own: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows but row ``row`` of id ``own``."""
         sums, constant = self.add(weights)
         tied, sure, need = self.all.copy(), np.zeros_like(self.all), k
-        at = int(np.searchsorted(self.ids, own))
-        if at < self.n and self.ids[at] == own:
+        first, last = (int(np.searchsorted(self.ids, own, side)) for side in ("left", "right"))
+        at = first + int(np.searchsorted(self.rows[first:last], row))
+        if at < last and self.rows[at] == row:
             tied[at >> 6] &= ~np.uint64(1 << (at & 63))
         for slice_ in reversed(sums):
             ones = tied & slice_
@@ -162,9 +167,10 @@ class Block:
                 need -= count
         # Rows stand in the order of their ids: of equal scores the first are the smaller ids.
         chosen = np.concatenate([self._rows(sure), self._rows(tied)[:need]])
-        scores = np.full(len(chosen), constant, np.int64)
+        wide = len(sums) > 61 or abs(constant) >= 2**61
+        scores = np.full(len(chosen), constant, object if wide else np.int64)
         for i, slice_ in enumerate(sums):
-            scores += ((slice_[chosen >> 6] >> (chosen & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << i
+            scores += ((slice_[chosen >> 6] >> (chosen & 63).astype(np.uint64)) & np.uint64(1)).astype(scores.dtype) << i
         return self.ids[chosen], scores
 
     def _rows(self, bitmap: np.ndarray) -> np.ndarray:
@@ -186,19 +192,27 @@ def search(index: DataFrame, queries: DataFrame, k: int, unit: int = UNIT) -> Da
     right = queries.withColumn("part", _part("vec_id", groups)).withColumn("block", numbers(blocks))
 
     def answer(block: pa.Table, asking: pa.Table) -> pa.Table:
-        ids, found, scores = [], [], []
+        ids, rows, found, scores = [], [], [], []
         if len(block) and len(asking):
-            b = block.select(["n", "ids", "lows", "bits", "slices"]).to_pylist()[0]
+            b = block.select(["n", "ids", "rows", "lows", "bits", "slices"]).to_pylist()[0]
             opened = Block(**b)
-            for q, w in zip(asking.column("vec_id").to_pylist(), asking.column("q").to_pylist(), strict=True):
-                best, score = opened.top(w, k, q)
+            columns = [asking.column(c).to_pylist() for c in ("vec_id", "row", "q")]
+            for q, row, w in zip(*columns, strict=True):
+                best, score = opened.top(w, k, q, row)
                 ids.append(np.full(len(best), q, np.int64))
+                rows.append(np.full(len(best), row, np.int64))
                 found.append(best)
                 scores.append(score)
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"query_id": join(ids), "vec_id": join(found), "score": join(scores)})
-
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        score, over = join(scores), pa.nulls(sum(map(len, scores)), pa.decimal128(38))
+        if score.dtype == object:
+            fits = np.array([abs(v) < 2**63 for v in score], bool)
+            over = pa.array([None if f else Decimal(v) for v, f in zip(score, fits, strict=True)], pa.decimal128(38))
+            score = pa.array([int(v) if f else None for v, f in zip(score, fits, strict=True)], pa.int64())
+        names = ["query_id", "query_row", "vec_id", "score", "over"]
+        return pa.table([join(ids), join(rows), join(found), score, over], names)
+
+    order = W.partitionBy("query_id", "query_row").orderBy(F.coalesce("over", "score").desc(), "vec_id")
     return (
         left.cogroup(right.groupBy("block", "part"))
         .applyInArrow(answer, FOUND)

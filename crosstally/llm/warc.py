@@ -133,7 +133,7 @@ def _header_field(header: Column, name: str) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return F.when(text.rlike(r"^-?\d{1,18}$"), text).cast("bigint")
+    return F.when(text.rlike(r"^-?\d{1,19}$"), text).try_cast("bigint")
 
 
 def contents(value: Column, head: Column, length: Column) -> Column:

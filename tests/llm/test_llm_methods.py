@@ -74,14 +74,28 @@ def test_top_k_leaves_out_unsound_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
         (0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [3.0, 1.0]),
-        (None, [1.0, 1.0]), (6, [1e9, 1.0]), (7, [2.0]), (7, [2.0]), (8, []),
+        (None, [1.0, 1.0]), (6, [1e9, 1.0]), (7, [2.0]), (7, [2.0]), (8, []), (9, [1e15, 1.0]),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, rank string")
     got = topk.top_k(df, F.col("vec_id") == 0, 20).orderBy("rank").collect()
-    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 5, 64 * 64 * 5), (2, 7, 64 * 64 * 2), (3, 8, 0)]
+    want = [(1, 6, 64 * 64 * (10**9 + 2)), (2, 5, 64 * 64 * 5), (3, 7, 64 * 64 * 2), (4, 7, 64 * 64 * 2), (5, 8, 0)]
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == want
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0, 20).count() == 0
 
 
+def test_top_k_takes_every_row_of_an_id_and_large_values(spark):
+    rows = [(20, [1.0, -3.0]), (20, [2.0, 1.0]), (1, [2e6, 0.0]), (2, [3.0, 0.0]), (2, [5.0, 0.5]), (3, [-1e12, 1e13]), (40, [1e13, 1e13])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 4).collect()
+    v = [(i, [int(64 * x // 1) for x in e]) for i, e in rows]
+    want = []
+    for k, (i, q) in enumerate(v):
+        if i % 20 == 0:
+            found = sorted((-sum(a * b for a, b in zip(q, e, strict=True)), j) for m, (j, e) in enumerate(v) if m != k)[:4]
+            want += [(i, r, j, -s if abs(s) < 2**63 else None) for r, (s, j) in enumerate(found, 1)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and any(w[3] is None for w in want)
+
+
 # -- 2: mixing -----------------------------------------------------------------------------------
 
 
@@ -150,6 +164,13 @@ def test_archives_with_magic_in_payloads(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_ids_of_nineteen_digits_come_back(spark):
+    ids = [10**18 + 5, 2**63 - 1, -(2**63), -1, 7]
+    pages = spark.createDataFrame([(i, "u", f"<p>{k // 2}") for k, i in enumerate(ids)], "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc.archive(pages).collect()}
+    assert got == {10**18 + 5: 2**63 - 1, 2**63 - 1: None, -(2**63): -1, -1: None, 7: None}
+
+
 # -- 4: licences ---------------------------------------------------------------------------------
 
 
