@@ -197,14 +197,17 @@ base(words, label) AS (VALUES {base}),
 w AS (SELECT r, i, ws[i + 1] AS word, ws FROM (SELECT r, ws, unnest(range(len(ws))) AS i FROM t)),
 hit AS (SELECT DISTINCT r, word FROM w WHERE word IN (SELECT word FROM place)),
 file AS (SELECT r FROM hit GROUP BY r HAVING count(*) >= 2),
-rare AS (SELECT word, count(*) AS c FROM hit GROUP BY word),
-lookup AS (SELECT r, word FROM (
-    SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY c, word) AS k FROM hit JOIN rare USING (word))
-  JOIN file USING (r) WHERE k <= {licences.LOOKUPS}),
-held AS (SELECT r, template, w.i - place.spot AS shift, count(DISTINCT w.word) AS agree
-  FROM lookup JOIN w USING (r, word) JOIN place USING (word) GROUP BY 1, 2, 3),
+often AS (SELECT word, count(*) AS c FROM hit JOIN file USING (r) GROUP BY word),
+ranked AS (SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY coalesce(c, 0), word) AS k,
+    count(*) OVER (PARTITION BY template) AS n
+  FROM (SELECT DISTINCT template, word FROM place) LEFT JOIN often USING (word)),
+rare AS (SELECT template, word FROM ranked WHERE k <= n - (n * {licences.MIN_PERCENT} + 99) // 100 + 1),
+seen AS (SELECT r, template, w.i - spot AS distance, word FROM file JOIN w USING (r) JOIN place USING (word)),
+candidate AS (SELECT DISTINCT r, template, distance FROM seen JOIN rare USING (template, word)),
+held AS (SELECT r, template, c.distance, count(DISTINCT word) AS agree FROM candidate c JOIN seen s USING (r, template)
+  WHERE abs(s.distance - c.distance) <= {licences.DRIFT} GROUP BY 1, 2, 3),
 good AS (SELECT r, template, label, n, max(agree) AS agree FROM held JOIN size USING (template)
-  GROUP BY ALL HAVING max(agree) >= n * CAST({licences.MIN_SHARE} AS DOUBLE)),
+  GROUP BY ALL HAVING max(agree) * 100 >= n * {licences.MIN_PERCENT}),
 sound AS (SELECT * FROM good JOIN t USING (r) WHERE NOT EXISTS (
     SELECT 1 FROM phrase p WHERE p.template = good.template
       AND NOT contains(' ' || array_to_string(t.ws, ' ') || ' ', ' ' || p.words || ' '))),
