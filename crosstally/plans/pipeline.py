@@ -39,7 +39,8 @@ def scoped(
     """The six extracts: every table cut down to the brand list and the rolling window.
 
     The scoped invoices are written once to the shared folder; fleets and lines follow from that
-    table, so the source is asked for its invoices once.
+    table, so the source is asked for its invoices once.  Whoever is done with the extracts
+    removes it (``sinks.remove``); ``extract`` does.
     """
     invoices = sinks.materialise(
         scope.scope_invoices(raw.invoices, raw.customers, as_of, codes, months_back),
@@ -63,6 +64,16 @@ def write_extracts(extracts: Tables, directory: str) -> dict[str, int]:
     }
 
 
+def extract(
+    raw: Tables, directory: str, as_of: date, codes: Sequence[str] = BRAND_CODES, months_back: int = 3
+) -> dict[str, int]:
+    """Scopes and writes the extracts, and deletes the intermediate table of scoped invoices."""
+    extracts = scoped(raw, as_of, codes, months_back)
+    written = write_extracts(extracts, directory)
+    sinks.remove(extracts.invoices)
+    return written
+
+
 def load_csv(spark: SparkSession, directory: str) -> Tables:
     """The extracts from CSV; the partner KPI may be absent."""
     frames = {

@@ -322,6 +322,18 @@ def test_scoping(tables, data):
     assert january.count() == len(data["invoices"])
 
 
+def test_extract_leaves_no_intermediate_table(spark, tables, tmp_path):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    listed = lambda: {f for f in os.listdir(shared) if f.startswith("scoped_invoices")} if os.path.isdir(shared) else set()
+    before, as_of = listed(), date(2026, 4, 10)
+    written = pipeline.extract(tables, str(tmp_path / "out"), as_of)
+    assert listed() == before and written["invoices"] > 0
+    again = spark.read.option("header", True).csv(str(tmp_path / "out/invoices.csv"))
+    assert again.count() == written["invoices"] == pipeline.scoped(tables, as_of).invoices.count()
+
+
 def test_voided_predicates(frame):
     df = frame([(0,), (1,), (None,)], "voided INT")
     assert df.filter(scope.not_voided_strict(F.col("voided"))).count() == 1
