@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import remove
+
 #: ASCII white space separates words; Java and RE2 read the class alike.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,6 +78,12 @@ def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for df in tables:
+        remove(df)
+
+
 #: Rows of a stored table of a few fixed-width columns that may be broadcast: some 40 MB.
 BROADCAST_ROWS = 1_000_000
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, ship, stored, whole
+from .common import bounded, drop, fresh, ship, stored, whole
 
 #: Bands of rows: at similarity 0.8 a pair misses all bands with probability 3e-6.
 BANDS, ROWS = 32, 5
@@ -118,12 +118,20 @@ def estimate(a: Column, b: Column) -> Column:
     return 1 - unequal / F.lit(HASHES * (1 - 2.0**-BITS))
 
 
-def stars(classes: DataFrame, floor: float) -> DataFrame:
+def buckets(bands: DataFrame) -> DataFrame:
+    """(band, class, a): the buckets of several classes, stored, with their smallest class.
+
+    Nearly all buckets have one class only; they are left out once, for all who compare buckets.
+    """
+    bucket = bands.select("class", F.explode("bands").alias("band"))
+    first = bucket.groupBy("band").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return stored(bucket.join(first, "band").select("band", "class", "a"), "neardup-buckets")
+
+
+def stars(classes: DataFrame, shared: DataFrame, floor: float) -> DataFrame:
     """(a, b, similar): each class and the smallest class of a bucket it is in, where these pass
     the estimate."""
-    bucket = classes.select("class", F.explode("bands").alias("band"))
-    first = bucket.groupBy("band").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = bucket.join(first, "band").filter("class <> a").select("a", F.col("class").alias("b")).distinct()
+    pairs = shared.filter("class <> a").select("a", F.col("class").alias("b")).distinct()
     s = classes.select("class", "signature")
     pairs = pairs.join(s.withColumnsRenamed({"class": "a", "signature": "x"}), "a")
     pairs = pairs.join(s.withColumnsRenamed({"class": "b", "signature": "y"}), "b")
@@ -283,7 +291,9 @@ def whole_sets(docs: DataFrame, sig: DataFrame, wanted: DataFrame, size: int, id
 
     ship(docs.sparkSession)
     made = found.select("class", "text").mapInArrow(run, "class bigint, hashes binary")
-    return stored(made.dropDuplicates(["class"]), "neardup-sets", BATCH)
+    made = stored(made.dropDuplicates(["class"]), "neardup-sets", BATCH)
+    drop(one)
+    return made
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -332,13 +342,16 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "v")
         small = small.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u")))
         new = stored(small.distinct(), "components")
+        drop(e, large)
         # Done when no node hangs on one that hangs itself, and none on two.
         hanging = new.select(F.col("v").alias("u"))
         if new.join(hanging, "u", "left_semi").isEmpty() and new.groupBy("v").count().filter("count > 1").isEmpty():
             break
         e = new
     roots = new.select(F.col("u").alias("class")).distinct().withColumn("root", F.col("class"))
-    return stored(new.select(F.col("v").alias("class"), F.col("u").alias("root")).union(roots), "components")
+    found = stored(new.select(F.col("v").alias("class"), F.col("u").alias("root")).union(roots), "components")
+    drop(new)
+    return found
 
 
 def linked(docs: DataFrame, sig: DataFrame, size: int, percent: int, id: str, text: str) -> DataFrame:
@@ -346,10 +359,13 @@ def linked(docs: DataFrame, sig: DataFrame, size: int, percent: int, id: str, te
     floor = percent / 100 - SLACK
     classes = sig.filter("n_shingles > 0").groupBy("class").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = stored(classes, "neardup-classes")
-    first = stars(classes, floor).groupBy("b").agg(F.min("a").alias("a"))
+    shared = buckets(classes.select("class", "bands"))
+    first = stars(classes, shared, floor).groupBy("b").agg(F.min("a").alias("a"))
     first = stored(first.select("a", "b"), "neardup-first")
     ends = lambda p: p.select(F.col("a").alias("class")).union(p.select(F.col("b").alias("class")))
-    links = confirmed(first, whole_sets(docs, sig, ends(first).distinct(), size, id, text), percent)
+    sets = whole_sets(docs, sig, ends(first).distinct(), size, id, text)
+    links = confirmed(first, sets, percent)
+    drop(first, sets)
     roots = components(links)
 
     # What else the buckets show, now that most of a group is one component: families of classes.
@@ -357,18 +373,25 @@ def linked(docs: DataFrame, sig: DataFrame, size: int, percent: int, id: str, te
         return rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
     signatures = classes.select("class", "signature")
-    bucket = rooted(classes.select("class", F.explode("bands").alias("band")))
+    bucket = rooted(shared.select("class", "band"))
     near = stored(_compared(_units(bucket, "band").join(signatures, "class"), _alike(floor)), "neardup-near", BATCH)
+    drop(shared)
     if near.isEmpty():
+        drop(classes, links, near)
         return roots
     hung = roots.filter("class <> root").select(F.col("root").alias("a"), F.col("class").alias("b"))
-    family = components(near.union(hung)).withColumnRenamed("root", "family")
-    member = stored(rooted(family), "neardup-members")
+    families = components(near.union(hung))
+    member = stored(rooted(families.withColumnRenamed("root", "family")), "neardup-members")
+    drop(near, families, roots)
     units = stored(_units(member, "family"), "neardup-units")
+    drop(member)
     sets = whole_sets(docs, sig, units.select("class").distinct(), size, id, text)
-    units = units.join(signatures, "class").join(sets, "class")
-    more = stored(_compared(units, _linked_sets(floor, percent)), "neardup-more", BATCH)
-    return components(links.union(more))
+    compared = units.join(signatures, "class").join(sets, "class")
+    more = stored(_compared(compared, _linked_sets(floor, percent)), "neardup-more", BATCH)
+    drop(units, sets, classes)
+    found = components(links.union(more))
+    drop(links, more)
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,6 +400,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str =
     roots = linked(docs, sig, size, percent, id, text)
     rows = sig.select("doc_id", "copy", "n_shingles", "class").join(roots, "class", "left")
     rows = stored(rows.withColumn("root", F.coalesce("root", "class")), "neardup-rows")
+    drop(sig, roots)
     smallest = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return (
         rows.join(smallest, "root", "left")
@@ -398,6 +422,7 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "d
     out = docs.join(bounded(stored(named(rows.filter("NOT kept")), "neardup-gone")), same, "left_anti")
     again = rows.filter("kept").groupBy("doc_id", "copy").count().filter("count > 1")
     again = stored(named(again), "neardup-again")
+    drop(rows)
     if again.isEmpty():
         return out
     again = bounded(again)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, fresh, ship, stored, whole, words
+from .common import BROADCAST_ROWS, bounded, drop, fresh, ship, stored, whole, words
 
 SIZE, WORDS, PERCENT = 5, 50, 80
 #: Hash functions, and how many must agree: at 0.8 a pair is missed with probability 0.002.
@@ -39,6 +39,8 @@ HASHES, ENOUGH = 6, 2
 GAP = 20
 #: Windows of a value that a unit of the later comparison holds on a side, at most about.
 BLOCK = 2**10
+#: Texts, pairs or windows of an Arrow batch.
+BATCH = 500
 #: Words whose hashes a process keeps.
 MEMO = 2**18
 
@@ -336,7 +338,10 @@ def _members(shared: DataFrame, found: DataFrame) -> DataFrame:
     windows = stored(windows, "passage-windows")
     groups = windows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("later") & ~F.col("is_first")).alias("n_open"))
     groups = groups.filter("n_open > 0").select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    return windows.drop("is_first").join(bounded(stored(groups, "passage-groups")), "value")
+    groups = stored(groups, "passage-groups")
+    members = stored(windows.drop("is_first").join(bounded(groups), "value"), "passage-members")
+    drop(many, windows, groups)
+    return members
 
 
 def _dealt(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -469,7 +474,9 @@ def _texts(docs: DataFrame, keys: DataFrame, wanted: DataFrame | None, id: str,
     if wanted is not None:
         one = stored(one.join(wanted, "text_key").select("text_key", "least"), "passage-wanted")
         rows = rows.join(bounded(one), "text_key").filter(F.col("id_").eqNullSafe(F.col("least")))
-        return stored(rows.select("text_key", "text").dropDuplicates(["text_key"]), "passage-texts")
+        rows = stored(rows.select("text_key", "text").dropDuplicates(["text_key"]), "passage-texts")
+        drop(one)
+        return rows
     # Copies go by their keys, which are few, so that the other texts need not be moved.
     rest = keys.join(one.filter("n > 1"), "text_key").filter(~F.col("doc_id").eqNullSafe(F.col("least")))
     rest = stored(rest.select("text_key", F.col("doc_id").alias("rest_id")).distinct(), "passage-copies")
@@ -483,7 +490,7 @@ def near_passages(docs: DataFrame, keys: DataFrame, id: str = "doc_id", text: st
 
     a and b are keys of texts (``keyed``); places are words.
     """
-    shared = stored(_sharing(_windows(_texts(docs, keys, None, id, text))), "passage-shared")
+    shared = stored(_sharing(_windows(_texts(docs, keys, None, id, text))), "passage-shared", BATCH)
     pairs = (
         shared.groupBy("a", "b")
         .agg(F.collect_set(F.struct("hash", "al", "ar", "bl", "br")).alias("collisions"))
@@ -494,10 +501,13 @@ def near_passages(docs: DataFrame, keys: DataFrame, id: str = "doc_id", text: st
     texts = _texts(docs, keys, ends, id, text)
     joined = pairs.join(texts.withColumnsRenamed({"text_key": "b", "text": "y"}), "b")
     joined = joined.join(texts.withColumnsRenamed({"text_key": "a", "text": "x"}), "a")
-    found = stored(_verified(joined), "passages")
-    members = stored(_members(shared, found), "passage-members")
+    found = stored(_verified(joined), "passages", BATCH)
+    drop(pairs, texts)
+    members = _members(shared, found)
+    drop(shared)
     texts = _texts(docs, keys, members.select("text_key").distinct(), id, text)
-    more = stored(_explained(_dealt(members, texts)).distinct(), "passages-more")
+    more = stored(_explained(_dealt(members, texts)).distinct(), "passages-more", BATCH)
+    drop(members, texts)
     return found.unionByName(more.join(found, found.columns, "left_anti"))
 
 
