@@ -57,6 +57,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Rows that a Python worker gets at once; the default, 10,000, may be a gigabyte of long texts.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
@@ -64,17 +65,20 @@ def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
 
     This cuts the lineage so that a lost executor costs a reread, fixes generated row ids, and
     gives Spark the measured size by which it decides on broadcasts.  ``batch`` bounds the rows of
-    an Arrow batch while it is written.
+    an Arrow batch while it is written.  The shuffle files behind it are deleted once it is written,
+    as they would otherwise stay until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(BATCH)
-    if batch:
-        spark.conf.set(BATCH, batch)
+    settings = {CLEANUP: "true"} | ({BATCH: batch} if batch else {})
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(BATCH, before)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
 
 

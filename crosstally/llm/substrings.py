@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ GAP = 20
 BLOCK = 2**10
 #: Texts, pairs or windows of an Arrow batch.
 BATCH = 500
+#: Shingles whose windows are built together, at most, where texts have fewer.
+STACK = 2**17
 #: Words whose hashes a process keeps.
 MEMO = 2**18
 
@@ -78,32 +81,46 @@ def shingle_hashes(w: list[bytes], memo: WordHashes) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(31))
 
 
-def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(place, left, right) of all compact windows of at least ``least`` values.
+def stacked_windows(values: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """(text, place, left, right) of all compact windows of at least ``least`` values in several
+    texts, whose values stand one after another; places count from the first text's first value.
 
     Only a place that is the smallest of some stretch of ``least`` values has one, so the Cartesian
     tree is built over these few: the nearest smaller value of such a place is one of them.
     """
-    n = len(values)
+    n, ends = len(values), np.cumsum(sizes)
     if n < least:
-        return []
+        return np.zeros((0, 4), np.int64)
     ranked = (values >> np.uint64(PLACE) << np.uint64(PLACE)) | np.arange(n, dtype=np.uint64)
     best, width = ranked, 1
     while 2 * width <= least:
         best, width = np.minimum(best[:-width], best[width:]), 2 * width
     if width < least:
         best = np.minimum(best[: n - least + 1], best[least - width :])
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.flatnonzero(text[: n - least + 1] == text[least - 1 :])
+    best = best[inside]
     best = best[np.flatnonzero(np.diff(best, prepend=best[:1] ^ np.uint64(1)))]
-    places = (best & np.uint64(2**PLACE - 1)).tolist()
-    best = best.tolist()
-    right, left, stack = [n - 1] * len(best), [0] * len(best), []
+    places = (best & np.uint64(2**PLACE - 1)).astype(np.int64)
+    owners = text[places]
+    out = np.stack([owners, places, ends[owners] - sizes[owners], ends[owners] - 1], axis=1)
+    at, owner, best = places.tolist(), owners.tolist(), best.tolist()
+    left, right, stack, current = out[:, 2].tolist(), out[:, 3].tolist(), [], -1
     for i, v in enumerate(best):
+        if owner[i] != current:
+            stack, current = [], owner[i]
         while stack and best[stack[-1]] > v:
-            right[stack.pop()] = places[i] - 1
+            right[stack.pop()] = at[i] - 1
         if stack:
-            left[i] = places[stack[-1]] + 1
+            left[i] = at[stack[-1]] + 1
         stack.append(i)
-    return list(zip(places, left, right, strict=True))
+    out[:, 2], out[:, 3] = left, right
+    return out
+
+
+def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(place, left, right) of all compact windows of one text."""
+    return [tuple(x) for x in stacked_windows(values, np.array([len(values)]), least)[:, 1:].tolist()]
 
 
 def _once(x: np.ndarray) -> np.ndarray:
@@ -111,38 +128,56 @@ def _once(x: np.ndarray) -> np.ndarray:
 
     A line that a text repeats would otherwise send the same value once per repetition.
     """
-    values, first, which = np.unique(x[:, 0], return_index=True, return_inverse=True)
-    if len(values) == len(x):
+    x = x[np.lexsort((x[:, 2], x[:, 0], x[:, 1]))]
+    new = np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(axis=1)]) if len(x) else np.zeros(0, bool)
+    if new.all():
         return x
+    first = np.flatnonzero(new)
     out = x[first]
-    np.minimum.at(out[:, 3], which, x[:, 3])
-    np.maximum.at(out[:, 4], which, x[:, 4])
+    out[:, 3] = np.minimum.reduceat(x[:, 3], first)
+    out[:, 4] = np.maximum.reduceat(x[:, 4], first)
     return out
 
 
+def _stacks(hashes: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, sizes, shingles) of several texts at a time, at most ``STACK`` shingles or one text."""
+    keys, held, n = [], [], 0
+    for key, h in hashes:
+        if held and n + len(h) > STACK:
+            yield np.array(keys, np.int64), np.array([len(x) for x in held]), np.concatenate(held)
+            keys, held, n = [], [], 0
+        keys.append(key)
+        held.append(h)
+        n += len(h)
+    if held:
+        yield np.array(keys, np.int64), np.array([len(x) for x in held]), np.concatenate(held)
+
+
 def _windows(texts: DataFrame) -> DataFrame:
     """Compact windows of (text_key, text), values numbered by hash function in the low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            rows: list[np.ndarray] = []
-            for key, t in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = shingle_hashes(t.encode().lower().split(), memo)
+            texts_ = zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            hashes = ((key, shingle_hashes(t.encode().lower().split(), memo)) for key, t in texts_)
+            for keys, sizes, h in _stacks(hashes):
+                begins, rows = np.cumsum(sizes) - sizes, []
                 for k in range(HASHES):
                     values = (h ^ XOR[k]) * ODD
                     values ^= values >> np.uint64(32)
-                    if found := compact_windows(values, WORDS - SIZE + 1):
-                        x = np.empty((len(found), 5), np.int64)
-                        x[:, 2:] = found
-                        x[:, 0] = (values[x[:, 2]] // np.uint64(HASHES) * np.uint64(HASHES) + np.uint64(k)).view(np.int64)
-                        x[:, 1] = key
-                        rows.append(_once(x))
-            out = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(out[:, i]) for i in (0, 1)), *(pa.array(out[:, i].astype(np.int32)) for i in (2, 3, 4))],
-                ["value", "text_key", "place", "left", "right"],
-            )
+                    found = stacked_windows(values, sizes, WORDS - SIZE + 1)
+                    x = np.empty((len(found), 5), np.int64)
+                    x[:, 0] = (values[found[:, 1]] // np.uint64(HASHES) * np.uint64(HASHES) + np.uint64(k)).view(np.int64)
+                    x[:, 1] = found[:, 0]
+                    x[:, 2:] = found[:, 1:] - begins[found[:, 0]][:, None]
+                    rows.append(_once(x))
+                out = np.concatenate(rows)
+                out[:, 1] = keys[out[:, 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(out[:, i]) for i in (0, 1)), *(pa.array(out[:, i].astype(np.int32)) for i in (2, 3, 4))],
+                    ["value", "text_key", "place", "left", "right"],
+                )
 
     ship(texts.sparkSession)
     return texts.mapInArrow(run, WINDOW)
@@ -194,59 +229,77 @@ def regions(collisions: list[dict]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _stretches(there: list[int], gap: int = GAP) -> Iterator[tuple[int, int]]:
+def shingle_numbers(words: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """Equal shingles of a row of words, given as numbers below ``n``, get equal numbers; and how
+    many numbers there are."""
+    x, most = words, n
+    for k in range(1, SIZE):
+        if most * n >= 2**62:
+            x, most = np.unique(x, return_inverse=True)[1], len(x)
+        x, most = x[:-1] * n + words[k:], most * n
+    different, x = np.unique(x, return_inverse=True)
+    return x, len(different)
+
+
+def _stretches(there: np.ndarray, gap: int = GAP) -> Iterator[tuple[int, int]]:
     """First and last of the groups of sorted places with at most ``gap`` others between."""
-    begin = before = None
-    for i in there:
-        if before is not None and i - before > gap + 1:
-            yield begin, before
-            begin = None
-        if begin is None:
-            begin = i
-        before = i
-    if before is not None:
-        yield begin, before
-
-
-def _similarity(x: list, y: list) -> float:
-    s, t = set(x), set(y)
+    if len(there):
+        borders = np.flatnonzero(np.diff(there) > gap + 1)
+        yield from zip(there[[0, *(borders + 1)]].tolist(), there[[*borders, -1]].tolist(), strict=True)
+
+
+def _similarity(x: np.ndarray, y: np.ndarray) -> float:
+    s, t = set(x.tolist()), set(y.tolist())
     both = len(s & t)
     return both / (len(s) + len(t) - both) if 100 * both >= PERCENT * (len(s) + len(t) - both) else 0.0
 
 
-def _parts(sa: list, sb: list, least: int) -> Iterator[tuple[int, int, int, int, float]]:
-    """The longest parts of two stretches, from the left, that are alike enough.
-
-    The common runs are lined up; sums of their lengths say which spans of runs may do, and these
-    are confirmed on their sets.  Yields first and last shingle in a and in b, and the similarity.
-    """
-    where: dict = {}
-    for i, x in enumerate(sa):
+def _runs(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """(first in a, first in b, length) of the common runs, in the order of b."""
+    a, b = sa.tolist(), sb.tolist()
+    at = dict(zip(a, range(len(a)), strict=True))
+    if len(at) == len(a):
+        places = np.array([at.get(x, -2) for x in b])
+        there = np.flatnonzero(places >= 0)
+        new = np.ones(len(there), bool)
+        new[1:] = (np.diff(there) != 1) | (np.diff(places[there]) != 1)
+        first = np.flatnonzero(new)
+        return np.stack([places[there[first]], there[first], np.diff(first, append=len(there))], axis=1)
+    where: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
         where.setdefault(x, []).append(i)
-    runs: list[list[int]] = []  # first in a, first in b, length
-    for j, x in enumerate(sb):
+    runs: list[list[int]] = []
+    for j, x in enumerate(b):
         if x not in where:
             continue
-        if runs and runs[-1][1] + runs[-1][2] == j and runs[-1][0] + runs[-1][2] < len(sa) and sa[runs[-1][0] + runs[-1][2]] == x:
+        if runs and runs[-1][1] + runs[-1][2] == j and runs[-1][0] + runs[-1][2] < len(a) and a[runs[-1][0] + runs[-1][2]] == x:
             runs[-1][2] += 1
         else:
             after = runs[-1][0] + runs[-1][2] if runs else 0
             k = bisect_left(where[x], after)
             runs.append([where[x][k] if k < len(where[x]) else where[x][0], j, 1])
-    upto = [0]
-    for r in runs:
-        upto.append(upto[-1] + r[2])
+    return np.array(runs, np.int64).reshape(-1, 3)
+
+
+def _parts(sa: np.ndarray, sb: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int, float]]:
+    """The longest parts of two stretches, from the left, that are alike enough.
+
+    The common runs are lined up; sums of their lengths say which spans of runs may do, and these
+    are confirmed on their sets.  Yields first and last shingle in a and in b, and the similarity.
+    """
+    runs = _runs(sa, sb)
+    a_first, b_first = runs[:, 0], runs[:, 1]
+    a_last, b_last = a_first + runs[:, 2] - 1, b_first + runs[:, 2] - 1
+    upto = np.concatenate([[0], np.cumsum(runs[:, 2])])
     first = 0
-    while first < len(runs):
-        a0, b0, _ = runs[first]
+    while first < len(runs) and b_last[-1] - b_first[first] + 1 >= least:
+        a0, b0 = int(a_first[first]), int(b_first[first])
+        a_long, b_long = a_last[first:] - a0 + 1, b_last[first:] - b0 + 1
+        both = upto[first + 1 :] - upto[first]
+        may = (a_long >= least) & (b_long >= least) & (100 * both >= PERCENT * (a_long + b_long - both))
         step = 1
-        for last in range(len(runs) - 1, first - 1, -1):
-            a1, b1 = (runs[last][k] + runs[last][2] - 1 for k in (0, 1))
-            if b1 - b0 + 1 < least:
-                break
-            both = upto[last + 1] - upto[first]
-            if a1 - a0 + 1 < least or 100 * both < PERCENT * (a1 - a0 + b1 - b0 + 2 - both):
-                continue
+        for last in (np.flatnonzero(may)[::-1] + first).tolist():
+            a1, b1 = int(a_last[last]), int(b_last[last])
             if alike := _similarity(sa[a0 : a1 + 1], sb[b0 : b1 + 1]):
                 yield a0, a1, b0, b1, alike
                 step = last - first + 1
@@ -254,22 +307,25 @@ def _parts(sa: list, sb: list, least: int) -> Iterator[tuple[int, int, int, int,
         first += step
 
 
-def passages(a: list[bytes], b: list[bytes], region: tuple[int, int, int, int]):
-    """(a_start, a_end, b_start, b_end, similarity) of near-duplicate passages in a region.
+def alike_parts(sa: np.ndarray, sb: np.ndarray, mark: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+    """First and last shingle in a and in b, and the similarity, of what two rows of shingle numbers
+    have in common.  ``mark`` has a place for every number and is false, before and after.
 
-    Places are words, ends exclusive.  Shared shingles that lie close together make a stretch of b
-    and one of a; if these are not alike enough as a whole, their longest parts that are.
+    Shared shingles that lie close together make a stretch of b and one of a; if these are not alike
+    enough as a whole, their longest parts that are.
     """
-    al, ar, bl, br = region
     least = WORDS - SIZE + 1
-    sa, sb = ([tuple(w[k : k + SIZE]) for k in range(i, j + 1)] for w, i, j in ((a, al, ar), (b, bl, br)))
-    known = set(sa)
-    for j0, j1 in _stretches([j for j, x in enumerate(sb) if x in known]):
+    mark[sa] = True
+    there = np.flatnonzero(mark[sb])
+    mark[sa] = False
+    for j0, j1 in _stretches(there):
         if j1 - j0 + 1 < least:
             continue
         own = sb[j0 : j1 + 1]
-        mine = set(own)
-        for i0, i1 in _stretches([i for i, x in enumerate(sa) if x in mine]):
+        mark[own] = True
+        here = np.flatnonzero(mark[sa])
+        mark[own] = False
+        for i0, i1 in _stretches(here):
             if i1 - i0 + 1 < least:
                 continue
             theirs = sa[i0 : i1 + 1]
@@ -278,7 +334,21 @@ def passages(a: list[bytes], b: list[bytes], region: tuple[int, int, int, int]):
             else:
                 found = _parts(theirs, own, least)
             for a0, a1, b0, b1, alike in found:
-                yield al + i0 + a0, al + i0 + a1 + SIZE, bl + j0 + b0, bl + j0 + b1 + SIZE, alike
+                yield i0 + a0, i0 + a1, j0 + b0, j0 + b1, alike
+
+
+def passages(a: list[bytes], b: list[bytes], region: tuple[int, int, int, int]):
+    """(a_start, a_end, b_start, b_end, similarity) of near-duplicate passages in a region.
+
+    Places are words, ends exclusive.
+    """
+    al, ar, bl, br = region
+    number: dict[bytes, int] = {}
+    both = [number.setdefault(w, len(number)) for w in (*a[al : ar + SIZE], *b[bl : br + SIZE])]
+    x, n = shingle_numbers(np.array(both, np.int64), len(number))
+    cut = ar - al + 1
+    for a0, a1, b0, b1, alike in alike_parts(x[:cut], x[cut + SIZE - 1 :], np.zeros(n, bool)):
+        yield al + a0, al + a1 + SIZE, bl + b0, bl + b1 + SIZE, alike
 
 
 def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -368,71 +438,94 @@ def _dealt(members: DataFrame, texts: DataFrame) -> DataFrame:
     return m.mapInArrow(run, MEMBER)
 
 
-def _dense(h: list[int], other: set[int], at: int, least: int) -> bool:
-    """Whether a stretch of at least ``least`` different shingles around ``at`` has enough in common
-    with ``other`` for a passage."""
-    known = np.fromiter(map(other.__contains__, h), np.int64, len(h))
-    upto = np.zeros(len(h) + 1, np.int64)
-    np.cumsum(100 * known - PERCENT, out=upto[1:])
+def _dense(known: np.ndarray, at: int, least: int) -> bool:
+    """Whether a stretch of at least ``least`` different shingles around ``at`` has enough ``known``
+    ones for a passage."""
+    upto = np.zeros(len(known) + 1, np.int64)
+    np.cumsum(np.where(known, 100 - PERCENT, -PERCENT), out=upto[1:])
     best = np.maximum.accumulate(upto[::-1])[::-1]  # the highest sum up to any later end
-    starts = np.arange(min(at, len(h) - least) + 1)
-    return bool((best[np.maximum(starts + least, at + 1)] >= upto[starts]).any())
-
-
-def explained(unit: list[tuple], memo: WordHashes) -> Iterator[tuple]:
+    n = min(at, len(known) - least) + 1
+    if n <= 0:
+        return False
+    # The end lies ``least`` after the start and after ``at``.
+    near = max(0, min(n, at + 1 - least))
+    return bool((best[at + 1] >= upto[:near]).any() or (best[near + least : n + least] >= upto[near:n]).any())
+
+
+class Unit:
+    """The shingles of a unit's windows as numbers, and which windows hold each."""
+
+    def __init__(self, words: Iterator[str]):
+        number: dict[bytes, int] = {}
+        listed = [[number.setdefault(w, len(number)) for w in x.encode().split()] for x in words]
+        sizes = np.array([len(x) for x in listed])
+        flat = np.fromiter(chain.from_iterable(listed), np.int64, sizes.sum())
+        x, self.n = shingle_numbers(flat, len(number))
+        begins = (np.cumsum(sizes) - sizes).tolist()
+        self.shingles = [x[b : b + len(w) - SIZE + 1] for b, w in zip(begins, listed, strict=True)]
+        self.sets = [np.unique(s) for s in self.shingles]
+        one = np.concatenate(self.sets)
+        order = np.argsort(one, kind="stable")
+        self._windows = np.repeat(np.arange(len(listed)), [len(s) for s in self.sets])[order]
+        self._ends = np.cumsum(np.bincount(one, minlength=self.n))
+
+    def shared(self, u: int) -> np.ndarray:
+        """How many different shingles of window ``u`` each window has."""
+        s = self.sets[u]
+        ends = self._ends[s]
+        sizes = ends - np.where(s > 0, self._ends[s - 1], 0)
+        places = np.arange(sizes.sum()) + np.repeat(ends - np.cumsum(sizes), sizes)
+        return np.bincount(self._windows[places], minlength=len(self.sets))
+
+
+def explained(unit: list[tuple]) -> Iterator[tuple]:
     """Passages of a unit's windows (i, j, own, text_key, place, left, later, told, words), which
     stand in the order of their texts.
 
     A window is compared with those of smaller texts on the other side until a passage with one
     covers its place, and if there is none and nothing else covers it, with those of larger texts.
-    A passage holds at least ``least`` shingles of which ``PERCENT`` are shared, so of a window's
-    shingles all but ``need`` - 1 (the most frequent ones) lead to all windows it can have one with.
+    A passage holds at least ``least`` shingles of which ``PERCENT`` are shared, so windows that
+    share fewer than ``need`` have none.
     """
     least = WORDS - SIZE + 1
     i, j = unit[0][:2]
     keys, places, lefts = ([m[k] for m in unit] for k in (3, 4, 5))
     later, told = ([m[k] for m in unit] for k in (6, 7))
-    words_ = [m[8].encode().split() for m in unit]
-    hashes = [shingle_hashes(w, memo).tolist() for w in words_]
-    sets = [set(h) for h in hashes]
-    sides = {k: [x for x, m in enumerate(unit) if m[2] == k] for k in {i, j}}
-    where: dict[int, dict[int, list[int]]] = {}
+    own, texts = np.array([m[2] for m in unit]), np.array(keys, np.int64)
+    w = Unit(m[8] for m in unit)
+    shingles, mark = w.shingles, np.zeros(w.n, bool)
+    repeats = [len(x) - len(s) for x, s in zip(shingles, w.sets, strict=True)]
     seen: set[tuple[int, int]] = set()
+
+    def may(z: int, other: int) -> bool:
+        # With repeated shingles the shares of places and of different shingles are not the same.
+        if repeats[z]:
+            return True
+        mark[w.sets[other]] = True
+        known = mark[shingles[z]]
+        mark[w.sets[other]] = False
+        return _dense(known, places[z] - lefts[z], least)
+
     for u, m in enumerate(unit):
         if later[u]:
             continue
-        other = j if m[2] == i else i
         # Shingles that a window repeats may leave fewer different ones in a passage.
-        different = max(1, least - (len(hashes[u]) - len(sets[u])))
-        need = -(-PERCENT * different // 100)
-        if len(sides[other]) <= 16:
-            candidates = sides[other]
-        else:
-            if other not in where:
-                where[other] = {}
-                for x in sides[other]:
-                    for h in sets[x]:
-                        where[other].setdefault(h, []).append(x)
-            lists = sorted((where[other].get(h, []) for h in sets[u]), key=len)
-            candidates = sorted({x for one in lists[: len(lists) - need + 1] for x in one})
-        for c in candidates:
+        need = -(-PERCENT * max(1, least - repeats[u]) // 100)
+        candidates = np.flatnonzero((w.shared(u) >= need) & (own == (j if m[2] == i else i)) & (texts != keys[u]))
+        for c in candidates.tolist():
             if c > u and told[u]:
                 break
-            pair = min(u, c), max(u, c)
-            if keys[c] == keys[u] or pair in seen or len(sets[u] & sets[c]) < need:
+            x, y = pair = min(u, c), max(u, c)
+            if pair in seen:
                 continue
             seen.add(pair)
-            x, y = pair
-            # With repeated shingles the shares of places and of different shingles are not the same.
-            if not all(
-                len(sets[z]) < len(hashes[z]) or _dense(hashes[z], sets[w], places[z] - lefts[z], least) for z, w in (pair, pair[::-1])
-            ):
+            if not (may(c, u) and may(u, c)):
                 continue
-            for a0, a1, b0, b1, alike in passages(words_[x], words_[y], (0, len(hashes[x]) - 1, 0, len(hashes[y]) - 1)):
-                yield keys[x], keys[y], a0 + lefts[x], a1 + lefts[x], b0 + lefts[y], b1 + lefts[y], alike
-                if a0 <= places[x] - lefts[x] <= a1 - SIZE:
+            for a0, a1, b0, b1, alike in alike_parts(shingles[x], shingles[y], mark):
+                yield keys[x], keys[y], a0 + lefts[x], a1 + lefts[x] + SIZE, b0 + lefts[y], b1 + lefts[y] + SIZE, alike
+                if a0 <= places[x] - lefts[x] <= a1:
                     told[x] = True
-                if b0 <= places[y] - lefts[y] <= b1 - SIZE:
+                if b0 <= places[y] - lefts[y] <= b1:
                     told[y] = later[y] = True
             if later[u]:
                 break
@@ -442,18 +535,18 @@ def _explained(dealt: DataFrame) -> DataFrame:
     """Passages of ``MEMBER``.  Units stream by in order; a task holds one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, key, unit = WordHashes(), None, []
+        key, unit = None, []
         for batch in batches:
             out = []
             for value, *m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (value, m[0], m[1]) != key:
                     if unit:
-                        out.extend(explained(unit, memo))
+                        out.extend(explained(unit))
                     key, unit = (value, m[0], m[1]), []
                 unit.append(tuple(m))
             yield _passage_batch(out)
         if unit:
-            yield _passage_batch(list(explained(unit, memo)))
+            yield _passage_batch(list(explained(unit)))
 
     order = dealt.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "text_key")
     return order.mapInArrow(run, PASSAGE)

@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from crosstally.llm import bytebpe, licences, mixing, neardup, packing, quality, substrings, tokencounts, topk, warc
+from crosstally.llm import bytebpe, common, licences, mixing, neardup, packing, quality, substrings, tokencounts, topk, warc
 from crosstally.llm.common import table
 from verification import check
 
@@ -380,6 +382,44 @@ def test_compact_windows_by_definition():
             assert set(substrings.compact_windows(values, least)) == want
 
 
+def test_windows_of_texts_that_stand_one_after_another():
+    """Several texts at once have the windows that each has alone, and none reaches over a border."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 60, 3, 46, 0, 200, 45])
+    values = rng.integers(0, 2**63, sizes.sum(), np.uint64)
+    values[70] = values[100] = 0
+    want, begin = set(), 0
+    for i, n in enumerate(sizes.tolist()):
+        for place, left, right in substrings.compact_windows(values[begin : begin + n], 46):
+            want.add((i, begin + place, begin + left, begin + right))
+        begin += n
+    got = substrings.stacked_windows(values, sizes, 46)
+    assert {tuple(x) for x in got.tolist()} == want and {x[0] for x in want} == {1, 3, 5}
+
+
+def test_shingle_numbers_are_equal_for_equal_shingles_only():
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 10**6):  # of many words the numbers are packed in several steps
+        words_ = rng.integers(0, min(n, 4), 400) * (n // min(n, 4))
+        got, most = substrings.shingle_numbers(words_, n)
+        want = [tuple(words_[k : k + 5].tolist()) for k in range(396)]
+        assert most == len(set(want)) == len(set(got.tolist())) == len(set(zip(got.tolist(), want, strict=True)))
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark, tmp_path):
+    """What earlier steps shuffled would count as disk until the driver collects its garbage."""
+    blocks = Path(spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()[0].toString())
+    held = lambda: {x for x in blocks.rglob("shuffle_*.data")}
+    before = held()
+    rows = common.stored(spark.range(100_000).repartition("id"), "shuffled")
+    for _ in range(50):
+        if not (left := held() - before):
+            break
+        time.sleep(0.2)
+    assert not left and rows.count() == 100_000
+    assert spark.conf.get(common.CLEANUP, None) is None
+
+
 def test_repeated_passages_are_found_and_clean_texts_left_alone(spark):
     rng = random.Random(4)
     prose = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
