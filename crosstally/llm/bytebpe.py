@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -29,7 +30,7 @@ from .common import ship
 #: of the latest, and as many that came before.
 MEMO = 2**17
 #: Bytes of the beginnings whose last tokens are kept, to append the rest to.
-HEAD = 8
+HEADS = (4, 6, 8, 12)
 #: After every rank.
 NEVER = 1 << 60
 
@@ -62,11 +63,12 @@ class Vocabulary:
         lines = (x.split() for x in Path(path).read_bytes().splitlines() if x)
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        self.sizes = {rank: len(token) for rank, token in self.tokens.items()}
+        self.longest = max(self.sizes.values())
         #: Every ending of a token, with its rank if it is one itself: walking back from a byte
         #: stops where nothing longer can end.
         self.endings = {t[i:]: -1 for t in self.ranks for i in range(1, len(t))} | self.ranks
-        self._pairs = Memo()
+        self.pairs = Memo()
         self._growth: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
 
     def merged(self, piece: bytes, least: int = 1) -> list[bytes]:
@@ -85,8 +87,8 @@ class Vocabulary:
     def follows(self, before: int, token: int) -> bool:
         """Whether the two stand side by side in the encoding of their bytes."""
         key = before << 20 | token
-        known = self._pairs.get(key)
-        return self._pairs.put(key, self._apart(before, token)) if known is None else known
+        known = self.pairs.get(key)
+        return self.pairs.put(key, self._apart(before, token)) if known is None else known
 
     def _apart(self, before: int, token: int) -> bool:
         """No merge crosses the border between the two tokens.
@@ -121,9 +123,9 @@ class Vocabulary:
 
     def begins(self, token: int) -> bool:
         """Whether the token is the encoding of its own bytes."""
-        known = self._pairs.get(-1 - token)
+        known = self.pairs.get(-1 - token)
         if known is None:
-            known = self._pairs.put(-1 - token, self.merged(self.tokens[token]) == [self.tokens[token]])
+            known = self.pairs.put(-1 - token, self.merged(self.tokens[token]) == [self.tokens[token]])
         return known
 
 
@@ -138,17 +140,25 @@ class Prefixes:
     def _extend(self, end: int) -> None:
         """Last tokens of the prefixes up to ``end``, from where they stop."""
         v, piece, last = self.vocabulary, self.piece, self.last
-        ending, follows = v.endings.get, v.follows
+        ending, sizes, pairs = v.endings.get, v.sizes, v.pairs
         for stop in range(len(last) + 1, end + 1):
             found = []
             start = stop - 1
             while start >= 0 and (token := ending(piece[start:stop])) is not None:
                 if token >= 0:
-                    found.append((start, token))
+                    found.append(token)
                 start -= 1
             # One of them fits, most often a long one.
-            for start, token in reversed(found):
-                if follows(last[start - 1], token) if start else v.begins(token):
+            for token in reversed(found):
+                start = stop - sizes[token]
+                if start:
+                    before = last[start - 1]
+                    fits = pairs.new.get(before << 20 | token)
+                    if fits is None:
+                        fits = v.follows(before, token)
+                else:
+                    fits = v.begins(token)
+                if fits:
                     last.append(token)
                     break
             else:
@@ -180,10 +190,10 @@ class Prefixes:
         return end - start
 
     def tokens(self) -> list[int]:
-        ids, end = [], len(self.last)
+        ids, end, sizes = [], len(self.last), self.vocabulary.sizes
         while end:
-            ids.append(self.last[end - 1])
-            end -= len(self.vocabulary.tokens[ids[-1]])
+            ids.append(token := self.last[end - 1])
+            end -= sizes[token]
         return ids[::-1]
 
 
@@ -196,15 +206,17 @@ class Encoder:
 
     def prefixes(self, raw: bytes) -> Prefixes:
         """The piece's prefixes; its beginning may be known from another piece."""
-        if len(raw) <= HEAD:
-            return Prefixes(self.vocabulary, raw)
-        head = raw[:HEAD]
+        heads = sum(n < len(raw) for n in HEADS)
+        return Prefixes(self.vocabulary, raw, self._head(raw, heads - 1) if heads else None)
+
+    def _head(self, raw: bytes, k: int) -> list[int]:
+        """The last tokens of the first ``HEADS[k]`` bytes, from those of the shorter beginnings."""
+        head = raw[: HEADS[k]]
         last = self._heads.get(head)
         if last is None:
-            last = self._heads.put(head, Prefixes(self.vocabulary, head).last)
-        p = Prefixes(self.vocabulary, head, last)
-        p.append(raw[HEAD:])
-        return p
+            shorter = self._head(raw, k - 1) if k else None
+            last = self._heads.put(head, Prefixes(self.vocabulary, head, shorter).last)
+        return last
 
     def piece(self, text: str) -> bytes:
         known = self._memo.get(text)
@@ -212,7 +224,7 @@ class Encoder:
             raw = text.encode()
             token = self.vocabulary.ranks.get(raw)  # a whole token stands for itself
             ids = [token] if token is not None else self.prefixes(raw).tokens()
-            known = np.array(ids, "<u4").tobytes()
+            known = struct.pack(f"<{len(ids)}I", *ids)
             if len(raw) <= 64:
                 self._memo.put(text, known)
         return known

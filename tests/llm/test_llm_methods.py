@@ -513,6 +513,21 @@ def test_byte_bpe_by_the_library(spark, texts, library):
     assert bytebpe.round_trip(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_beginnings_of_several_lengths_are_kept(library):
+    """A short piece too starts from what an earlier one with the same first bytes has left."""
+    own = bytebpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    pieces = ["".join(rng.choice("abcdeéß語") for _ in range(rng.randrange(1, 24))) for _ in range(3000)]
+    pieces += [x[:k] + y for x, y in zip(pieces, pieces[1:], strict=False) for k in (4, 7)]
+    for x in pieces:
+        raw = x.encode()
+        assert own.prefixes(raw).last == bytebpe.Prefixes(own.vocabulary, raw).last
+        assert np.frombuffer(own.encode(x), "<u4").tolist() == library.encode(x, disallowed_special=())
+        for n in bytebpe.HEADS:
+            if n < len(raw):
+                assert own._heads.get(raw[:n]) == bytebpe.Prefixes(own.vocabulary, raw[:n]).last
+
+
 def test_prefixes_append_and_edit(encoder):
     v, rng = encoder.vocabulary, random.Random(1)
     assert all(v.begins(i) for i in v.tokens)
