@@ -7,7 +7,11 @@ whose windows share a value are candidates; where the windows of enough hash fun
 the regions are compared word by word.  A passage pair is reported when it has at least ``WORDS``
 words and its shingle sets a similarity of at least ``PERCENT``.
 
-Equal texts are one text.  Of the windows that share a value, each is first paired with that of the
+Equal texts are one text.  ``PERCENT`` of a passage's shingles stand in the other text too, so a
+passage lies where enough shingles are found at two places or more of all texts.  These stretches
+are found first, by exchanging the hashes of all shingles, and only they have windows.
+
+Of the windows that share a value, each is first paired with that of the
 first text (the smallest hash of a text).  Where three or more texts share the value, every window
 whose place no confirmed passage with a smaller text covers is then compared, in blocks, with those
 of all smaller texts until one does, and if none does and its place is in no passage, with those of
@@ -28,7 +32,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, bounded, drop, fresh, ship, stored, whole, words
@@ -44,6 +48,8 @@ BLOCK = 2**10
 BATCH = 500
 #: Shingles whose windows are built together, at most, where texts have fewer.
 STACK = 2**17
+#: Shingles of a bucket in which equal ones are looked for, about, and shingles sent at once.
+BUCKET, SENT = 2**19, 2**19
 #: Words whose hashes a process keeps.
 MEMO = 2**18
 
@@ -51,9 +57,14 @@ _random = np.random.default_rng(6)
 FACTORS = _random.integers(0, 2**63, SIZE, np.uint64) * np.uint64(2) + np.uint64(1)
 XOR = _random.integers(0, 2**63, HASHES, np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
+NEVER = -(2**40)
+#: Windows of at most so many shingles are looked at side by side, so many at a time.
+SIDE, ABREAST = 1024, 256
 #: A value's upper bits order the shingles, its lower ones say where they stand.
 PLACE = 28
 
+SENT_ROW = "slot bigint, block bigint, bucket int, sizes binary, data binary"
+STRETCHES = "text_key bigint, stretches array<struct<first:int,last:int>>"
 WINDOW = "value bigint, text_key bigint, place int, left int, right int"
 PAIR = "value bigint, a bigint, b bigint, hash int, ap int, al int, ar int, bp int, bl int, br int"
 MEMBER = "value bigint, i int, j int, own int, text_key bigint, place int, left int, later boolean, told boolean, words string"
@@ -139,48 +150,186 @@ def _once(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stacks(hashes: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, sizes, shingles) of several texts at a time, at most ``STACK`` shingles or one text."""
-    keys, held, n = [], [], 0
-    for key, h in hashes:
-        if held and n + len(h) > STACK:
-            yield np.array(keys, np.int64), np.array([len(x) for x in held]), np.concatenate(held)
-            keys, held, n = [], [], 0
-        keys.append(key)
-        held.append(h)
-        n += len(h)
-    if held:
-        yield np.array(keys, np.int64), np.array([len(x) for x in held]), np.concatenate(held)
+def _stacks(hashes: Iterator[tuple[int, int, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, firsts, sizes, shingles) of stretches of several texts at a time, at most ``most``
+    shingles or one text.  A stretch begins at the text's shingle ``first``."""
+    listed, n = [], 0
+    for x in hashes:
+        if listed and n + len(x[2]) > most and x[0] != listed[-1][0]:
+            yield _stack(listed)
+            listed, n = [], 0
+        listed.append(x)
+        n += len(x[2])
+    if listed:
+        yield _stack(listed)
+
+
+def _stack(listed: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    keys, firsts, held = zip(*listed, strict=True)
+    return np.array(keys, np.int64), np.array(firsts), np.array([len(x) for x in held]), np.concatenate(held)
+
+
+def dense(known: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """First and last place of the stretches in which passages may lie: what all those of at least
+    ``least`` places cover of which ``PERCENT`` are ``known``."""
+    n = len(known)
+    upto = np.zeros(n + 1, np.int64)
+    np.cumsum(np.where(known, 100 - PERCENT, -PERCENT), out=upto[1:])
+    best = np.maximum.accumulate(upto[::-1])[::-1]  # the highest sum up to any later end
+    ends = np.searchsorted(-best, -upto[:n], side="right") - 1  # the last one that does for a start
+    starts = np.flatnonzero(ends - np.arange(n) >= least)
+    cover = np.bincount(starts, minlength=n + 1) - np.bincount(ends[starts], minlength=n + 1)
+    borders = np.flatnonzero(np.diff(np.cumsum(cover) > 0, prepend=False))
+    return [(int(x), int(y) - 1) for x, y in zip(borders[::2], borders[1::2], strict=True)]
+
+
+def _sent(texts: DataFrame, buckets: int) -> DataFrame:
+    """``SENT_ROW``: the shingles of a block of texts by bucket, and with bucket -1 the texts' keys
+    and sizes and the buckets of their shingles, in order."""
+    kind = next(x for x in (np.uint8, np.uint16, np.uint32) if buckets - 1 <= np.iinfo(x).max)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        texts_ = ((k.as_py(), t.as_py()) for b in batches for k, t in zip(b.column("text_key"), b.column("text"), strict=True))
+        hashes = ((key, 0, shingle_hashes(t.encode().lower().split(), memo)) for key, t in texts_)
+        for keys, _, sizes, h in _stacks((x for x in hashes if len(x[2]) > WORDS - SIZE), SENT):
+            sizes = np.stack([keys, sizes]).tobytes()
+            bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(kind)
+            low = h.astype(np.uint32)[np.argsort(bucket, kind="stable")]
+            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+            parts = [x.tobytes() for x in np.split(low, ends[:-1])]
+            # Rows of a bucket go to its number, the block's own to the block's.
+            block = np.int64(np.uint64(xxhash.xxh3_64_intdigest(sizes)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*range(buckets), block], pa.int64()), pa.array([block] * (buckets + 1), pa.int64()),
+                    pa.array([*range(buckets), -1], pa.int32()), pa.array([None] * buckets + [sizes], pa.binary()),
+                    pa.array([*parts, bucket.tobytes()], pa.binary()),
+                ],
+                ["slot", "block", "bucket", "sizes", "data"],
+            )
+
+    ship(texts.sparkSession)
+    return texts.select("text_key", "text").mapInArrow(run, SENT_ROW)
+
+
+def _met(sent: DataFrame) -> DataFrame:
+    """``SENT_ROW`` with bits for the shingles: whether one's hash is found again in its bucket."""
+
+    def told(bucket: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        blocks, parts = zip(*held, strict=True)
+        x = np.concatenate([np.frombuffer(p, np.uint32) for p in parts])
+        order = np.argsort(x)
+        equal = np.diff(x[order]) == 0
+        known = np.zeros(len(x), bool)
+        known[order[1:][equal]] = known[order[:-1][equal]] = True
+        bits = [np.packbits(y).tobytes() for y in np.split(known, np.cumsum([len(p) // 4 for p in parts])[:-1])]
+        return batch_of([(b, b, bucket, None, y) for b, y in zip(blocks, bits, strict=True)])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["slot", "block", "bucket", "sizes", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = -1, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if row[2] < 0:
+                    yield batch_of([row])
+                    continue
+                if row[2] != current and held:
+                    yield told(current, held)
+                    held = []
+                current = row[2]
+                held.append((row[1], row[4]))
+        if held:
+            yield told(current, held)
+
+    order = sent.repartition("slot").sortWithinPartitions("bucket", "block")
+    return order.mapInArrow(run, SENT_ROW)
+
+
+def _stretched(met: DataFrame) -> DataFrame:
+    """``STRETCHES`` of the texts that have any."""
+    least = WORDS - SIZE + 1
+
+    def block(rows: dict[int, tuple[bytes, bytes]]) -> Iterator[dict]:
+        keys, sizes = np.frombuffer(rows[-1][0], np.int64).reshape(2, -1)
+        buckets = np.frombuffer(rows[-1][1], f"u{len(rows[-1][1]) // sizes.sum()}")
+        order, counts = np.argsort(buckets, kind="stable"), np.bincount(buckets)
+        ends, known = np.cumsum(counts), np.zeros(len(buckets), bool)
+        for k, n in enumerate(counts.tolist()):  # a bucket that did not come is an error
+            known[order[ends[k] - n : ends[k]]] = np.unpackbits(np.frombuffer(rows[k][1], np.uint8), count=n)
+        begins = np.cumsum(sizes) - sizes
+        some = np.add.reduceat(known, begins, dtype=np.int64)
+        for i in np.flatnonzero(100 * some >= PERCENT * least).tolist():
+            if found := dense(known[begins[i] : begins[i] + sizes[i]], least):
+                yield {"text_key": int(keys[i]), "stretches": [{"first": x, "last": y} for x, y in found]}
+
+    schema = pa.schema([("text_key", pa.int64()), ("stretches", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, {}
+        for batch in batches:
+            for _, key, bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if key != current and held:
+                    yield pa.RecordBatch.from_pylist(list(block(held)), schema)
+                    held = {}
+                current = key
+                held[bucket] = row  # of rows that a table repeats there may be two equal blocks
+        if held:
+            yield pa.RecordBatch.from_pylist(list(block(held)), schema)
+
+    order = met.repartition("slot").sortWithinPartitions("block", "bucket")
+    return order.mapInArrow(run, STRETCHES)
+
+
+def stretches(texts: DataFrame, shingles: int) -> DataFrame:
+    """``STRETCHES``, stored: where texts may have passages.  ``shingles`` is about how many there are.
+
+    A passage of a text has at least ``WORDS - SIZE + 1`` places, of whose shingles ``PERCENT`` stand
+    in the other text too.  Shingles with a hash that no other place has stand in no other text, so
+    no passage is lost; equal hashes of different shingles only leave more to be compared.
+    """
+    found = _stretched(_met(_sent(texts, max(1, -(-shingles // BUCKET)))))
+    # A row that the table repeats has been sent twice.
+    return stored(found.dropDuplicates(["text_key"]), "passage-stretches", BATCH)
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """Compact windows of (text_key, text), values numbered by hash function in the low bits."""
+    """Compact windows of the stretches of (text_key, text, stretches), values numbered by hash
+    function in the low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
+
+        def hashes(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+            for key, text, found in zip(*(batch.column(c).to_pylist() for c in ("text_key", "text", "stretches")), strict=True):
+                h = shingle_hashes(text.encode().lower().split(), memo)
+                for x in found:
+                    yield key, x["first"], h[x["first"] : x["last"] + 1]
+
         for batch in batches:
-            texts_ = zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            hashes = ((key, shingle_hashes(t.encode().lower().split(), memo)) for key, t in texts_)
-            for keys, sizes, h in _stacks(hashes):
-                begins, rows = np.cumsum(sizes) - sizes, []
+            for keys, firsts, sizes, h in _stacks(hashes(batch), STACK):
+                shift, rows = np.cumsum(sizes) - sizes - firsts, []
                 for k in range(HASHES):
                     values = (h ^ XOR[k]) * ODD
                     values ^= values >> np.uint64(32)
                     found = stacked_windows(values, sizes, WORDS - SIZE + 1)
                     x = np.empty((len(found), 5), np.int64)
                     x[:, 0] = (values[found[:, 1]] // np.uint64(HASHES) * np.uint64(HASHES) + np.uint64(k)).view(np.int64)
-                    x[:, 1] = found[:, 0]
-                    x[:, 2:] = found[:, 1:] - begins[found[:, 0]][:, None]
+                    x[:, 1] = keys[found[:, 0]]
+                    x[:, 2:] = found[:, 1:] - shift[found[:, 0]][:, None]
                     rows.append(_once(x))
                 out = np.concatenate(rows)
-                out[:, 1] = keys[out[:, 1]]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(out[:, i]) for i in (0, 1)), *(pa.array(out[:, i].astype(np.int32)) for i in (2, 3, 4))],
                     ["value", "text_key", "place", "left", "right"],
                 )
 
     ship(texts.sparkSession)
-    return texts.mapInArrow(run, WINDOW)
+    return texts.select("text_key", "text", "stretches").mapInArrow(run, WINDOW)
 
 
 def _sharing(windows: DataFrame) -> DataFrame:
@@ -254,17 +403,24 @@ def _similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(s) + len(t) - both) if 100 * both >= PERCENT * (len(s) + len(t) - both) else 0.0
 
 
+def _enough(both: int | np.ndarray, n: int, m: int | np.ndarray) -> bool | np.ndarray:
+    """Whether sets of ``n`` and ``m`` that share ``both`` are alike enough."""
+    return 100 * both >= PERCENT * (n + m - both)
+
+
 def _runs(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
     """(first in a, first in b, length) of the common runs, in the order of b."""
-    a, b = sa.tolist(), sb.tolist()
-    at = dict(zip(a, range(len(a)), strict=True))
-    if len(at) == len(a):
-        places = np.array([at.get(x, -2) for x in b])
-        there = np.flatnonzero(places >= 0)
+    order = np.argsort(sa)
+    ordered = sa[order]
+    if (ordered[1:] != ordered[:-1]).all():
+        near = np.minimum(np.searchsorted(ordered, sb), len(sa) - 1)
+        there = np.flatnonzero(ordered[near] == sb)
+        places = order[near]
         new = np.ones(len(there), bool)
         new[1:] = (np.diff(there) != 1) | (np.diff(places[there]) != 1)
         first = np.flatnonzero(new)
         return np.stack([places[there[first]], there[first], np.diff(first, append=len(there))], axis=1)
+    a, b = sa.tolist(), sb.tolist()
     where: dict[int, list[int]] = {}
     for i, x in enumerate(a):
         where.setdefault(x, []).append(i)
@@ -281,8 +437,11 @@ def _runs(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
     return np.array(runs, np.int64).reshape(-1, 3)
 
 
-def _parts(sa: np.ndarray, sb: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int, float]]:
-    """The longest parts of two stretches, from the left, that are alike enough.
+def _parts(
+    sa: np.ndarray, sb: np.ndarray, least: int, at_a: int | None = None, at_b: int | None = None
+) -> Iterator[tuple[int, int, int, int, float]]:
+    """The longest parts of two stretches, from the left, that are alike enough, and where places
+    are given, hold them.
 
     The common runs are lined up; sums of their lengths say which spans of runs may do, and these
     are confirmed on their sets.  Yields first and last shingle in a and in b, and the similarity.
@@ -292,11 +451,18 @@ def _parts(sa: np.ndarray, sb: np.ndarray, least: int) -> Iterator[tuple[int, in
     a_last, b_last = a_first + runs[:, 2] - 1, b_first + runs[:, 2] - 1
     upto = np.concatenate([[0], np.cumsum(runs[:, 2])])
     first = 0
-    while first < len(runs) and b_last[-1] - b_first[first] + 1 >= least:
+    # What two parts of ``least`` must share is more than ``PERCENT`` of one.
+    while first < len(runs) and b_last[-1] - b_first[first] + 1 >= least and _enough(upto[-1] - upto[first], least, least):
+        if at_b is not None and b_first[first] > at_b:
+            return
         a0, b0 = int(a_first[first]), int(b_first[first])
         a_long, b_long = a_last[first:] - a0 + 1, b_last[first:] - b0 + 1
         both = upto[first + 1 :] - upto[first]
         may = (a_long >= least) & (b_long >= least) & (100 * both >= PERCENT * (a_long + b_long - both))
+        if at_a is not None:
+            may &= (a0 <= at_a) & (a_last[first:] >= at_a)
+        if at_b is not None:
+            may &= b_last[first:] >= at_b
         step = 1
         for last in (np.flatnonzero(may)[::-1] + first).tolist():
             a1, b1 = int(a_last[last]), int(b_last[last])
@@ -307,32 +473,34 @@ def _parts(sa: np.ndarray, sb: np.ndarray, least: int) -> Iterator[tuple[int, in
         first += step
 
 
-def alike_parts(sa: np.ndarray, sb: np.ndarray, mark: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+def alike_parts(
+    sa: np.ndarray, sb: np.ndarray, mark: np.ndarray, at_a: int | None = None, at_b: int | None = None
+) -> Iterator[tuple[int, int, int, int, float]]:
     """First and last shingle in a and in b, and the similarity, of what two rows of shingle numbers
     have in common.  ``mark`` has a place for every number and is false, before and after.
 
     Shared shingles that lie close together make a stretch of b and one of a; if these are not alike
-    enough as a whole, their longest parts that are.
+    enough as a whole, their longest parts that are.  Where places are given, only what holds them.
     """
     least = WORDS - SIZE + 1
     mark[sa] = True
     there = np.flatnonzero(mark[sb])
     mark[sa] = False
     for j0, j1 in _stretches(there):
-        if j1 - j0 + 1 < least:
+        if j1 - j0 + 1 < least or at_b is not None and not j0 <= at_b <= j1:
             continue
         own = sb[j0 : j1 + 1]
         mark[own] = True
         here = np.flatnonzero(mark[sa])
         mark[own] = False
         for i0, i1 in _stretches(here):
-            if i1 - i0 + 1 < least:
+            if i1 - i0 + 1 < least or at_a is not None and not i0 <= at_a <= i1:
                 continue
             theirs = sa[i0 : i1 + 1]
             if alike := _similarity(theirs, own):
                 found = [(0, i1 - i0, 0, j1 - j0, alike)]
             else:
-                found = _parts(theirs, own, least)
+                found = _parts(theirs, own, least, None if at_a is None else at_a - i0, None if at_b is None else at_b - j0)
             for a0, a1, b0, b1, alike in found:
                 yield i0 + a0, i0 + a1, j0 + b0, j0 + b1, alike
 
@@ -438,18 +606,45 @@ def _dealt(members: DataFrame, texts: DataFrame) -> DataFrame:
     return m.mapInArrow(run, MEMBER)
 
 
-def _dense(known: np.ndarray, at: int, least: int) -> bool:
-    """Whether a stretch of at least ``least`` different shingles around ``at`` has enough ``known``
-    ones for a passage."""
+def _earlier(x: np.ndarray) -> np.ndarray:
+    """The last earlier place with the same number, -1 where there is none."""
+    order = np.argsort(x, kind="stable")
+    same = np.flatnonzero(x[order[1:]] == x[order[:-1]])
+    out = np.full(len(x), -1)
+    out[order[same + 1]] = order[same]
+    return out
+
+
+def _fewest(earlier: np.ndarray, least: int) -> int:
+    """How many different numbers ``least`` places in a row have at least, or all if they are fewer."""
+    if len(earlier) <= least:
+        return max(1, int((earlier < 0).sum()))
+    rows = np.lib.stride_tricks.sliding_window_view(earlier, least)
+    return int((rows < np.arange(len(rows))[:, None]).sum(axis=1).min())
+
+
+def _dense(known: np.ndarray, first: np.ndarray | None, at: int, least: int, other: int = 0) -> bool:
+    """Whether a stretch of at least ``least`` places around ``at`` has enough ``known`` ones for a
+    passage, or with ``other`` for one of which the other side has so many different shingles.  It
+    begins and ends with a known one.
+
+    Of unknown shingles that repeat, only the ``first`` count, as a passage is a set.
+    """
+    gain = np.where(known, 100 if other else 100 - PERCENT, -PERCENT)
+    if first is not None:
+        gain[~(known | first)] = 0
     upto = np.zeros(len(known) + 1, np.int64)
-    np.cumsum(np.where(known, 100 - PERCENT, -PERCENT), out=upto[1:])
-    best = np.maximum.accumulate(upto[::-1])[::-1]  # the highest sum up to any later end
+    np.cumsum(gain, out=upto[1:])
     n = min(at, len(known) - least) + 1
     if n <= 0:
         return False
+    # The highest sum up to any later end.
+    best = np.maximum.accumulate(np.where(known, upto[1:], NEVER)[::-1])[::-1]
+    start = np.where(known[:n], upto[:n], -NEVER)
     # The end lies ``least`` after the start and after ``at``.
     near = max(0, min(n, at + 1 - least))
-    return bool((best[at + 1] >= upto[:near]).any() or (best[near + least : n + least] >= upto[near:n]).any())
+    more = PERCENT * other
+    return bool((best[at] >= start[:near] + more).any() or (best[near + least - 1 : n + least - 1] >= start[near:] + more).any())
 
 
 class Unit:
@@ -478,14 +673,32 @@ class Unit:
         return np.bincount(self._windows[places], minlength=len(self.sets))
 
 
+def _lined_up(places: np.ndarray, ats: np.ndarray, least: int) -> np.ndarray:
+    """For each row, which has the places that a window's shingles have in another one or -1, whether
+    a passage may hold the place ``at``: a span of at least ``least`` that begins and ends with shared
+    shingles and has enough of them for its own length and the other's.
+
+    Without repeated shingles; where they stand in another order, the other side is no shorter.
+    """
+    known, t = places >= 0, np.arange(places.shape[1])
+    score = (100 + PERCENT) * np.cumsum(known, axis=1) - PERCENT * (t + places)
+    best = np.maximum.accumulate(np.where(known, score, NEVER)[:, ::-1], axis=1)[:, ::-1]  # up to any later end
+    end = np.maximum(ats[:, None], t + least - 1)
+    inside = end < len(t)
+    best = np.take_along_axis(best, np.where(inside, end, 0), axis=1)
+    return (known & inside & (t <= ats[:, None]) & (best + 100 - PERCENT >= score)).any(axis=1)
+
+
 def explained(unit: list[tuple]) -> Iterator[tuple]:
     """Passages of a unit's windows (i, j, own, text_key, place, left, later, told, words), which
     stand in the order of their texts.
 
     A window is compared with those of smaller texts on the other side until a passage with one
     covers its place, and if there is none and nothing else covers it, with those of larger texts.
-    A passage holds at least ``least`` shingles of which ``PERCENT`` are shared, so windows that
-    share fewer than ``need`` have none.
+    A passage for which the value stands holds its place in both windows; where a window repeats
+    shingles, the value may stand elsewhere in it too.  One that does not hold it has other values.
+    A passage holds at least ``least`` shingles on either side, so windows that share fewer than two
+    sets of so many must have none.
     """
     least = WORDS - SIZE + 1
     i, j = unit[0][:2]
@@ -494,34 +707,54 @@ def explained(unit: list[tuple]) -> Iterator[tuple]:
     own, texts = np.array([m[2] for m in unit]), np.array(keys, np.int64)
     w = Unit(m[8] for m in unit)
     shingles, mark = w.shingles, np.zeros(w.n, bool)
-    repeats = [len(x) - len(s) for x, s in zip(shingles, w.sets, strict=True)]
+    earlier = [_earlier(x) if len(x) > len(s) else None for x, s in zip(shingles, w.sets, strict=True)]
+    # Shingles that a window repeats may leave fewer different ones in a passage.
+    different = np.array([least if x is None else _fewest(x, least) for x in earlier])
+    first = [None if x is None else x < 0 for x in earlier]
+    ats = [p - left if x is None else None for p, left, x in zip(places, lefts, earlier, strict=True)]
     seen: set[tuple[int, int]] = set()
 
+    sizes = np.array([len(x) for x in shingles])
+    plain = np.array([x is None for x in earlier]) & (sizes <= SIDE)
+    rows = np.full((len(unit), max(sizes[plain], default=0)), w.n)
+    for z in np.flatnonzero(plain).tolist():
+        rows[z, : sizes[z]] = shingles[z]
+    inside, where = np.array(places) - np.array(lefts), np.full(w.n + 1, -1)
+
+    def likely(u: int, some: np.ndarray) -> np.ndarray:
+        """Those of ``some`` windows with which ``u`` may have a passage that holds the places."""
+        if not plain[u]:
+            return some
+        where[shingles[u]] = np.arange(sizes[u])
+        fits = ~plain[some]
+        longest = sizes[some][~fits].max(initial=0)
+        fits[~fits] = _lined_up(where[rows[some[~fits], :longest]], inside[some[~fits]], least)
+        where[shingles[u]] = -1
+        return some[fits]
+
     def may(z: int, other: int) -> bool:
-        # With repeated shingles the shares of places and of different shingles are not the same.
-        if repeats[z]:
-            return True
         mark[w.sets[other]] = True
         known = mark[shingles[z]]
         mark[w.sets[other]] = False
-        return _dense(known, places[z] - lefts[z], least)
+        at = places[z] - lefts[z]
+        return _dense(known, first[z], at, least) and _dense(known, first[z], at, least, int(different[other]))
 
     for u, m in enumerate(unit):
         if later[u]:
             continue
-        # Shingles that a window repeats may leave fewer different ones in a passage.
-        need = -(-PERCENT * max(1, least - repeats[u]) // 100)
-        candidates = np.flatnonzero((w.shared(u) >= need) & (own == (j if m[2] == i else i)) & (texts != keys[u]))
-        for c in candidates.tolist():
+        enough = _enough(w.shared(u), different[u], different)
+        candidates = np.flatnonzero(enough & (own == (j if m[2] == i else i)) & (texts != keys[u]))
+        chunks = (candidates[k : k + ABREAST] for k in range(0, len(candidates), ABREAST))
+        for c in chain.from_iterable(likely(u, some).tolist() for some in chunks):
             if c > u and told[u]:
                 break
             x, y = pair = min(u, c), max(u, c)
             if pair in seen:
                 continue
             seen.add(pair)
-            if not (may(c, u) and may(u, c)):
+            if not (plain[u] and plain[c]) and not (may(c, u) and may(u, c)):
                 continue
-            for a0, a1, b0, b1, alike in alike_parts(shingles[x], shingles[y], mark):
+            for a0, a1, b0, b1, alike in alike_parts(shingles[x], shingles[y], mark, ats[x], ats[y]):
                 yield keys[x], keys[y], a0 + lefts[x], a1 + lefts[x] + SIZE, b0 + lefts[y], b1 + lefts[y] + SIZE, alike
                 if a0 <= places[x] - lefts[x] <= a1:
                     told[x] = True
@@ -583,30 +816,43 @@ def near_passages(docs: DataFrame, keys: DataFrame, id: str = "doc_id", text: st
 
     a and b are keys of texts (``keyed``); places are words.
     """
-    shared = stored(_sharing(_windows(_texts(docs, keys, None, id, text))), "passage-shared", BATCH)
+    texts = _texts(docs, keys, None, id, text)
+    n_words = keys.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    places = stretches(texts, n_words)
+    # Its rows are as wide as they have stretches, so these are counted.
+    n = places.agg(F.coalesce(F.sum(F.size("stretches")), F.lit(0))).first()[0]
+    texts = texts.join(F.broadcast(places) if n <= BROADCAST_ROWS else places, "text_key")
+    shared = stored(_sharing(_windows(texts)), "passage-shared", BATCH)
+    drop(places)
     pairs = (
         shared.groupBy("a", "b")
         .agg(F.collect_set(F.struct("hash", "al", "ar", "bl", "br")).alias("collisions"))
         .filter(F.size(F.array_distinct(F.transform("collisions", lambda c: c["hash"]))) >= ENOUGH)
     )
     pairs = stored(pairs, "passage-pairs")
-    ends = pairs.select(F.col("a").alias("text_key")).union(pairs.select(F.col("b").alias("text_key"))).distinct()
+    ends = shared.select(F.col("a").alias("text_key")).union(shared.select(F.col("b").alias("text_key"))).distinct()
     texts = _texts(docs, keys, ends, id, text)
     joined = pairs.join(texts.withColumnsRenamed({"text_key": "b", "text": "y"}), "b")
     joined = joined.join(texts.withColumnsRenamed({"text_key": "a", "text": "x"}), "a")
     found = stored(_verified(joined), "passages", BATCH)
-    drop(pairs, texts)
+    drop(pairs)
     members = _members(shared, found)
     drop(shared)
-    texts = _texts(docs, keys, members.select("text_key").distinct(), id, text)
     more = stored(_explained(_dealt(members, texts)).distinct(), "passages-more", BATCH)
     drop(members, texts)
     return found.unionByName(more.join(found, found.columns, "left_anti"))
 
 
+def _longest(spans: DataFrame) -> DataFrame:
+    """The spans of (text_key, start_word, end_word, ...) that lie in no other one of their text."""
+    so_far = Window.partitionBy("text_key").orderBy("start_word", F.desc("end_word")).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.max("end_word").over(so_far)
+    return spans.withColumn("before", end).filter(F.col("before").isNull() | (F.col("end_word") > F.col("before"))).drop("before")
+
+
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per repeated passage of a document: doc_id, start_word, end_word, partner_id,
-    similarity.
+    similarity.  Passages that lie within a longer one of the document are left to it.
 
     Both documents of a pair have the passage; the partner is the smallest document with the other
     text.  Copies have their text's passages, and their whole text is one.
@@ -630,6 +876,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
         .agg(F.min(F.struct((-F.col("similarity")).alias("s"), "partner_id")).alias("best"))
         .select("text_key", "start_word", "end_word", F.col("best.partner_id").alias("partner_id"), (-F.col("best.s")).alias("similarity"))
     )
+    spans = _longest(spans)
     copies = one.filter((F.col("n") > 1) & (F.col("n_words") >= WORDS)).select(
         "text_key", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), F.lit(None).cast(docs.schema[id].dataType).alias("partner_id"), F.lit(1.0).alias("similarity"), "least", "most"
     )

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import time
 from collections import Counter, defaultdict
@@ -481,6 +482,67 @@ def test_passages_of_chains_and_common_phrases_are_found(spark):
     assert set(got) == set(want)
 
 
+def test_windows_are_only_built_where_enough_shingles_stand_in_two_places(spark):
+    """A line that all texts have is no passage, so it leads to no comparison; what two texts share does."""
+    rng = random.Random(9)
+    prose = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    line, passage = prose(13), prose(60)
+    texts = [[*prose(50), *line, *prose(50)] for _ in range(300)]
+    texts += [[*prose(70), *passage, *prose(9)], [*passage[:30], "other", *passage[31:]]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "text_key long, text string")
+    for many in (1, 40 * substrings.BUCKET):  # one bucket or many, and rows that are repeated
+        got = {r.text_key: [tuple(x) for x in r.stretches] for r in substrings.stretches(df.repartition(3, "text_key"), many).collect()}
+        assert set(got) == {300, 301} and got[301] == [(0, 55)]
+        assert len(got[300]) == 1 and 60 <= got[300][0][0] <= 70 and 125 <= got[300][0][1] <= 136
+    twice = substrings.stretches(df.union(df), 2).collect()
+    assert len(twice) == len(texts)  # all is found again, nothing is lost
+
+
+def test_dense_stretches_by_definition():
+    rng = np.random.default_rng(7)
+    for n, share in itertools.product((0, 3, 10, 40, 90), (0.6, 0.8, 0.9)):
+        known, want = rng.random(n) < share, set()
+        for s in range(n):
+            for e in range(s + 10, n + 1):
+                if 100 * known[s:e].sum() >= 80 * (e - s):
+                    want |= set(range(s, e))
+        assert {i for x, y in substrings.dense(known, 10) for i in range(x, y + 1)} == want
+
+
+def test_windows_side_by_side_lose_no_passage():
+    rng, found = np.random.default_rng(8), 0
+    for _ in range(400):
+        base = np.arange(100)
+        sides = []
+        for _ in range(2):
+            w = base.copy()
+            w[rng.choice(100, rng.integers(0, 4), replace=False)] = rng.integers(1000, 10**6, 1)
+            sides.append(np.delete(w, rng.choice(100, rng.integers(0, 2), replace=False)))
+        number, n = substrings.shingle_numbers(np.concatenate(sides), 10**6)
+        a, b = number[: len(sides[0]) - 4], number[len(sides[0]) :]
+        if not len(both := np.intersect1d(a, b)) or len(set(a.tolist())) < len(a) or len(set(b.tolist())) < len(b):
+            continue
+        shingle = rng.choice(both)
+        at_a, at_b = int(np.flatnonzero(a == shingle)[0]), int(np.flatnonzero(b == shingle)[0])
+        where = np.full(n, -1)
+        where[a] = np.arange(len(a))
+        if list(substrings.alike_parts(a, b, np.zeros(n, bool), at_a, at_b)):
+            found += 1
+            assert substrings._lined_up(where[b][None, :], np.array([at_b]), 46).all()
+    assert found > 100
+
+
+def test_near_copies_are_not_compared_pair_by_pair():
+    """Windows that a smaller text explains give one passage each, not one for each pair."""
+    rng = random.Random(10)
+    base, unit = [f"v{i}" for i in range(120)], []
+    for key in range(60):
+        w = [f"e{rng.randrange(10**6)}" if abs(k - 60) > 30 and rng.random() < 0.05 else x for k, x in enumerate(base)]
+        unit.append((0, 0, 0, key, 60, 0, False, False, " ".join(w)))
+    got = list(substrings.explained(unit))
+    assert {x[1] for x in got} == set(range(1, 60)) and len(got) < 120
+
+
 # -- 7, 8, 10: tokens ----------------------------------------------------------------------------
 
 ODD = [
