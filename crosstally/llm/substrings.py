@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -171,13 +173,13 @@ def _stack(listed: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, ...]:
 
 def dense(known: np.ndarray, least: int) -> list[tuple[int, int]]:
     """First and last place of the stretches in which passages may lie: what all those of at least
-    ``least`` places cover of which ``PERCENT`` are ``known``."""
+    ``least`` places cover of which ``PERCENT`` are ``known``, the first and the last among them."""
     n = len(known)
     upto = np.zeros(n + 1, np.int64)
     np.cumsum(np.where(known, 100 - PERCENT, -PERCENT), out=upto[1:])
-    best = np.maximum.accumulate(upto[::-1])[::-1]  # the highest sum up to any later end
-    ends = np.searchsorted(-best, -upto[:n], side="right") - 1  # the last one that does for a start
-    starts = np.flatnonzero(ends - np.arange(n) >= least)
+    best = np.maximum.accumulate(np.where(known, upto[1:], NEVER)[::-1])[::-1]  # the highest sum up to any later end
+    ends = np.searchsorted(-best, -upto[:n], side="right")  # the last one that does for a start
+    starts = np.flatnonzero(known & (ends - np.arange(n) >= least))
     cover = np.bincount(starts, minlength=n + 1) - np.bincount(ends[starts], minlength=n + 1)
     borders = np.flatnonzero(np.diff(np.cumsum(cover) > 0, prepend=False))
     return [(int(x), int(y) - 1) for x, y in zip(borders[::2], borders[1::2], strict=True)]
@@ -190,7 +192,7 @@ def _sent(texts: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        texts_ = ((k.as_py(), t.as_py()) for b in batches for k, t in zip(b.column("text_key"), b.column("text"), strict=True))
+        texts_ = chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("text_key", "text")), strict=True) for b in batches)
         hashes = ((key, 0, shingle_hashes(t.encode().lower().split(), memo)) for key, t in texts_)
         for keys, _, sizes, h in _stacks((x for x in hashes if len(x[2]) > WORDS - SIZE), SENT):
             sizes = np.stack([keys, sizes]).tobytes()
@@ -362,17 +364,18 @@ def _sharing(windows: DataFrame) -> DataFrame:
     return order.mapInArrow(run, PAIR)
 
 
-def regions(collisions: list[dict]) -> list[tuple[int, int, int, int]]:
-    """(al, ar, bl, br): where windows overlap in both texts, from enough hash functions."""
+def regions(collisions: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(al, ar, bl, br): where windows (hash, al, ar, bl, br) overlap in both texts, from enough hash
+    functions."""
     out, open_, hashes = [], None, set()
-    for c in sorted(collisions, key=lambda c: (c["bl"], c["br"])):
-        if open_ and c["bl"] <= open_[3]:
-            open_ = [min(open_[0], c["al"]), max(open_[1], c["ar"]), open_[2], max(open_[3], c["br"])]
-            hashes.add(c["hash"])
+    for hash_, al, ar, bl, br in sorted(collisions, key=itemgetter(3, 4)):
+        if open_ and bl <= open_[3]:
+            open_ = [min(open_[0], al), max(open_[1], ar), open_[2], max(open_[3], br)]
+            hashes.add(hash_)
         else:
             if open_ and len(hashes) >= ENOUGH:
                 out.append(tuple(open_))
-            open_, hashes = [c["al"], c["ar"], c["bl"], c["br"]], {c["hash"]}
+            open_, hashes = [al, ar, bl, br], {hash_}
     if open_ and len(hashes) >= ENOUGH:
         out.append(tuple(open_))
     return out
@@ -536,13 +539,16 @@ def _verified(pairs: DataFrame) -> DataFrame:
         held: tuple[int, list[bytes]] = (0, [])
         for batch in batches:
             out = []
-            columns = (batch.column(c) for c in ("a", "b", "collisions", "x", "y"))
-            for a, b, collisions, x, y in zip(*columns, strict=True):
+            lists = batch.column("collisions")
+            rows = list(zip(*(lists.values.field(c).to_pylist() for c in ("hash", "al", "ar", "bl", "br")), strict=True))
+            ends = lists.offsets.to_pylist()
+            columns = (batch.column(c) for c in ("a", "b", "x", "y"))
+            for a, b, x, y, begin, end in zip(*columns, ends[:-1], ends[1:], strict=True):
                 key = a.as_py()
                 if not held[1] or held[0] != key:
                     held = key, x.as_py().encode().lower().split()
                 other = y.as_py().encode().lower().split()
-                for region in regions(collisions.as_py()):
+                for region in regions(rows[begin:end]):
                     for p in passages(held[1], other, region):
                         out.append((key, b.as_py(), *p))
             yield _passage_batch(out)
@@ -651,17 +657,19 @@ class Unit:
     """The shingles of a unit's windows as numbers, and which windows hold each."""
 
     def __init__(self, words: Iterator[str]):
-        number: dict[bytes, int] = {}
-        listed = [[number.setdefault(w, len(number)) for w in x.encode().split()] for x in words]
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        listed = [list(map(number.__getitem__, x.encode().split())) for x in words]
         sizes = np.array([len(x) for x in listed])
         flat = np.fromiter(chain.from_iterable(listed), np.int64, sizes.sum())
         x, self.n = shingle_numbers(flat, len(number))
         begins = (np.cumsum(sizes) - sizes).tolist()
         self.shingles = [x[b : b + len(w) - SIZE + 1] for b, w in zip(begins, listed, strict=True)]
-        self.sets = [np.unique(s) for s in self.shingles]
-        one = np.concatenate(self.sets)
+        windows = np.repeat(np.arange(len(listed)), [len(s) for s in self.shingles])
+        both = np.sort(windows * self.n + np.concatenate(self.shingles))
+        windows, one = np.divmod(both[np.flatnonzero(np.diff(both, prepend=-1))], self.n)
+        self.sets = np.split(one, np.cumsum(np.bincount(windows, minlength=len(listed)))[:-1])
         order = np.argsort(one, kind="stable")
-        self._windows = np.repeat(np.arange(len(listed)), [len(s) for s in self.sets])[order]
+        self._windows = windows[order]
         self._ends = np.cumsum(np.bincount(one, minlength=self.n))
 
     def shared(self, u: int) -> np.ndarray:
