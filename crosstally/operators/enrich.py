@@ -1,13 +1,21 @@
 """Left-outer star around the invoice fact.
 
 The star is split by what the consumer needs: an unused left join cannot be dropped by the
-optimizer, because it might multiply rows.  None of the joins is hinted: dimensions that the
-size statistics prove small are broadcast by Spark, larger ones become sort-merge joins whose
+optimizer, because it might multiply rows.  The joins are not hinted, but for one: dimensions that
+the size statistics prove small are broadcast by Spark, larger ones become sort-merge joins whose
 hot keys adaptive execution splits.
+
+Rows that are to be rolled up come as headers and charges.  Fleets meet the headers, and the charges
+travel twice: to their header, and to their site, where the rollup finds them side by side.  That
+last join is a merge join whatever the size of the sites, as the rollup would else shuffle by itself,
+and wider rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +28,24 @@ _FLEET = ("fleetID", "fleetCode", "fleetAccountNumber", "fleetName")
 _SITE = ("siteID", "storeNumber", "siteName", "region", "district", "division")
 _CUSTOMER = ("customerID", "customerName", "corpType")
 
+#: Beside the published columns of rows made of charges: the site that the charge names, and the same
+#: where no other site has its store number and name.
+SITE_REF, SITE_ALONE = "_siteRef", "_siteAlone"
+
+
+@dataclass(frozen=True)
+class Charges:
+    """Rows with the ``invoiceID`` of their header and, in column ``site``, the id of their site.
+
+    ``measures`` are SQL over the columns of the rows, level by level, and give the provider's id and the
+    amounts of an invoice.  They are computed behind the joins, so that the shuffles carry only what
+    they are made of.
+    """
+
+    rows: DataFrame
+    site: str
+    measures: Sequence[Mapping[str, str]]
+
 
 def _fleet_attributes(fleets: DataFrame) -> DataFrame:
     return fleets.select(
@@ -84,6 +110,36 @@ def enrich_core(
     return _attach(_attach(with_measures(invoices, sides), fleet, "fleetID"), site, "siteID")
 
 
+def _alone(sites: DataFrame) -> DataFrame:
+    """Marks the sites whose store number and name no other row has; a NULL in them is no name."""
+    names = ("storeNumber", "siteName")
+    once = (
+        sites.dropna(subset=list(names))
+        .groupBy(*names)
+        .agg(F.min("siteID").alias(SITE_ALONE), F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") == 1)
+    )
+    return sites.join(once.drop("_rows"), list(names), "left")
+
+
+def core_of_charges(
+    headers: DataFrame,
+    charges: Charges,
+    fleets: DataFrame,
+    sites: DataFrame,
+    key_type: str = "int",
+    sides: Sides = SIDES,
+) -> DataFrame:
+    """``enrich_core`` of headers joined to their charges, clustered by ``SITE_REF``."""
+    site = _alone(_site_attributes(sites, key_type)).hint("merge")
+    rows = _attach(headers, _fleet_attributes(fleets), "fleetID").join(charges.rows, "invoiceID")
+    rows = rows.join(site, F.col(charges.site) == F.col("siteID"), "left")
+    rows = rows.withColumn(SITE_REF, F.col(charges.site))
+    for level in charges.measures:
+        rows = rows.withColumns({name: F.expr(sql) for name, sql in level.items()})
+    return with_measures(rows, sides)
+
+
 def enrich_fees(
     core: DataFrame, customers: DataFrame, corporation_types: DataFrame
 ) -> DataFrame:
@@ -121,16 +177,25 @@ def invoice_enriched(
     corporation_types: DataFrame,
     key_type: str = "int",
     sides: Sides = SIDES,
+    charges: Charges | None = None,
 ) -> DataFrame:
-    """One row per invoice with all context, in the published column order."""
-    full = enrich_fees(
-        enrich_core(invoices, fleets, sites, key_type, sides), customers, corporation_types
-    )
+    """One row per invoice with all context, in the published column order.
+
+    With ``charges`` the invoices are headers, and the result has one row per charge of a header and
+    the two marks that let the month rollup do without a shuffle of its own.
+    """
+    if charges is None:
+        core, marks = enrich_core(invoices, fleets, sites, key_type, sides), ()
+    else:
+        core = core_of_charges(invoices, charges, fleets, sites, key_type, sides)
+        marks = (SITE_REF, SITE_ALONE)
+    full = enrich_fees(core, customers, corporation_types)
     return full.select(
         "invoiceID", "invoiceNumber", "invoiceDate", "period",
         *_FLEET, *_SITE, *_CUSTOMER,
         "invoiceTotalAmount", "prepaidTotalAmount", sides.net_balance, "invoiceTaxTotalAmount",
         "invoiceTotalDiscounts", "invoiceCCFees", sides.fee, "totalAiFee", "voided",
+        *marks,
     )
 
 

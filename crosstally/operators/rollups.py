@@ -2,7 +2,8 @@
 
 SUM, COUNT, MIN and MAX combine map-side, so a hot key travels as one partial row per task.
 The one distinct count is planned by Spark in two steps, first on (keys, id) and then on keys,
-which spreads a hot key over its ids.  The line rollups aggregate on the raw dimension ids before
+which spreads a hot key over its ids.  Months of charges are rolled up where their join with the sites
+leaves them; adaptive execution splits a hot site there and shuffles its groups.  The line rollups aggregate on the raw dimension ids before
 the dimension joins: sums and counts add up, and the joins then see a few rows per id.
 """
 
@@ -17,14 +18,13 @@ from ..contract import SERVICE_DEFAULT, SERVICE_RULES, SIDES, Sides
 from ..functions.dates import month_start
 from ..functions.labels import Rules, service_type
 from ..functions.sums import exact_sum
-from .enrich import with_fleet, with_site
+from .enrich import SITE_ALONE, SITE_REF, with_fleet, with_site
 
 _MONTH_KEYS = ("period", "fleetCode", "fleetName", "storeNumber", "siteName")
 
 
-def fleet_store_month(enriched: DataFrame, sides: Sides = SIDES) -> DataFrame:
-    """Fleet x store x month; voided invoices are part of it."""
-    return enriched.groupBy(*_MONTH_KEYS).agg(
+def _per_month(enriched: DataFrame, sides: Sides, *keys: str) -> DataFrame:
+    return enriched.groupBy(*keys).agg(
         F.count_distinct("invoiceID").alias("invoiceCount"),
         exact_sum(enriched, "invoiceTotalAmount").alias("totalInvoice"),
         exact_sum(enriched, sides.net_balance).alias(sides.balance),
@@ -38,6 +38,22 @@ def fleet_store_month(enriched: DataFrame, sides: Sides = SIDES) -> DataFrame:
     )
 
 
+def fleet_store_month(enriched: DataFrame, sides: Sides = SIDES) -> DataFrame:
+    """Fleet x store x month; voided invoices are part of it.
+
+    Rows of charges lie by the site they name.  Where no other site has the names of theirs, a group
+    has one such site, hence all its rows in one place, and is rolled up there.  Only the others
+    (sites that share their names, have none or are missing) are shuffled by the group.
+    """
+    if SITE_REF not in enriched.columns:
+        return _per_month(enriched, sides, *_MONTH_KEYS)
+    # Of both sides of the join, so that the optimizer leaves it as it is: either half then reads
+    # the same shuffle.
+    alone = F.coalesce(F.col(SITE_ALONE) == F.col(SITE_REF), F.lit(False))
+    in_place = _per_month(enriched.filter(alone), sides, SITE_REF, *_MONTH_KEYS).drop(SITE_REF)
+    return in_place.unionByName(_per_month(enriched.filter(~alone), sides, *_MONTH_KEYS))
+
+
 def month_order() -> list:
     return [
         F.col("period").desc_nulls_last(),

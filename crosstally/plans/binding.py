@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..contract import KPI_HEADERS, SERIAL_EPOCH
 from ..functions.dates import week_ending
+from ..operators.enrich import Charges
 from ..schemas import schema
 
 AS_OF = date(2001, 8, 1)  # last order date of the test tables
@@ -41,6 +42,34 @@ def _money(sql: str) -> str:
     return f"CAST({sql} AS DECIMAL(18,2))"
 
 
+#: Further amounts of a line item with its ``total``, and what an invoice charges by them.
+_DISCOUNT_AND_TAX = {
+    "discount": _money("total * CAST(l_discount AS DECIMAL(4,2))"),
+    "tax": _money("total * CAST(l_tax AS DECIMAL(4,2))"),
+}
+_CHARGED = {
+    "invoiceTotalAmount": "total",
+    "invoiceTaxTotalAmount": "tax",
+    "prepaidTotalAmount": "CASE WHEN l_returnflag = 'R' THEN discount END",
+    "invoiceTotalDiscounts": "discount",
+    "invoiceCCFees": "CASE WHEN l_returnflag = 'A' THEN tax END",
+    "invoiceInvoiceFee": f"CASE WHEN l_returnflag <> 'N' THEN {_money('l_linenumber')} END",
+}
+#: Three small columns of a line item as one number and back, for any INT and DECIMAL(4,2) and NULL.
+#: A shuffled row is compressed by its gaps: beside a key each small column takes as much as a price.
+_SMALL = """
+    shiftleft(coalesce(l_linenumber + 2147483648L, 4294967296L), 30)
+    + shiftleft(coalesce(CAST(CAST(l_discount AS DECIMAL(4,2)) * 100 AS BIGINT) + 9999, 32767L), 15)
+    + coalesce(CAST(CAST(l_tax AS DECIMAL(4,2)) * 100 AS BIGINT) + 9999, 32767L)"""
+_RATE = "CAST((nullif({}, 32767) - 9999) * 0.01BD AS DECIMAL(4,2))"
+_FROM_SMALL = {
+    "l_linenumber": "CAST(nullif(shiftright(small, 30), 4294967296) - 2147483648 AS INT)",
+    "l_discount": _RATE.format("shiftright(small, 15) & 32767"),
+    "l_tax": _RATE.format("small & 32767"),
+}
+_PROVIDER = f"l_suppkey % {PROVIDERS}"
+
+
 class Star:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
@@ -71,11 +100,7 @@ class Star:
     def _facts(self) -> DataFrame:
         """Line items with their order; amounts become money once, before anything uses them."""
         priced = self.table("lineitem").selectExpr("*", f"{_money('l_extendedprice')} AS total")
-        money = priced.selectExpr(
-            "*",
-            f"{_money('total * CAST(l_discount AS DECIMAL(4,2))')} AS discount",
-            f"{_money('total * CAST(l_tax AS DECIMAL(4,2))')} AS tax",
-        )
+        money = priced.selectExpr("*", *(f"{sql} AS {name}" for name, sql in _DISCOUNT_AND_TAX.items()))
         return self._joined(money, "orders", "l_orderkey", "o_orderkey")
 
     def invoices(self) -> DataFrame:
@@ -83,21 +108,38 @@ class Star:
         return self._facts().selectExpr(
             "l_orderkey AS invoiceID",
             "concat('INV-', l_orderkey) AS invoiceNumber",
-            f"l_suppkey % {PROVIDERS} AS customerID",
+            f"{_PROVIDER} AS customerID",
             "o_custkey AS fleetID",
             "l_suppkey AS siteID",
             "o_orderdate AS invoiceDate",
-            "total AS invoiceTotalAmount",
-            "tax AS invoiceTaxTotalAmount",
-            "CASE WHEN l_returnflag = 'R' THEN discount END AS prepaidTotalAmount",
-            "discount AS invoiceTotalDiscounts",
-            "CASE WHEN l_returnflag = 'A' THEN tax END AS invoiceCCFees",
-            f"CASE WHEN l_returnflag <> 'N' THEN {_money('l_linenumber')} END AS invoiceInvoiceFee",
+            *(f"{sql} AS {name}" for name, sql in _CHARGED.items()),
             "CASE WHEN l_returnflag = 'N' THEN l_shipdate END AS invoiceBilledOutOnAutoIntegrate",
             "CASE WHEN l_returnflag = 'R' THEN discount END AS invoiceBillingFeesAutoIntegrate",
             _VOIDED,
         )
 
+    def invoice_headers(self) -> DataFrame:
+        """What the line items of ``invoices`` share with their order."""
+        return self.table("orders").selectExpr(
+            "o_orderkey AS invoiceID",
+            "concat('INV-', o_orderkey) AS invoiceNumber",
+            "o_custkey AS fleetID",
+            "o_orderdate AS invoiceDate",
+            _VOIDED,
+        )
+
+    def invoice_charges(self) -> Charges:
+        """What they have of their own; with the headers the same rows as ``invoices``."""
+        rows = self.table("lineitem").selectExpr(
+            "l_orderkey AS invoiceID",
+            "l_suppkey",
+            f"{_money('l_extendedprice')} AS total",
+            f"{_SMALL} AS small",
+            "l_returnflag",
+        )
+        computed = _FROM_SMALL, _DISCOUNT_AND_TAX, _CHARGED | {"customerID": _PROVIDER}
+        return Charges(rows, "l_suppkey", computed)
+
     def order_invoices(self) -> DataFrame:
         """Invoice headers, one row per order: the parent of the line items."""
         return self.table("orders").selectExpr(

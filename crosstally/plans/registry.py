@@ -189,6 +189,14 @@ def _enriched(s: Star) -> DataFrame:
     )
 
 
+def _enriched_charges(s: Star) -> DataFrame:
+    """The same rows, laid out for a rollup."""
+    return enrich.invoice_enriched(
+        s.invoice_headers(), s.fleets(), s.sites(), s.customers(), s.corporation_types(), KEY_TYPE,
+        charges=s.invoice_charges(),
+    )
+
+
 @query
 def invoice_enriched(s: Star) -> DataFrame:
     return _enriched(s)
@@ -197,12 +205,12 @@ def invoice_enriched(s: Star) -> DataFrame:
 @query
 def fleet_store_month(s: Star) -> DataFrame:
     """Unsorted: a total order over the whole rollup costs more than the rollup itself."""
-    return rollups.fleet_store_month(_enriched(s))
+    return rollups.fleet_store_month(_enriched_charges(s))
 
 
 @query
 def fleet_store_month_preview(s: Star) -> DataFrame:
-    return rollups.fleet_store_month(_enriched(s)).orderBy(*rollups.month_order()).limit(50)
+    return rollups.fleet_store_month(_enriched_charges(s)).orderBy(*rollups.month_order()).limit(50)
 
 
 @query
